@@ -16,12 +16,15 @@ ids are neighbours in an undefined order between equal texts and by text otherwi
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,40 +37,88 @@ HEAD = struct.Struct("<4sIIIQQ")
 DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 18
-#: Distinct strings whose ids a worker remembers; a full memory is emptied.
-REMEMBERED = 300_000
-#: Separators for str.split that the tokenizer does not take for white space.
-ODD = "\x1c\x1d\x1e\x1f"
+#: Strings between white space, and parts of them, whose ids a worker remembers; a full memory is emptied.
+REMEMBERED, REMEMBERED_PARTS = 300_000, 900_000
+#: Bytes of text that a worker takes at once, unless one document alone has more.
+SLICE_BYTES = 1 << 24
+#: Marks that are parted from the letter or digit they follow. No apostrophe: the tokenizer knows contractions.
+MARKS = ".,;:!?#$%&*|"
+#: Texts on which the short ways must give what the tokenizer gives for the whole.
+PROBES = ("the quick brown fox", "ab, cd. Efgh! Ij|kl%%% x1y2, the. It's don't. A*** B&&&", "Über ÉTÉ, ñandú. naïve;")
+
+#: Byte-level tokenizers write a byte as a character: printable ones of Latin-1 stand for themselves, the others follow from 256 on.
+_OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: b for b in _OWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _OWN)}
+#: Letters of the Latin blocks that lower-case one by one (not the dotted capital i).
+LATIN = re.compile("[A-Za-z\u00aa-\u012f\u0131-\u024f]+").fullmatch
 
 _workers: dict[str, "_Tokenizer"] = {}
 
 
+class _Memory(dict):
+    """Values by key, made when first asked for; emptied when full."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class _Tokenizer:
     """Ids of texts; strings between white space are tokenized once and remembered.
 
-    Only for tokenizers whose normalizer and pre-tokenizer never join text over white space, which `check` tries.
+    The short ways (by strings, by strings and marks, letters straight to the model) are for tokenizers that never join text over
+    white space or such marks; they are used only if they agree with the tokenizer on `PROBES`.
     """
 
     def __init__(self, path: str, by_word: bool):
         import tokenizers
 
-        self.model, self.by_word, self.known = tokenizers.Tokenizer.from_file(path), by_word, {}
-
-    def plain(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.by_word or any(c in text for c in ODD):
-            return np.array(self.plain([text])[0], dtype=np.uint32)
-        words = text.split()
-        known = self.known
-        if new := [w for w in set(words) if w not in known]:
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.plain(new)):
-                known[w] = struct.pack(f"<{len(e)}I", *e)
-        return np.frombuffer(b"".join([known[w] for w in words]), dtype="<u4")
+        self.model = tokenizers.Tokenizer.from_file(path)
+        self.parts, self.known = _Memory(self._part, REMEMBERED_PARTS), _Memory(self._string, REMEMBERED)
+        self.by_word = self.direct = by_word
+        for self.direct in (by_word, False):
+            self.parts.clear()
+            self.known.clear()
+            if by_word and all(x.tolist() == self.model.encode(t, add_special_tokens=False).ids for x, t in zip(self(list(PROBES)), PROBES)):
+                return
+        self.by_word = False
+
+    def _part(self, s: str) -> bytes:
+        if self.direct and s.isalpha() and (s.isascii() or LATIN(s) and unicodedata.is_normalized("NFC", s)):
+            low = s.lower()
+            ids = [t.id for t in self.model.model.tokenize(low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_CHARS))]
+        else:
+            ids = self.model.encode(s, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _string(self, s: str) -> bytes:
+        stem = s.rstrip(MARKS)
+        if not stem or not stem[-1].isalnum():
+            return self.parts[s]
+        low = stem.lower() if self.direct and stem.isascii() else stem
+        return self.parts[low] + self.parts[s[len(stem) :]] if len(stem) < len(s) else self.parts[low]
+
+    def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """The ids of each text: distinct strings are looked up, their ids are gathered for all texts at once."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        if not self.by_word:
+            return [np.array(e.ids, dtype="<u4") for e in self.model.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+        strings = pc.ascii_split_whitespace(texts)
+        bounds = strings.offsets.to_numpy() - strings.offsets[0].as_py()
+        coded = strings.flatten().dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(), list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+        first, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), "<u4")
+        lengths = sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(lengths)))
+        ids = data[np.repeat(first[codes] - ends[:-1], lengths) + np.arange(ends[-1])]
+        at = ends[bounds].tolist()
+        return [ids[a:b] for a, b in zip(at, at[1:])]
 
 
 def _tokenizer(path: str, by_word: bool) -> _Tokenizer:
@@ -102,6 +153,17 @@ def unpack_blocks(data: bytes) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield partition, number, docs, simple8b.decode(words, n_ids).astype("<u4")
 
 
+def _tokenized(batch: pa.RecordBatch, tokenize: _Tokenizer) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(id, ids) of a batch's documents, tokenized in slices of bounded size."""
+    texts = pc.fill_null(batch.column(1), "")
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        n = max(1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, side="right")) - at)
+        yield from zip(batch.column(0).slice(at, n).to_pylist(), tokenize(texts.slice(at, n)))
+        at += n
+
+
 def _blocks(path: str, by_word: bool, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize, partition = _tokenizer(path, by_word), TaskContext.get().partitionId()
@@ -112,8 +174,8 @@ def _blocks(path: str, by_word: bool, end_id: int | None):
             return pa.RecordBatch.from_arrays([pa.array([pack_block(partition, number, doc_ids, ids)], pa.binary())], ["block"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                mine = np.concatenate((tokenize(text.as_py() or ""), end))
+            for doc_id, mine in _tokenized(batch, tokenize):
+                mine = np.concatenate((mine, end))
                 if ids and size + len(mine) > BLOCK_IDS:
                     yield block()
                     doc_ids, ids, size, number = [], [], 0, number + 1
