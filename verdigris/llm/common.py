@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,22 @@ BROADCAST_ROWS = 100_000
 _own_dirs: dict[str, str] = {}
 
 
+def lean(run):
+    """A function over Arrow batches whose worker, kept for other tasks, gives freed memory back when it ends."""
+
+    def held(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return held
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (local tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lean, table
 
 #: HTML's void elements, elements that are not displayed, blocks, and blocks with a margin.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -289,7 +289,7 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, *, id_col="page_id", html_col="html") -> DataFrame:
     """id, text of every page."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(_rendered, f"id {dict(rows.dtypes)['id']}, text string")
+    return rows.mapInArrow(lean(_rendered), f"id {dict(rows.dtypes)['id']}, text string")
 
 
 def op7_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

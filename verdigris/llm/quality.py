@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, uniform
+from .common import lean, stage, table, uniform
 from .toxicity import bucket
 
 TRAIN_DOCS = 20_000
@@ -64,7 +64,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def feature_rows(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_features, f"id {dict(rows.dtypes)['id']}, x array<float>")
+    return rows.mapInArrow(lean(_features), f"id {dict(rows.dtypes)['id']}, x array<float>")
 
 
 def _best_cut(g: np.ndarray, h: np.ndarray, ridge: float = 5.0) -> tuple[float, int]:
@@ -188,7 +188,7 @@ def train(rows: DataFrame, labels: DataFrame, *, label="quality", folds: int = 3
 
 
 def score(rows: DataFrame, model: dict) -> DataFrame:
-    return rows.mapInArrow(_scores(model), f"id {dict(rows.dtypes)['id']}, score double")
+    return rows.mapInArrow(lean(_scores(model)), f"id {dict(rows.dtypes)['id']}, score double")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

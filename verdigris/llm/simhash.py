@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, stage, table
+from .common import connected_components, lean, stage, table
 
 WIDTH = 64
 #: Probes times entries of a bucket up to which its pairs are verified one by one.
@@ -68,7 +68,7 @@ def _fingerprints(size: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_fingerprints(size, seed), "id long, fp long")
+    return rows.mapInArrow(lean(_fingerprints(size, seed)), "id long, fp long")
 
 
 def _co_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +124,7 @@ def _signed(b: int) -> int:
 
 def plan_partitions(distinct: DataFrame, tau: int) -> list[tuple[list[int], int]]:
     """(bits, e) of the partitions that are looked at. 4096 counts and a few sums come to the driver, no fingerprints."""
-    counts = distinct.mapInArrow(_co_occurrence, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
+    counts = distinct.mapInArrow(lean(_co_occurrence), "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     both = np.zeros((WIDTH, WIDTH))
     for r in counts:
         both[r.i, r.j] = r.n

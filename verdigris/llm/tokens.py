@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import new_path, ship, stage, table
+from .common import lean, new_path, ship, stage, table
 
 MAGIC = b"S8B1"
 HEAD = struct.Struct("<4sIIIQQ")
@@ -38,9 +38,9 @@ DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 18
 #: Strings between white space, and parts of them, whose ids a worker remembers; a full memory is emptied.
-REMEMBERED, REMEMBERED_PARTS = 300_000, 900_000
+REMEMBERED, REMEMBERED_PARTS = 120_000, 400_000
 #: Bytes of text that a worker takes at once, unless one document alone has more.
-SLICE_BYTES = 1 << 24
+SLICE_BYTES = 1 << 23
 #: Marks that are parted from the letter or digit they follow. No apostrophe: the tokenizer knows contractions.
 MARKS = ".,;:!?#$%&*|"
 #: Texts on which the short ways must give what the tokenizer gives for the whole.
@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    blocks = rows.mapInArrow(_blocks(tokenizer, by_word, end_id), "block binary")
+    blocks = rows.mapInArrow(lean(_blocks(tokenizer, by_word, end_id)), "block binary")
     blocks.select(F.col("block").cast("string").alias("value")).write.option("compression", "none").text(path)
 
 
@@ -214,7 +214,7 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, partition, block, at: the files' documents and where their ids begin."""
     files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    rows = files.mapInArrow(_documents, "partition long, block long, at long, doc_id long, n_tokens long, inner long, ids_crc32 long")
+    rows = files.mapInArrow(lean(_documents), "partition long, block long, at long, doc_id long, n_tokens long, inner long, ids_crc32 long")
     rows = stage(rows, "token_rows")
     per = rows.groupBy("partition", "block").agg(F.sum("n_tokens").alias("n"))
     # Two short tables: blocks of a partition, and partitions of the whole, are summed up apart.

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, uniform
+from .common import lean, table, uniform
 
 #: Bound of the labelled rows that train, and of the words that become features.
 TRAIN_DOCS = 20_000
@@ -35,7 +35,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of a longer word that are features besides the word: inflected forms share them.
 PREFIXES = (4, 5, 6, 7, 8)
 #: Words whose features a worker remembers; a full memory is emptied.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 
 def forms(word: str) -> list[str]:
@@ -60,7 +60,7 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             words = {f for w in set(WORD.findall((text.as_py() or "").lower())) for f in forms(w)}
             words.add("")  # counts the documents
             (toxic if y else n).update(words)
-        if len(n) + len(toxic) > 500_000:
+        if len(n) + len(toxic) > 150_000:
             yield _counted(n, toxic)
             n, toxic = Counter(), Counter()
     yield _counted(n, toxic)
@@ -73,7 +73,7 @@ def _counted(n: Counter, toxic: Counter) -> pa.RecordBatch:
 
 def choose_words(rows: DataFrame, features: int = FEATURES) -> list[str]:
     """The words that toxic documents hold more often, by the z-score of the log odds ratio; a bounded list."""
-    counts = rows.mapInArrow(_document_words, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
+    counts = rows.mapInArrow(lean(_document_words), "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
     every = counts.where("word = ''").first()
     if not every or not every.a or not every.b:
         return []
@@ -134,7 +134,7 @@ def train(docs: DataFrame, labels: DataFrame, *, label="toxic", folds: int = 5,
     if not words:
         share = rows.agg(F.avg("y")).first()[0] or 0.0
         return {"words": [], "weights": [], "bias": -50.0, "leak": float(share)}
-    bags = rows.mapInArrow(_bags(words), "y int, plain int, bags array<array<int>>").collect()
+    bags = rows.mapInArrow(lean(_bags(words)), "y int, plain int, bags array<array<int>>").collect()
     return {"words": words} | fit([(b.y, b.plain, b.bags) for b in bags], len(words))
 
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, model: dict, *, id_col="doc_id", text_col="text") ->
     """id, score, sentences (start, end, score of those likelier toxic than not) of every document."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["id"]
-    return rows.mapInArrow(_scores(model), f"id {kind}, score double, sentences array<struct<start:int,end:int,score:double>>")
+    return rows.mapInArrow(lean(_scores(model)), f"id {kind}, score double, sentences array<struct<start:int,end:int,score:double>>")
 
 
 def drop_toxic(docs: DataFrame, model: dict, *, text_col="text", threshold: float = 0.5) -> DataFrame:
@@ -199,7 +199,7 @@ def drop_toxic(docs: DataFrame, model: dict, *, text_col="text", threshold: floa
         for batch in batches:
             yield batch.filter(pa.array([scorer(t.as_py() or "")[0] < threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

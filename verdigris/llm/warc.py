@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, ship, small_join, stage, table
+from .common import lean, new_path, ship, small_join, stage, table
 
 BREAK = "\r\n\r\n"
 
@@ -133,7 +133,7 @@ def _records(blocks: bool):
 def read_warc(spark: SparkSession, path: str, *, blocks: bool = True) -> DataFrame:
     """One row per record. Without blocks only those of metadata records are kept."""
     files = ship(spark).read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(_records(blocks), RECORD)
+    return files.mapInArrow(lean(_records(blocks)), RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
