@@ -141,8 +141,8 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, id_col="
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs' own rows and columns without the documents that hold a window of an item."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("d").alias("bad_d"), F.col("h").alias("bad_h")).distinct()
-    mine = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("bad_d")) & (F.xxhash64(F.col(text_col)) == F.col("bad_h"))
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("d").alias("__bad_d"), F.col("h").alias("__bad_h")).distinct()
+    mine = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__bad_d")) & (F.xxhash64(F.col(text_col)) == F.col("__bad_h"))
     return small_join(docs, stage(bad, "leak_bad"), mine, "left_anti")
 
 

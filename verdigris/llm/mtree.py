@@ -32,7 +32,7 @@ from .common import stage, table
 
 TREE_ROWS, PIVOT_SAMPLE, MOST_PIVOTS = 8192, 4096, 1024
 #: Entries of a page; queries that one task searches a tree for.
-PAGE, QUERY_BLOCK = 96, 4096
+PAGE, QUERY_BLOCK = 96, 256
 NODE = "tree string, node int, leaf boolean, routing binary, radius double, ids binary, vectors binary, radii binary, to_parent binary"
 
 

@@ -74,11 +74,14 @@ def pair_counts(samples: DataFrame) -> DataFrame:
 
 
 def train(samples: DataFrame, prior: float = 20.0) -> np.ndarray:
-    """Log ratio of each pair of characters, random over ordinary: 128 x 128 numbers, smoothed towards uniform."""
+    """Log ratio of each pair of characters, random over ordinary: 128 x 128 numbers. A character's successors are smoothed
+    towards the model's characters in general, those towards uniform."""
     counts = np.zeros((2, CODES, CODES))
     for r in pair_counts(samples).collect():
         counts[int(r.label), r.pair // CODES, r.pair % CODES] = r.n
-    p = (counts + prior / SYMBOLS) / (counts.sum(axis=2, keepdims=True) + prior)
+    general = counts.sum(axis=1, keepdims=True)
+    general = (general + 1) / (general.sum(axis=2, keepdims=True) + SYMBOLS)
+    p = (counts + prior * general) / (counts.sum(axis=2, keepdims=True) + prior)
     return np.log(p[1]) - np.log(p[0])
 
 

@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size:
 def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs' own rows and columns, one document of each component: that with the smallest id."""
     found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "simhash_found")
-    lost = found.where("id <> component_id").select(F.col("id").alias("lost"))
-    kept = docs.join(lost, F.col(id_col) == F.col("lost"), "left_anti")
+    lost = found.where("id <> component_id").select(F.col("id").alias("__lost"))
+    kept = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
     if found.count() != found.select("id").distinct().count():  # rows that share an id
         kept = kept.dropDuplicates([id_col])
     return kept

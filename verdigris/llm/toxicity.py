@@ -50,7 +50,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     """text, y of at most about `bound` labelled documents outside the held-out fold. The labels' sample is broadcast: it is bounded."""
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("l_id").isNotNull() & F.col("y").isNotNull() & (bucket(F.col("l_id"), folds) != held))
     known = known.where(uniform(F.col("l_id"), seed=11) < min(1.0, bound / max(known.count(), 1)))
-    return docs.join(F.broadcast(known), F.col(id_col) == F.col("l_id")).select(F.col(text_col).alias("text"), F.col("y").cast("int").alias("y"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return rows.join(F.broadcast(known), F.col("id") == F.col("l_id")).select("text", "y")
 
 
 def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
