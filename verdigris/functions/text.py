@@ -29,6 +29,11 @@ WORDS = r"[\p{L}\p{N}_]+"
 SPACES = r"[ \t\n\x0B\f\r]+"
 
 
+def bind(x: Column, f) -> Column:
+    """f of x with x computed once, where f uses it within another function's lambda."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def stripped(t: Column) -> Column:
     return F.regexp_replace(t, rf"^{SPACES}|{SPACES}$", "")
 
@@ -161,19 +166,24 @@ def cosine(a: Column, b: Column) -> Column:
 
 def sliding_windows(t: Column, size: int = 800, overlap: int = 100) -> Column:
     """Stripped windows of the text with white space collapsed; the last one reaches the end."""
-    x = stripped(F.regexp_replace(t, SPACES, " "))
     step = size - overlap
-    n = F.when(F.char_length(x) <= size, 1).otherwise(F.ceil((F.char_length(x) - size) / step) + 1)
-    parts = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.trim(F.substr(x, (i * step + 1).cast("int"), F.lit(size))))
-    return F.when(F.char_length(x) > 0, F.filter(parts, lambda p: p != "")).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def windows(x: Column) -> Column:
+        n = F.when(F.char_length(x) <= size, 1).otherwise(F.ceil((F.char_length(x) - size) / step) + 1)
+        parts = F.transform(F.sequence(F.lit(0).cast("long"), (n - 1).cast("long")), lambda i: F.trim(F.substr(x, (i * step + 1).cast("int"), F.lit(size))))
+        return F.when(F.char_length(x) > 0, F.filter(parts, lambda p: p != "")).otherwise(F.expr("cast(array() as array<string>)"))
+
+    return bind(stripped(F.regexp_replace(t, SPACES, " ")), windows)
 
 
 def shingles(t: Column, size: int = 5) -> Column:
     """Distinct runs of `size` tokens; all tokens where there are fewer, none where there are none."""
-    w = tokens(t)
-    runs = F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
-    whole = F.array(F.array_join(w, " "))
-    return F.when(F.size(w) == 0, F.expr("cast(array() as array<string>)")).when(F.size(w) < size, whole).otherwise(F.array_distinct(F.when(F.size(w) >= size, runs).otherwise(whole)))
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - size, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, size), " "))
+        return F.when(F.size(w) == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array_distinct(every))
+
+    return bind(tokens(t), runs)
 
 
 def jaccard_millis(a: Column, b: Column) -> Column:

@@ -28,6 +28,17 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Tables between these sizes that lie in fewer files than there are cores are dealt out anew; larger ones have row groups enough.
+SPREAD_BYTES = (1 << 20, 1 << 28)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt to all cores if it is small but lies in a few files, whose row groups would keep the other cores idle."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] and len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables; also makes sure that workers can import this package."""
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(ship(spark).read.parquet(f"{sf_dir}/{name}.parquet"))
