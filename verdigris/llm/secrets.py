@@ -50,15 +50,16 @@ def _sum(a: Column) -> Column:
 def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
     """array<struct<start, rank, end, value>> of a pattern's leftmost non-overlapping matches, value being a group of them."""
     p = F.lit(pattern)
-    gaps, whole = _lengths(F.split(text, pattern, -1)), F.regexp_extract_all(text, p, F.lit(0))
+    whole = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    ml = _lengths(whole)
+    parts = F.struct(_lengths(F.split(text, pattern, -1)).alias("gaps"), _lengths(whole).alias("ml"), values.alias("values"))
 
-    def span(value: Column, i: Column) -> Column:
-        start = _sum(F.slice(gaps, F.lit(1), i + 1)) + _sum(F.slice(ml, F.lit(1), i))
-        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.get(ml, i)).alias("end"), value.alias("value"))
+    def span(m: Column, value: Column, i: Column) -> Column:
+        start = _sum(F.slice(m.gaps, F.lit(1), i + 1)) + _sum(F.slice(m.ml, F.lit(1), i))
+        return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.get(m.ml, i)).alias("end"), value.alias("value"))
 
-    spans = F.transform(values, span)
+    # Within a lambda an expression is computed for every element: the matches are found once and bound by a lambda of their own.
+    spans = F.get(F.transform(F.array(parts), lambda m: F.transform(m["values"], lambda v, i: span(m, v, i))), F.lit(0))
     if least:
         spans = F.filter(spans, lambda s: F.length(s.value) >= least)
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,value:string>>)")
@@ -89,7 +90,8 @@ def score(value: Column, ratios: np.ndarray) -> Column:
     """The log-likelihood ratio of value's pairs of characters."""
     known = F.split(F.lit(",".join(f"{x:.5f}" for x in ratios.ravel())), ",").cast("array<double>")
     codes = F.transform(F.split(value, ""), lambda c: F.ascii(c))
-    pairs = F.transform(F.slice(codes, 1, F.greatest(F.size(codes) - 1, F.lit(0))), lambda c, i: c * CODES + F.get(codes, i + 1))
+    successors = lambda cs: F.transform(F.slice(cs, 1, F.greatest(F.size(cs) - 1, F.lit(0))), lambda c, i: c * CODES + F.get(cs, i + 1))
+    pairs = F.get(F.transform(F.array(codes), successors), F.lit(0))
     return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.coalesce(F.get(known, p), F.lit(0.0)))
 
 
