@@ -146,3 +146,33 @@ def pricing_summary(spark, sf):
 def supplier_rollup(spark, sf):
     s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
     return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).rollup("r_name", "n_name").agg(F.count("*").alias("suppliers"))
+
+
+@query("select event_id, ts, ts <= timestamp '2024-02-01' - interval 30 days stale, event_type in ('error', 'click') listed from events")
+def stale_flags(spark, sf):
+    """FLT-7, FLT-8, REG-4: age against a fixed day, status in a set; unknown times are stale."""
+    cutoff = F.lit("2024-02-01").cast("timestamp") - F.expr("interval 30 days")
+    return table(spark, sf, "events").select("event_id", "ts", F.coalesce(F.col("ts") <= cutoff, F.lit(True)).alias("stale"), F.col("event_type").isin("error", "click").alias("listed"))
+
+
+@query("select event_id, event_type, user_id from events where event_type = 'error' order by ts desc, event_id desc limit 200")
+def latest_jobs(spark, sf):
+    """JOB-1, SRT-1: the newest 200 of a status."""
+    rows = table(spark, sf, "events").where(F.col("event_type") == "error")
+    return rows.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(200).select("event_id", "event_type", "user_id")
+
+
+@query("with h as (select source, text, greatest(1, ceil(length(text) / 4.0)) tok, count(*) over (partition by sha256(text)) same from documents) select source, count(*) filter (where trim(text) = '') empty, count(*) filter (where tok < 20) short, count(*) filter (where same > 1) duplicated from h group by source")
+def health_report(spark, sf):
+    """AGG-8: copies are counted per hash, then joined to the slim rows; AQE may split a hash with very many rows."""
+    rows = table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("h"), (F.trim("text") == "").alias("blank"), T.estimate_tokens(F.col("text")).alias("tok"))
+    many = rows.groupBy(F.col("h").alias("h1")).agg(F.count("*").alias("same")).where("same > 1")
+    rows = rows.join(many, F.col("h") == F.col("h1"), "left")
+    return rows.groupBy("source").agg(F.count_if("blank").alias("empty"), F.count_if(F.col("tok") < 20).alias("short"), F.count("same").alias("duplicated"))
+
+
+@query("select conv_id, min(turn) filter (where role = 'assistant') first_answer, max(length(text)) filter (where role = 'user') longest_question, count(*) filter (where role = 'user') questions from conversations group by conv_id")
+def conversation_rollup(spark, sf):
+    """AGG-7, AGG-10: conditional aggregates per group."""
+    is_user = F.col("role") == "user"
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"), F.max(F.when(is_user, F.char_length("text"))).alias("longest_question"), F.count_if(is_user).alias("questions"))

@@ -208,3 +208,20 @@ def eval_ranking(spark, sf):
         F.max(((F.col("g") == 1) & (F.col("rank") <= 5)).cast("int")).alias("hit5"), F.round(F.coalesce(1.0 / F.min(F.when(F.col("g") == 1, F.col("rank"))), F.lit(0.0)), 6).alias("mrr"),
         F.round(F.sum(gain(F.col("rank"))) / F.nullif(F.sum(gain(F.col("n"))), F.lit(0.0)), 6).alias("ndcg"),
     )
+
+
+@query(f"with {_LANES} select query_id, doc_id, row_number() over (partition by query_id order by \"rank\", lane)::int position from (select query_id, doc_id, min(\"rank\" * 2 + lane) k, min_by(\"rank\", \"rank\" * 2 + lane) \"rank\", min_by(lane, \"rank\" * 2 + lane) lane from l group by 1, 2)")
+def round_robin_lanes(spark, sf):
+    """PCK-7: one of each lane in turn, first seen wins."""
+    lanes = _lanes(spark, sf)
+    rows = lanes["lexical"].select("query_id", "id", "rank", F.lit(0).alias("lane")).union(lanes["frequency"].select("query_id", "id", "rank", F.lit(1)))
+    first = rows.groupBy("query_id", "id").agg(F.min(F.struct("rank", "lane")).alias("at"))
+    return first.select("query_id", F.col("id").alias("doc_id"), F.row_number().over(Window.partitionBy("query_id").orderBy("at.rank", "at.lane")).alias("position"))
+
+
+@query(f"with {_TOP}, n as (select query_id, \"rank\", score, lead(score) over (partition by query_id order by \"rank\") next from r) select query_id, next is not null and score > 0 and score / greatest(next, 1e-12) < 1.15 unsure from n where \"rank\" = 1")
+def low_confidence(spark, sf):
+    """LEX-9: is the best hit hardly better than the second?"""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    rows = _ranked(spark, sf, 2).withColumn("next", F.lead("score").over(order)).where("rank = 1")
+    return rows.select("query_id", F.coalesce((F.col("score") > 0) & (F.col("score") / F.greatest("next", F.lit(1e-12)) < 1.15), F.lit(False)).alias("unsure"))
