@@ -2,9 +2,10 @@
 
 Two first-order models over ASCII characters are estimated from labelled samples, one from random strings and one
 from ordinary identifiers; a candidate is a secret if the log-likelihood ratio of its character pairs is high enough in
-all and per pair. In `scan` the labelled samples come from the corpus itself: what the patterns matched is
-random, the other words of a sample of documents are ordinary; both are bounded by documented parameters. The
-models are two tables of 128 x 128 numbers, whatever the input. All work is done with DataFrame functions.
+all and per pair. In `scan` the labelled samples come from the corpus itself: the distinct strings that the patterns
+matched are random, all other words of all documents are ordinary, so counts grow with the corpus. Words are counted
+before their pairs are. The models are two tables of 128 x 128 numbers, whatever the input. All work is done with
+DataFrame functions.
 
 Offsets are code points, ends exclusive. They are found without a user function: the strings between the matches of a
 pattern (split) and the matches themselves (regexp_extract_all) alternate, so running sums of their lengths are offsets.
@@ -20,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table, uniform
+from .common import stage, table
 
 #: The base patterns. An assign match is dropped after matching if its value is shorter than 8.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -31,9 +32,6 @@ KINDS = ("assign", "access", "hex", "model")
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
 LEAST = 16
 ORDINARY = r"[A-Za-z0-9+/_=-]{3,}"
-#: Bounds of the labelled samples: strings that patterns matched, and documents whose words are ordinary.
-RANDOM_SAMPLES = 50_000
-ORDINARY_DOCUMENTS = 1_000
 #: Log-likelihood ratio from which a candidate is a secret: in all, and per pair of characters.
 TOTAL, PER_PAIR = 12.0, 0.5
 CODES, SYMBOLS = 128, 67
@@ -67,11 +65,12 @@ def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
 
 
 def pair_counts(samples: DataFrame) -> DataFrame:
-    """samples (value, label) -> label, pair (first code x 128 + second code), n. At most 2 x 128 x 128 rows."""
+    """samples (value, label, and times if not each once) -> label, pair (first code x 128 + second code), n: at most 2 x 128 x 128 rows."""
+    samples = samples if "times" in samples.columns else samples.withColumn("times", F.lit(1))
     codes = F.transform(F.split("value", ""), lambda c: F.ascii(c))
-    rows = samples.where(F.length("value") > 1).select("label", codes.alias("c"))
+    rows = samples.where(F.length("value") > 1).select("label", "times", codes.alias("c"))
     pairs = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.get("c", i) * CODES + F.get("c", i + 1))
-    return rows.select("label", F.explode(pairs).alias("pair")).where(F.col("pair").between(0, CODES * CODES - 1)).groupBy("label", "pair").agg(F.count("*").alias("n"))
+    return rows.select("label", "times", F.explode(pairs).alias("pair")).where(F.col("pair").between(0, CODES * CODES - 1)).groupBy("label", "pair").agg(F.sum("times").alias("n"))
 
 
 def train(samples: DataFrame, prior: float = 20.0) -> np.ndarray:
@@ -95,12 +94,12 @@ def score(value: Column, ratios: np.ndarray) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.coalesce(F.get(known, p), F.lit(0.0)))
 
 
-def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = LEAST, total: float = TOTAL, per_pair: float = PER_PAIR, random_samples: int = RANDOM_SAMPLES, ordinary_documents: int = ORDINARY_DOCUMENTS, ratios: np.ndarray | None = None) -> DataFrame:
+def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = LEAST, total: float = TOTAL, per_pair: float = PER_PAIR, ratios: np.ndarray | None = None) -> DataFrame:
     """id, base and spans: array<struct<start, rank, end, value>>, spans being the base ones and the model's, in order."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = F.concat(found(F.col("text"), ASSIGN, "assign", 2, 8), found(F.col("text"), ACCESS, "access"), found(F.col("text"), HEX, "hex"))
     rows = stage(rows.select("id", base.alias("base"), found(F.col("text"), CANDIDATE % least, "model").alias("more")), "secret_candidates")
-    ratios = train(samples(docs, rows, id_col, text_col, random_samples, ordinary_documents)) if ratios is None else ratios
+    ratios = train(samples(docs, rows, text_col)) if ratios is None else ratios
     free = F.filter("more", lambda m: ~F.exists(F.col("base"), lambda b: (b.start < m.end) & (m.start < b.end)))
     scored = F.transform(free, lambda m: F.struct(m.alias("m"), score(m.value, ratios).alias("llr")))
     kept = F.filter(scored, lambda x: (x.llr >= total) & (x.llr >= per_pair * (F.length(x.m.value) - 1)))
@@ -108,16 +107,15 @@ def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = LEAS
     return rows.select("id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "more")).alias("spans"))
 
 
-def samples(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, random_samples: int, ordinary_documents: int) -> DataFrame:
-    """value, label: strings that the patterns matched are 1, words of a bounded sample of documents outside those 0."""
+def samples(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
+    """value, label, times: distinct strings that the patterns matched are 1, words outside those 0, as often as they occur."""
     random = rows.where(F.size("base") > 0).select(F.explode("base.value").alias("value")).distinct()
-    random = random.orderBy(F.xxhash64("value"), "value").limit(random_samples).select("value", F.lit(1).alias("label"))
-    share = min(1.0, ordinary_documents / max(docs.count(), 1))
-    some = docs.where(uniform(F.col(id_col), F.col(text_col), seed=7) < share).select(F.col(text_col).alias("text"))
+    text = F.col(text_col)
     for p in (ASSIGN, ACCESS, HEX):
-        some = some.withColumn("text", F.regexp_replace("text", p, " "))
-    plain = some.select(F.explode(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0))).alias("value"), F.lit(0).alias("label"))
-    return random.union(plain)
+        text = F.regexp_replace(text, p, " ")
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(ORDINARY), F.lit(0))).alias("value"))
+    plain = words.groupBy("value").agg(F.count("*").alias("times"))
+    return random.select("value", F.lit(1).alias("label"), F.lit(1).cast("long").alias("times")).union(plain.select("value", F.lit(0).alias("label"), "times"))
 
 
 def digest(spans: Column) -> Column:
