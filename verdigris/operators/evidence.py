@@ -52,3 +52,44 @@ def marginal_relevance(candidates: DataFrame, weight: float = 0.7, per_source: i
 
     kind = dict(candidates.dtypes)
     return candidates.where(F.col("rank") <= CANDIDATES).groupBy("group_id").applyInPandas(run, f"group_id {kind['group_id']}, id {kind['id']}, position int")
+
+
+def keep_unlike(candidates: DataFrame, millis: int = 850) -> DataFrame:
+    """candidates (query_id, id, source, rank, sh array<string>, ...) without those that are like a kept, better one of their query and source.
+
+    A group is one query's bounded candidates; they are folded in order of rank.
+    """
+    columns = [c for c in candidates.columns if c != "query_id"]
+    items = F.array_sort(F.collect_list(F.struct("rank", *[c for c in columns if c != "rank"])))
+    like = lambda x, k: (k.source == x.source) & (F.size(F.array_intersect(k.sh, x.sh)) * 1000 >= millis * F.size(F.array_union(k.sh, x.sh))) & (F.size(x.sh) > 0)
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: like(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
+    grouped = candidates.groupBy("query_id").agg(items.alias("items"))
+    kept = F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step)
+    return grouped.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.*")
+
+
+def fill(candidates: DataFrame, *, budget: int = 4000, sources: int = 12, per_source: int = 3, threshold: int = 1) -> DataFrame:
+    """candidates (query_id, id, source, rank, cost, relevance, covers, terms) -> query_id, id, position (null if left out), utility, reason.
+
+    Each step takes the candidate with the most utility per hundred tokens; new words count only while they are new. A candidate over
+    the budget, under the threshold or beyond a source's cap is left out with that reason, and the search goes on.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        pool = {r.id: r for r in rows[rows["rank"] <= CANDIDATES].itertuples()}
+        words, used, spent, out = set(), {}, 0, []
+        while pool:
+            value = {i: 180 * len(r.covers) + min(100, max(0, r.relevance // 10)) + min(80, 4 * len(set(r.terms) - words)) for i, r in pool.items()}
+            best = min(pool, key=lambda i: (-(value[i] * 100 // max(1, pool[i].cost)), -value[i], pool[i].rank, i))
+            r = pool.pop(best)
+            capped = used.get(r.source, 0) >= per_source or (r.source not in used and len(used) >= sources)
+            reason = "source_cap" if capped else "zero_marginal_utility" if value[best] * 100 // max(1, r.cost) < threshold else "budget" if spent + r.cost > budget else None
+            if reason is None:
+                spent, used[r.source] = spent + r.cost, used.get(r.source, 0) + 1
+                words |= set(r.terms)
+            out.append((key[0], best, sum(o[4] == "selected" for o in out) + 1 if reason is None else None, value[best], reason or "selected"))
+        frame = pd.DataFrame(out, columns=["query_id", "id", "position", "utility", "reason"])
+        return frame.astype({"position": "Int32"})
+
+    kind = dict(candidates.dtypes)
+    return candidates.groupBy("query_id").applyInPandas(run, f"query_id {kind['query_id']}, id {kind['id']}, position int, utility int, reason string")

@@ -283,7 +283,7 @@ def role_transitions(spark, sf):
     return per.groupBy("role", "next_role").agg(F.sum("n").alias("times"), F.count("*").alias("conversations"))
 
 
-@query("select sha256(array_to_string(list_transform(embedding, x -> floor(x::double * 1000000 + 0.5)::bigint), ',')) h, min(vec_id) first_id, count(*) n from embeddings group by 1")
+@query("select sha256(array_to_string([floor(x::double * 1000000 + 0.5)::bigint for x in embedding], ',')) h, min(vec_id) first_id, count(*) n from embeddings group by 1")
 def embedding_hashes(spark, sf):
     """STR-36, SNK-13: vectors by the hash of their components in millionths; equal ones share a cache entry."""
     text = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000 + 0.5).cast("string")), ",")
