@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..engine import search
 from ..functions import text as T
 from ..operators.children import child_rows
 from ..operators.evidence import fill, keep_unlike
 from ..operators.retrieval import query_terms
-from ..runtime import table
+from ..runtime import stage, table
 from .retrieval_queries import _Q, _TOP, WORDS, _ranked, _with_source, questions
 
 QUERIES, SQL = {}, {}
@@ -34,6 +35,14 @@ def parent_child_chunks(spark, sf):
     return child_rows(table(spark, sf, "documents")).drop("display_text", "search_text")
 
 
+@query()
+def packed_search(spark, sf):
+    """LEX-6, EXP-1, DDP-1, PCK-1: the questions' chunks, packed with their neighbours. The chunks are written once, as an index is, and
+    read three times. Tested through the library."""
+    chunks = stage(child_rows(table(spark, sf, "documents")), "chunks")
+    return search(chunks, questions(spark)).drop("text")
+
+
 @query("select doc_id, length(text) chars, strlen(text) bytes, 0::bigint gaps, 0::bigint oversize from documents where length(text) > 0")
 def generation_audit(spark, sf):
     """GEN-1, GEN-2: the children of every document tile it in characters and bytes, and none is over the hard size."""
