@@ -3,22 +3,18 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship, table  # noqa: F401
+from ..runtime import new_path, shared_dir, ship, stage, table  # noqa: F401
 
 #: The class of white space that the contracts name, and its complement's words.
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a dimension table is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
-_own_dirs: dict[str, str] = {}
-
 
 def lean(run):
     """A function over Arrow batches whose worker, kept for other tasks, gives freed memory back when it ends."""
@@ -36,28 +32,6 @@ def lean(run):
     return held
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="spark-verdigris-")
-    return _own_dirs[app]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes df to the shared folder and reads it back."""
-    path = new_path(ship(df.sparkSession), name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def uniform(*cols: Column, seed: int) -> Column:
     """A reproducible number in (0, 1) from the columns' values."""
     return (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
