@@ -324,6 +324,16 @@ def test_decontamination(spark, odd_rows, odd_docs, no_docs):
     assert decontaminate.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_of_documents_that_begin_inside_an_item(spark):
+    item = [f"w{k}" for k in range(20)]
+    texts = [" ".join(item[5:]) + " other words", " ".join(item[10:]), " ".join(item[11:]) + " other", "lead " + " ".join(item[3:13]), " ".join(item[7:18] + item)]
+    docs, items = list(enumerate(texts)), [(1, " ".join(item))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(frame, bench).collect())
+    assert got == brute_leaks(docs, items) and [x[2] for x in got] == [15, 10, 0, 10, 31]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(frame, bench).collect()] == [2]
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "alpha x x beta"), (2, "alpha x x x x x beta"), (3, "beta alpha gamma"), (4, None)], "doc_id long, text string")
     phrases = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")

@@ -86,9 +86,9 @@ def phrase_hits(index: Index, items: DataFrame, size: int = 10) -> DataFrame:
     """d, h, it, item_id, starts (item positions of windows that occur), shift (document position minus item position)."""
     found = stage(windows(items, index, size), "leak_windows")
     postings = index.postings
-    # The rarest term's list, adjusted by its offset in the item.
+    # The rarest term's list, adjusted by its offset in the item: below zero where a document begins inside an item.
     first = stage(found.select("t1", "it", "p1").distinct(), "leak_first")
-    aligned = small_join(postings, first, F.col("tid") == F.col("t1"), "inner").select("d", "h", "it", "p1", (F.col("pos") - F.col("p1")).alias("shift")).where("shift >= 0")
+    aligned = small_join(postings, first, F.col("tid") == F.col("t1"), "inner").select("d", "h", "it", "p1", (F.col("pos") - F.col("p1")).alias("shift"))
     # Intersected with the second rarest's.
     second = stage(found.select("t2", "it", "p1", "p2").distinct(), "leak_second")
     other = small_join(postings, second.select("t2", F.col("it").alias("it2"), F.col("p1").alias("q1"), "p2"), F.col("tid") == F.col("t2"), "inner")
