@@ -28,6 +28,18 @@ def test_decisions_take_effect(spark):
     assert kept == {r.doc_id for r in decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit = 0").collect()}
 
 
+def test_near_duplicates_are_dropped_by_document(spark):
+    """Null ids, one id with several texts, repeated rows: one document of each component stays, whatever its id."""
+    a, b, c, d, e = ("".join(f"{x}{k} " for k in range(40)) for x in "abcde")
+    rows = [(1, a, "s"), (None, a, "s"), (None, b, "s"), (None, c, "s"), (None, c, "t"), (2, d, "s"), (2, e, "s"), (3, e, "s"), (1, a, "s"), (3, b + "x", "s"), (0, d, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = {r.fp for r in simhash.near_duplicates(docs).collect()}
+    kept = [(r.doc_id, r.text) for r in P.simhash_dedup(spark, docs, SF).select("doc_id", "text").collect()]
+    near_b = {fp for fp in found if (fp ^ simhash.fingerprint(b.encode())) % 2**64 and ((fp ^ simhash.fingerprint(b.encode())) % 2**64).bit_count() <= 2}
+    want = [(1, a), (3, b + "x"), (None, c), (0, d), (2, e)] + ([] if near_b else [(None, b)])
+    assert sorted(map(repr, kept)) == sorted(map(repr, want))
+
+
 def test_run(spark):
     rows = P.run(spark, SF).orderBy("start").collect()
     assert rows and rows[0].start == 0

@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import connected_components, lean, stage, table
@@ -61,14 +61,16 @@ def _fingerprints(size: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py() or b"", size, seed) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
 
     return run
 
 
-def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(lean(_fingerprints(size, seed)), "id long, fp long")
+def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """id, fp of every row, and if hashed its text's hash h."""
+    hashes = [F.xxhash64(F.col(text_col)).alias("h")] if hashed else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *hashes)
+    return rows.mapInArrow(lean(_fingerprints(size, seed)), "id long, fp long" + ", h long" * hashed)
 
 
 def _co_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,24 +200,48 @@ def links(distinct: DataFrame, tau: int = 2) -> DataFrame:
     return pairs.union(found) if found is not None else pairs
 
 
-def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42, tau: int = 2) -> DataFrame:
-    """id, fp, component_id of every row: the smallest id among those reachable over links of at most tau bits."""
-    rows = stage(fingerprints(docs, id_col, text_col, size, seed), "simhash_fp")
+def _classes(rows: DataFrame, tau: int) -> DataFrame:
+    """f, r, component_id: each distinct fingerprint of rows, the root of its component, and the component's smallest id."""
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash_distinct")
     roots = stage(connected_components(links(distinct.select("fp"), tau), "simhash_links"), "simhash_roots")
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    grouped = stage(grouped.select(F.col("fp").alias("f"), F.col("root").alias("r")).join(least, F.col("r") == F.col("root")).select("f", "component_id"), "simhash_classes")
-    return rows.join(grouped, F.col("fp") == F.col("f")).select("id", "fp", "component_id")
+    return stage(grouped.select(F.col("fp").alias("f"), F.col("root").alias("r")).join(least, F.col("r") == F.col("root")).select("f", "r", "component_id"), "simhash_classes")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """docs' own rows and columns, one document of each component: that with the smallest id."""
-    found = stage(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "simhash_found")
-    lost = found.where("id <> component_id").select(F.col("id").alias("__lost"))
-    kept = docs.join(lost, F.col(id_col) == F.col("__lost"), "left_anti")
-    if found.count() != found.select("id").distinct().count():  # rows that share an id
-        kept = kept.dropDuplicates([id_col])
+def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42, tau: int = 2) -> DataFrame:
+    """id, fp, component_id of every row: the smallest id among those reachable over links of at most tau bits."""
+    rows = stage(fingerprints(docs, id_col, text_col, size, seed), "simhash_fp")
+    return rows.join(_classes(rows, tau), F.col("fp") == F.col("f")).select("id", "fp", "component_id")
+
+
+def _one_of_each(docs: DataFrame, key: list[Column], repeated: DataFrame) -> DataFrame:
+    """docs with one row for each key in repeated (staged, columns __k0, ..): the least by a hash of all its columns."""
+    if not repeated.count():
+        return docs
+    same = [k.eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(key)]
+    rows = docs.join(repeated, same, "left_semi").select(F.struct(*key).alias("__key"), F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__order"))
+    return docs.join(repeated, same, "left_anti").union(rows.groupBy("__key").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42, tau: int = 2, unique_ids: bool = True) -> DataFrame:
+    """docs' own rows and columns, one document of each component: that with the smallest id (null is last), fingerprint and text hash.
+
+    Of rows that are equal in id and text the least by a hash of all columns stays. With unique_ids, survivors of several
+    components that share an id that is not null are cut to one in the same way.
+    """
+    rows = stage(fingerprints(docs, id_col, text_col, size, seed, hashed=True), "simhash_fp")
+    classes = _classes(rows, tau)
+    found = stage(rows.join(classes, F.col("fp") == F.col("f")).select("id", "h", "r", F.struct(F.col("id").isNull().alias("last"), "id", "fp", "h").alias("me")), "simhash_found")
+    best = stage(found.groupBy("r").agg(F.min("me").alias("best")), "simhash_best").withColumnRenamed("r", "root")
+    both = found.join(best, F.col("r") == F.col("root"))
+    lost = both.where(~F.col("me").eqNullSafe(F.col("best"))).select(F.col("id").alias("__k0"), F.col("h").alias("__k1")).distinct()
+    key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
+    kept = docs.join(lost, [k.eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(key)], "left_anti")
+    kept = _one_of_each(kept, key, stage(found.groupBy(F.col("id").alias("__k0"), F.col("h").alias("__k1")).count().where("count > 1").drop("count"), "simhash_repeated"))
+    if unique_ids:
+        shared = best.select(F.col("best.id").alias("__k0")).where("__k0 is not null").groupBy("__k0").count().where("count > 1").drop("count")
+        kept = _one_of_each(kept, key[:1], stage(shared, "simhash_shared"))
     return kept
 
 
