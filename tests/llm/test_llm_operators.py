@@ -282,6 +282,22 @@ def test_html(html, text):
     assert got == text or html.startswith("</p>") and got.strip().startswith("text")
 
 
+HEADS = [
+    ("<html><head><title>T</title><body><p>Hi", "Hi"),
+    ("<head><title>T</title><meta charset=x><p>a<p>b", "a\n\nb"),
+    ("<head><title>T</title> text <b>c</b>", "text c"),
+    ("<head><noscript><p>no</noscript><template><p>no</template><script>no</script><body>yes", "yes"),
+    ("<head><title>T</title></head><body>x", "x"),
+    ("<title>T</title><h1>x</h1>y", "x\n\ny"),
+    ("<p>a<head><p>b", "a\n\nb"),
+]
+
+
+@pytest.mark.parametrize("html, text", HEADS)
+def test_html_without_head_and_body_tags(html, text):
+    assert html_text.render(html) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (None, "<p>x", "u"), (1, "", "u")], "page_id long, html string, text string")
     assert sorted((r.text for r in html_text.extract(pages).collect())) == ["", "", "x"]

@@ -32,6 +32,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     **{t: ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
 }
+#: Elements that leave an open head open; any other start tag, and text, ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: Elements that an end tag of an element around them may not be matched across.
 WALLS = frozenset("table td th caption body html".split())
 DEEPEST = 200
@@ -53,6 +55,7 @@ class _Builder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
+        self.past_head = False
 
     def _close(self, tags, walls) -> None:
         """Ends the innermost open element of the tags, if it is not beyond a wall."""
@@ -63,9 +66,19 @@ class _Builder(HTMLParser):
             if self.open[k].tag in walls:
                 return
 
+    def _end_head(self) -> None:
+        """Ends a head that is the current element; after that, or after other content, a head start tag means nothing."""
+        if self.open[-1].tag == "head":
+            self.open.pop()
+        self.past_head |= all(n.tag == "html" for n in self.open)
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body") and len(self.open) > 1 and tag != "body":
             return
+        if tag == "head" and (self.past_head or any(n.tag != "html" for n in self.open)):
+            return
+        if tag not in IN_HEAD and tag not in ("html", "head"):
+            self._end_head()
         if tag in ENDS_P:
             self._close({"p"}, WALLS)
         if tag in ENDS:
@@ -94,6 +107,8 @@ class _Builder(HTMLParser):
             self._close({tag}, WALLS - {tag} if tag not in ("table", "body", "html") else ())
 
     def handle_data(self, data):
+        if data.strip(" \t\n\f\r"):
+            self._end_head()
         self.open[-1].children.append(data)
 
 
