@@ -298,6 +298,28 @@ def test_html_without_head_and_body_tags(html, text):
     assert html_text.render(html) == text
 
 
+SEEN = [
+    ("<table>note<tr><b>x</b><td>y</table>", "notex\n\ny"),
+    ("a<table><tbody>in<tr>row<td>1<td>2<tr><div>d</div><td>3<td>4</table>z", "ainrow\nd\n\n1 | 2\n3 | 4\n\nz"),
+    ("<table><tr><td>a<table>n<tr><td>b</table>c</table>", "an\n\nb\n\nc"),
+    ("<table><form><tr><td>a<td>b</form></table>", "a | b"),
+    ("p <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> q", "p x=2 q"),
+    ("<svg><title>no</title><defs><text>no</text></defs><path d='M0'/><text>one</text><g><text>two</text></g></svg>", "one two"),
+    ("<svg><path/><p>after", "after"),
+    ("Name <textarea>a  b</textarea>", "Name a b"),
+    ("<textarea>\na\n  b</textarea>", "a\n  b"),
+    ("<select><option disabled>no<option>first<option>second</select>", "first"),
+    ("<select><option>first<option selected>second</select> x", "second x"),
+    ("<select multiple><optgroup label=G><option>first<option>second</select>", "G\nfirst\nsecond"),
+    ("<object data=x><param name=a>instead</object>", "instead"),
+]
+
+
+@pytest.mark.parametrize("html, text", SEEN)
+def test_html_emits_all_that_is_seen(html, text):
+    assert html_text.render(html) == text
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (None, "<p>x", "u"), (1, "", "u")], "page_id long, html string, text string")
     assert sorted((r.text for r in html_text.extract(pages).collect())) == ["", "", "x"]

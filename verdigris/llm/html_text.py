@@ -3,7 +3,12 @@
 A tree builder with implied end tags takes the tokens of the standard library's HTML parser; what is not displayed
 (scripts, styles, templates, hidden elements, closed details) makes no text. The renderer emits all that is visible:
 blocks apart from each other, paragraphs by an empty line, lists with markers and indents, tables with their
-cells aligned in columns, preformatted text as it stands.
+cells aligned in columns, preformatted text as it stands. Text and elements that stand in a table but in no cell or caption come before
+the table. Of a drop-down the chosen option is text, of a list box every option; of svg its text elements; a text area's
+lines stand as they are; an object gives its fallback.
+
+Not displayed by a browser that runs scripts and plays media, so without text: head, script, style, template, noscript, title;
+the fallback of iframe, audio, video and canvas; datalist; annotations of math; definitions and descriptions in svg.
 
 Defined cases: null and empty pages give empty text; broken markup never fails, unclosed elements end with the page;
 elements nested deeper than `DEEPEST` are laid out as if they stood at that depth; repeated rows render alike.
@@ -23,7 +28,7 @@ from .common import lean, table
 
 #: HTML's void elements, elements that are not displayed, blocks, and blocks with a margin.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base object iframe audio video canvas svg math select textarea datalist".split())
+UNSEEN = frozenset("head script style template noscript title meta link base iframe audio video canvas datalist annotation annotation-xml".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu fieldset".split())
 #: Start tags that end an open p, and for each start tag the open elements that it ends, up to a boundary.
@@ -36,6 +41,14 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript noframes template".split())
 #: Elements that an end tag of an element around them may not be matched across.
 WALLS = frozenset("table td th caption body html".split())
+#: What a table, its sections and rows hold; where else in it text and elements are put before the table. Where table tags go back to.
+TABLE = frozenset("table tbody thead tfoot tr colgroup".split())
+IN_TABLE = frozenset("caption colgroup col tbody thead tfoot tr td th style script template".split())
+BACK_TO = {"td": TABLE, "th": TABLE, "tr": TABLE - {"tr", "colgroup"}} | {t: frozenset({"table"}) for t in ("tbody", "thead", "tfoot", "caption", "colgroup")}
+#: Elements in svg and math that hold HTML, parts of svg that are not drawn, and start tags that end svg and math.
+HTML_IN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+UNDRAWN = frozenset("defs symbol title desc metadata clippath mask pattern marker style script".split())
+ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 DEEPEST = 200
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
@@ -72,7 +85,29 @@ class _Builder(HTMLParser):
             self.open.pop()
         self.past_head |= all(n.tag == "html" for n in self.open)
 
+    def _foreign(self) -> int:
+        """Where the svg or math is in whose own content the parser stands, else 0."""
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k].tag in ("svg", "math"):
+                return k
+            if self.open[k].tag in HTML_IN:
+                return 0
+        return 0
+
+    def _place(self, child, foster: bool) -> None:
+        """Adds a child to the current element, or before the table that is open."""
+        if foster and self.open[-1].tag == "colgroup":
+            self.open.pop()
+        at = max((k for k, n in enumerate(self.open) if n.tag == "table"), default=0) if foster and self.open[-1].tag in TABLE else 0
+        if at:
+            around = self.open[at - 1].children  # the open table is the last in it
+            around.insert(len(around) - 1, child)
+        else:
+            self.open[-1].children.append(child)
+
     def handle_starttag(self, tag, attrs):
+        if tag in ENDS_SVG and (k := self._foreign()):
+            del self.open[k:]
         if tag in ("html", "body") and len(self.open) > 1 and tag != "body":
             return
         if tag == "head" and (self.past_head or any(n.tag != "html" for n in self.open)):
@@ -88,28 +123,42 @@ class _Builder(HTMLParser):
                 self._close(tags, walls)
                 if len(self.open) == before:
                     break
+        if tag in BACK_TO:
+            for k in range(len(self.open) - 1, 0, -1):
+                if self.open[k].tag in BACK_TO[tag]:
+                    del self.open[k + 1 :]
+                    break
+                if self.open[k].tag in ("td", "th", "caption"):
+                    break
+        elif tag == "table" and self.open[-1].tag in TABLE:
+            self._close({"table"}, ())
         node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        form = tag == "form" and self.open[-1].tag in TABLE  # is empty there
+        self._place(node, tag not in IN_TABLE and not form)
+        if tag not in VOID and not form and len(self.open) < DEEPEST:
             self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)  # in HTML the slash means nothing
+        self.handle_starttag(tag, attrs)
+        if self._foreign() and self.open[-1].tag == tag:  # in HTML the slash means nothing
+            self.open.pop()
 
     def handle_endtag(self, tag):
         if tag == "br":
-            self.open[-1].children.append(Node("br", {}))
+            self._place(Node("br", {}), True)
         elif tag in VOID:
             pass
         elif tag == "p" and not any(n.tag == "p" for n in self.open):
-            self.open[-1].children.append(Node("p", {}))
+            self._place(Node("p", {}), True)
         else:
             self._close({tag}, WALLS - {tag} if tag not in ("table", "body", "html") else ())
 
     def handle_data(self, data):
         if data.strip(" \t\n\f\r"):
             self._end_head()
-        self.open[-1].children.append(data)
+            self._place(data, True)
+        else:
+            self.open[-1].children.append(data)
 
 
 def build(html: str) -> Node:
@@ -228,6 +277,48 @@ def _table(node: Node, out: _Lines) -> None:
         out.take([x.rstrip() for x in done])
 
 
+def _options(node: Node, off: bool = False) -> Iterator[tuple[bool, bool, str, dict]]:
+    """off, is an option, text, attributes of a select's options and groups."""
+    for child in node.children:
+        if isinstance(child, str) or not _visible(child):
+            continue
+        if child.tag == "option":
+            yield off or "disabled" in child.attrs, True, child.attrs.get("label") or " ".join(_SPACE.split("".join(_plain(child)))).strip(), child.attrs
+        else:
+            if child.tag == "optgroup" and child.attrs.get("label"):
+                yield True, False, child.attrs["label"], child.attrs
+            yield from _options(child, off or (child.tag == "optgroup" and "disabled" in child.attrs))
+
+
+def _select(node: Node, out: _Lines) -> None:
+    found = list(_options(node))
+    if "multiple" in node.attrs or re.fullmatch(r"0*([2-9]|[1-9]\d+)", node.attrs.get("size", "")):
+        out.newline()
+        out.take([text for _, _, text, _ in found if text])
+        return
+    options = [x for x in found if x[1]]
+    chosen = [x for x in options if "selected" in x[3]][-1:] or [x for x in options if not x[0]][:1]
+    for _, _, text, _ in chosen:
+        out.text(text)
+
+
+def _svg(node: Node, out: _Lines) -> None:
+    """Text elements, apart from each other, and embedded HTML."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in UNDRAWN or not _visible(child):
+            continue
+        if child.tag == "text":
+            out.space = True
+            _flow(child, out)
+            out.space = True
+        elif child.tag == "foreignobject":
+            out.newline()
+            _flow(child, out)
+            out.newline()
+        else:
+            _svg(child, out)
+
+
 def _element(node: Node, out: _Lines) -> None:
     tag = node.tag
     if not _visible(node):
@@ -249,6 +340,17 @@ def _element(node: Node, out: _Lines) -> None:
         lines = "".join(_plain(node)).replace("\r\n", "\n").removeprefix("\n").rstrip("\n").split("\n")
         out.take(lines if any(x.strip() for x in lines) else [])
         out.block(True)
+    elif tag == "select":
+        _select(node, out)
+    elif tag == "svg":
+        _svg(node, out)
+    elif tag == "textarea":
+        lines = "".join(_plain(node)).replace("\r\n", "\n").removeprefix("\n").rstrip("\n").split("\n")
+        if len(lines) == 1:
+            out.text(lines[0])
+        else:
+            out.newline()
+            out.take(lines)
     elif tag == "table":
         out.block(True)
         _table(node, out)
@@ -279,6 +381,11 @@ def _plain(node: Node) -> Iterator[str]:
             yield child
         elif child.tag == "br":
             yield "\n"
+        elif child.tag in ("select", "svg", "table"):
+            inner = _Lines()
+            _element(child, inner)
+            inner.newline()
+            yield "\n".join(inner.lines)
         elif _visible(child):
             yield from _plain(child)
 
