@@ -84,12 +84,31 @@ def test_simple8b_round_trip():
 def test_short_ways_of_tokenizing():
     import public_tokenizers as P
 
+    assert not tokens._Tokenizer(P.path("byte_bpe_50k.json"), True).by_word  # joins text over white space
     t = tokens._Tokenizer(P.path("word_bpe_49k.json"), True)
     assert t.by_word and t.direct
     odd = ["", " ", "a<|endoftext|>b.", "x'll.'s '.,", "é ́. a.́ b‍. İSTANBUL ΣΑΣ. ½ ² 3.5,4 \x1c a\x85b \xa0c", "don't. DON'T, 'S! A's", "ab|cd|| |", "日本語。テスト.", "É ÇA ñ ß ẞ Ŀl ŉ ª"]
     assert [x.tolist() for x in t(odd)] == [t.model.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_ids_are_those_of_the_library():
+    """Every letter and digit before every mark, every white space, and random strings of awkward pieces."""
+    import random
+
+    import public_tokenizers as P
+
+    t = tokens._Tokenizer(P.path("word_bpe_49k.json"), True)
+    known = [chr(c) for c in range(0x20, 0x20000) if chr(c).isalnum()]
+    texts = [" ".join(f"a{c}{m}" for c in known[k : k + 200]) for m in tokens.MARKS for k in range(0, len(known), 200)]
+    texts += ["DİYARBAKIRLI İ!", *(f"a{chr(c)}b{chr(c)}" for c in [*range(0x100), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1680, 0x180E])]
+    rng = random.Random(1)
+    pool = [*"abcXYZ019 \t\n\x0b\x0c\r\x1c\x85\xa0.,;:!?#$%&*|'\"<>()", *"İßẞé́̇क़ﬁשׁ日ǅŉª²½Σςㄱ한", "'s", "'ll", "'S", "<|endoftext|>", "<|ENDOFTEXT|>", "e\u0301", "x" * 70, "👍🏽"]
+    texts += ["".join(rng.choice(pool) for _ in range(rng.randint(1, 25))) for _ in range(50_000)]
+    for k in range(0, len(texts), 4096):
+        some = texts[k : k + 4096]
+        assert [x.tolist() for x in t(some)] == [e.ids for e in t.model.encode_batch(some, add_special_tokens=False)]
+
+
 def test_tokens(spark, odd_docs, odd_rows, no_docs):
     import public_tokenizers as P
     from tokenizers import Tokenizer

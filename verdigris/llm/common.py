@@ -48,6 +48,17 @@ def small_join(big: DataFrame, dim: DataFrame, on: Column, how: str = "left") ->
     return big.join(F.broadcast(dim) if dim.count() <= BROADCAST_ROWS else dim, on, how)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until no column of df has one of them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """edges (a, b) -> (node, root) for every node in an edge; root is the smallest node reachable.
 

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_join, stage, table
+from .common import small_join, stage, table, unused
 
 #: What separates words (before or after lower-casing A-Z, which are word characters here), and A-Z to a-z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -105,8 +105,9 @@ def phrase_hits(index: Index, items: DataFrame, size: int = 10) -> DataFrame:
     runs = met.groupBy("d", "h", "it", "shift").agg(F.collect_set("p").alias("ps"))
     sizes = items.select(F.col("it").alias("i"), "item_id", F.least(F.lit(size), F.col("n")).alias("l")).distinct()
     runs = small_join(runs, stage(sizes, "leak_sizes"), F.col("it") == F.col("i"), "inner").drop("i")
-    whole = F.filter("ps", lambda s: F.size(F.filter("ps", lambda p: (p >= s) & (p < s + F.col("l")))) == F.col("l"))
-    return runs.withColumn("starts", F.array_sort(whole)).where(F.size("starts") > 0).select("d", "h", "it", "item_id", "l", "shift", "starts")
+    # Of ascending positions, those begin a whole window whose l-1st successor is l-1 words on.
+    whole = F.filter("ps", lambda s, i: F.coalesce(F.get("ps", i + F.col("l") - 1) == s + F.col("l") - 1, F.lit(False)))
+    return runs.withColumn("ps", F.array_sort("ps")).withColumn("starts", whole).where(F.size("starts") > 0).select("d", "h", "it", "item_id", "l", "shift", "starts")
 
 
 def proximity_matches(index: Index, phrases: DataFrame, slop: int, *, id_col="item_id", text_col="text") -> DataFrame:
@@ -141,8 +142,9 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = 10, id_col="
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col="doc_id", text_col="text", **options) -> DataFrame:
     """docs' own rows and columns without the documents that hold a window of an item."""
-    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("d").alias("__bad_d"), F.col("h").alias("__bad_h")).distinct()
-    mine = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__bad_d")) & (F.xxhash64(F.col(text_col)) == F.col("__bad_h"))
+    d, h = unused(docs, "bad_d", "bad_h")
+    bad = contamination(docs, items, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(F.col("d").alias(d), F.col("h").alias(h)).distinct()
+    mine = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col(d)) & (F.xxhash64(F.col(text_col)) == F.col(h))
     return small_join(docs, stage(bad, "leak_bad"), mine, "left_anti")
 
 

@@ -16,6 +16,7 @@ ids are neighbours in an undefined order between equal texts and by text otherwi
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -37,19 +38,25 @@ HEAD = struct.Struct("<4sIIIQQ")
 DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("n", "<u4")])
 #: Ids of a block, unless one document alone has more.
 BLOCK_IDS = 1 << 18
+#: Blocks of a file (so that a file can be read as one binary), and characters of the texts that part rows with equal ids.
+FILE_BLOCKS, PARTING = 512, 32
 #: Strings between white space, and parts of them, whose ids a worker remembers; a full memory is emptied.
 REMEMBERED, REMEMBERED_PARTS = 120_000, 400_000
 #: Bytes of text that a worker takes at once, unless one document alone has more.
 SLICE_BYTES = 1 << 23
 #: Marks that are parted from the letter or digit they follow. No apostrophe: the tokenizer knows contractions.
 MARKS = ".,;:!?#$%&*|"
-#: Texts on which the short ways must give what the tokenizer gives for the whole.
-PROBES = ("the quick brown fox", "ab, cd. Efgh! Ij|kl%%% x1y2, the. It's don't. A*** B&&&", "Über ÉTÉ, ñandú. naïve;")
+#: Longest string that is remembered.
+LONGEST = 64
+#: The normalizer and splitter for which the short ways are right. White space is dropped and joins nothing, letters and
+#: digits are parted from marks, and every character is lower-cased by itself.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 #: Byte-level tokenizers write a byte as a character: printable ones of Latin-1 stand for themselves, the others follow from 256 on.
 _OWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: b for b in _OWN} | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _OWN)}
-#: Letters of the Latin blocks that lower-case one by one (not the dotted capital i).
+#: Characters of the Latin blocks that NFC leaves alone and that lower-case to one character (not the dotted capital i).
 LATIN = re.compile("[A-Za-z\u00aa-\u012f\u0131-\u024f]+").fullmatch
 
 _workers: dict[str, "_Tokenizer"] = {}
@@ -68,25 +75,31 @@ class _Memory(dict):
         return value
 
 
+def parts_at_white_space(definition: dict) -> bool:
+    """Are a tokenizer's ids of a text those of its strings between ASCII white space, one after another?"""
+    split = definition.get("pre_tokenizer") or {}
+    first = (split.get("pretokenizers") or [{}])[0] if split.get("type") == "Sequence" else split
+    added = definition.get("added_tokens") or []
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or re.search(r"\s", t["content"])) for t in added)
+    return definition.get("normalizer") == NORMALIZER and first == SPLITTER and plain and not definition.get("truncation") and not definition.get("padding")
+
+
 class _Tokenizer:
     """Ids of texts; strings between white space are tokenized once and remembered.
 
-    The short ways (by strings, by strings and marks, letters straight to the model) are for tokenizers that never join text over
-    white space or such marks; they are used only if they agree with the tokenizer on `PROBES`.
+    The short ways (by strings, by strings and marks, letters straight to the model) are taken only for a tokenizer whose definition
+    is the one they are right for; any other gets the whole texts.
     """
 
     def __init__(self, path: str, by_word: bool):
         import tokenizers
 
         self.model = tokenizers.Tokenizer.from_file(path)
+        definition = json.loads(self.model.to_str())
+        self.by_word = by_word and parts_at_white_space(definition)
+        rest = (definition.get("pre_tokenizer") or {}).get("pretokenizers", [])[1:]
+        self.direct = self.by_word and [(x["type"], x.get("add_prefix_space"), x.get("use_regex")) for x in rest] == [("ByteLevel", False, False)]
         self.parts, self.known = _Memory(self._part, REMEMBERED_PARTS), _Memory(self._string, REMEMBERED)
-        self.by_word = self.direct = by_word
-        for self.direct in (by_word, False):
-            self.parts.clear()
-            self.known.clear()
-            if by_word and all(x.tolist() == self.model.encode(t, add_special_tokens=False).ids for x, t in zip(self(list(PROBES)), PROBES)):
-                return
-        self.by_word = False
 
     def _part(self, s: str) -> bytes:
         if self.direct and s.isalpha() and (s.isascii() or LATIN(s) and unicodedata.is_normalized("NFC", s)):
@@ -97,10 +110,14 @@ class _Tokenizer:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _string(self, s: str) -> bytes:
+        """A string's ids. Marks are parted only from an ASCII or Latin letter or digit: others may lower-case or decompose into
+        something that ends in a combining mark, which goes with the marks."""
+        if len(s) > LONGEST:
+            return self._part(s)
         stem = s.rstrip(MARKS)
-        if not stem or not stem[-1].isalnum():
+        if not stem or not stem[-1].isalnum() or not (stem[-1].isascii() or LATIN(stem[-1])):
             return self.parts[s]
-        low = stem.lower() if self.direct and stem.isascii() else stem
+        low = stem.lower() if self.direct and stem.isascii() and stem.isalnum() else stem
         return self.parts[low] + self.parts[s[len(stem) :]] if len(stem) < len(s) else self.parts[low]
 
     def __call__(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
@@ -111,7 +128,7 @@ class _Tokenizer:
         strings = pc.ascii_split_whitespace(texts)
         bounds = strings.offsets.to_numpy() - strings.offsets[0].as_py()
         coded = strings.flatten().dictionary_encode()
-        codes, pieces = coded.indices.to_numpy(), list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
+        codes, pieces = coded.indices.to_numpy(), [self.known[s] if len(s) <= LONGEST else self._part(s) for s in coded.dictionary.to_pylist()]
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         first, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), "<u4")
         lengths = sizes[codes]
@@ -193,9 +210,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int | No
     spark = ship(docs.sparkSession)
     n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Rows that share an id (or have none) are parted by the texts' beginnings, which the order by id and text follows too.
+    rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.substring("text", 1, PARTING)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     blocks = rows.mapInArrow(lean(_blocks(tokenizer, by_word, end_id)), "block binary")
-    blocks.select(F.col("block").cast("string").alias("value")).write.option("compression", "none").text(path)
+    blocks.select(F.col("block").cast("string").alias("value")).write.option("compression", "none").option("maxRecordsPerFile", FILE_BLOCKS).text(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

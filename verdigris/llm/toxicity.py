@@ -30,7 +30,7 @@ TRAIN_DOCS = 20_000
 FEATURES = 400
 #: Documents that a word is in at least, and its z-score at least.
 LEAST_DOCS, LEAST_Z = 8, 4.0
-SENTENCE = re.compile(r"[^.!?\n]*[^.!?\s][^.!?\n]*")
+RUN = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the beginnings of a longer word that are features besides the word: inflected forms share them.
 PREFIXES = (4, 5, 6, 7, 8)
@@ -38,6 +38,11 @@ PREFIXES = (4, 5, 6, 7, 8)
 REMEMBERED = 100_000
 
 
+def sentences(text: str) -> list[re.Match]:
+    """Runs between the marks that end sentences, but those of white space alone."""
+    return [m for m in RUN.finditer(text) if not m[0].isspace()]
+
+
 def forms(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in PREFIXES if k < len(word))]
 
@@ -92,7 +97,7 @@ def _bags(words: list[str]):
         for batch in batches:
             plain, bags = [], []
             for text in batch.column(0):
-                found = [sorted({number[f] for w in WORD.findall(s.lower()) for f in forms(w) if f in number}) for s in SENTENCE.findall(text.as_py() or "")]
+                found = [sorted({number[f] for w in WORD.findall(m[0].lower()) for f in forms(w) if f in number}) for m in sentences(text.as_py() or "")]
                 plain.append(sum(not f for f in found))
                 bags.append([f for f in found if f])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(plain, pa.int32()), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["y", "plain", "bags"])
@@ -162,8 +167,8 @@ class Scorer:
         """A document's probability, and its sentences that are likelier toxic than not."""
         spans, log_none, weight = [], float(np.log1p(-min(self.leak, 1 - 1e-12))), self.weight
         if not self.features(set(WORD.findall(text.lower()))):
-            return -float(np.expm1(log_none + self.plain * len(SENTENCE.findall(text)))), spans
-        for m in SENTENCE.finditer(text):
+            return -float(np.expm1(log_none + self.plain * len(sentences(text)))), spans
+        for m in sentences(text):
             z = self.bias + sum(weight[f] for f in sorted(self.features(set(WORD.findall(m[0].lower())))))
             log_none -= float(np.logaddexp(0, z))
             if z >= 0:
