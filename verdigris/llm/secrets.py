@@ -8,7 +8,8 @@ before their pairs are. The models are two tables of 128 x 128 numbers, whatever
 DataFrame functions.
 
 Offsets are code points, ends exclusive. They are found without a user function: the strings between the matches of a
-pattern (split) and the matches themselves (regexp_extract_all) alternate, so running sums of their lengths are offsets.
+pattern (split) and the matches themselves (regexp_extract_all) alternate, so running sums of their lengths, taken block by block, are
+offsets. The base patterns decide the base spans, which are scored by the models too; the models alone decide the added ones.
 
 Defined cases: null and empty texts have no spans; without labelled samples both models are uniform and the method adds
 nothing; repeated rows are scanned alike; texts are scanned whole.
@@ -34,15 +35,31 @@ LEAST = 16
 ORDINARY = r"[A-Za-z0-9+/_=-]{3,}"
 #: Log-likelihood ratio from which a candidate is a secret: in all, and per pair of characters.
 TOTAL, PER_PAIR = 12.0, 0.5
-CODES, SYMBOLS = 128, 67
+CODES, SYMBOLS, MOST = 128, 67, (1 << 31) - 1
 
 
-def _lengths(a: Column) -> Column:
-    return F.transform(a, lambda x: F.length(x))
+#: Elements of a block of a running fold.
+BLOCK = 256
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _bound(value: Column, f) -> Column:
+    """f of a value that is computed once: within a lambda an expression is computed anew for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _before(a: Column, zero: Column, fold) -> Column:
+    """For each element of an array the fold of those before it: folds of whole blocks, then of the rest of its own block.
+
+    So an array of n elements takes n * (BLOCK + n / BLOCK**2) steps, not n * n.
+    """
+
+    def within(x: Column) -> Column:
+        folded = F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(x, b * BLOCK + 1, F.lit(BLOCK)), zero, fold))
+        bases = _bound(folded, lambda blocks: F.transform(blocks, lambda _, b: F.aggregate(F.slice(blocks, F.lit(1), b), zero, fold)))
+        block = lambda i: F.floor(i / BLOCK).cast("int")
+        return _bound(bases, lambda base: F.transform(x, lambda _, i: fold(F.get(base, block(i)), F.aggregate(F.slice(x, block(i) * BLOCK + 1, i % BLOCK), zero, fold))))
+
+    return _bound(a, within)
 
 
 def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
@@ -50,20 +67,39 @@ def found(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0)
     p = F.lit(pattern)
     whole = F.regexp_extract_all(text, p, F.lit(0))
     values = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-    parts = F.struct(_lengths(F.split(text, pattern, -1)).alias("gaps"), _lengths(whole).alias("ml"), values.alias("values"))
+    lengths = lambda a: F.transform(a, lambda x: F.length(x))
+    parts = F.struct(lengths(F.split(text, pattern, -1)).alias("gaps"), lengths(whole).alias("ml"), values.alias("values"))
 
-    def span(m: Column, value: Column, i: Column) -> Column:
-        start = _sum(F.slice(m.gaps, F.lit(1), i + 1)) + _sum(F.slice(m.ml, F.lit(1), i))
+    def span(m: Column, before: Column, value: Column, i: Column) -> Column:
+        start = F.get(before, i) + F.get(m.gaps, i)
         return F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (start + F.get(m.ml, i)).alias("end"), value.alias("value"))
 
-    # Within a lambda an expression is computed for every element: the matches are found once and bound by a lambda of their own.
-    spans = F.get(F.transform(F.array(parts), lambda m: F.transform(m["values"], lambda v, i: span(m, v, i))), F.lit(0))
+    def spans_of(m: Column) -> Column:
+        both = F.zip_with(m["ml"], m["gaps"], lambda x, gap: F.coalesce(x, F.lit(0)) + gap)
+        return _bound(_before(both, F.lit(0), lambda s, x: s + x), lambda before: F.transform(m["values"], lambda v, i: span(m, before, v, i)))
+
+    spans = _bound(parts, spans_of)
     if least:
         spans = F.filter(spans, lambda s: F.length(s.value) >= least)
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,value:string>>)")
     return F.when(text.rlike(pattern), spans).otherwise(empty)
 
 
+def apart(base: Column, more: Column) -> Column:
+    """Those of the model's candidates that overlap no base span: no earlier one ends, and no later one begins, within them."""
+    model = KINDS.index("model")
+
+    def kept(every: Column) -> Column:
+        ends = F.transform(every, lambda s: F.when(s.rank == model, 0).otherwise(s.end))
+        starts = F.reverse(F.transform(every, lambda s: F.when(s.rank == model, MOST).otherwise(s.start)))
+        upto = _before(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+        after = F.reverse(_before(starts, F.lit(MOST), lambda a, b: F.least(a, b)))
+        limits = F.struct(upto.alias("upto"), after.alias("after"))
+        return _bound(limits, lambda m: F.filter(every, lambda s, i: (s.rank == model) & (F.get(m["upto"], i) <= s.start) & (F.get(m["after"], i) >= s.end)))
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(_bound(F.array_sort(F.concat(base, more)), kept))
+
+
 def pair_counts(samples: DataFrame) -> DataFrame:
     """samples (value, label, and times if not each once) -> label, pair (first code x 128 + second code), n: at most 2 x 128 x 128 rows."""
     samples = samples if "times" in samples.columns else samples.withColumn("times", F.lit(1))
@@ -95,16 +131,17 @@ def score(value: Column, ratios: np.ndarray) -> Column:
 
 
 def scan(docs: DataFrame, *, id_col="doc_id", text_col="text", least: int = LEAST, total: float = TOTAL, per_pair: float = PER_PAIR, ratios: np.ndarray | None = None) -> DataFrame:
-    """id, base and spans: array<struct<start, rank, end, value>>, spans being the base ones and the model's, in order."""
+    """id, base and spans: array<struct<start, rank, end, value, llr>>, spans being the base ones and the model's, in order. llr is the
+    log-likelihood ratio of a span's value, of base spans too."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     base = F.concat(found(F.col("text"), ASSIGN, "assign", 2, 8), found(F.col("text"), ACCESS, "access"), found(F.col("text"), HEX, "hex"))
     rows = stage(rows.select("id", base.alias("base"), found(F.col("text"), CANDIDATE % least, "model").alias("more")), "secret_candidates")
     ratios = train(samples(docs, rows, text_col)) if ratios is None else ratios
-    free = F.filter("more", lambda m: ~F.exists(F.col("base"), lambda b: (b.start < m.end) & (m.start < b.end)))
-    scored = F.transform(free, lambda m: F.struct(m.alias("m"), score(m.value, ratios).alias("llr")))
-    kept = F.filter(scored, lambda x: (x.llr >= total) & (x.llr >= per_pair * (F.length(x.m.value) - 1)))
-    rows = rows.withColumn("more", F.when(F.size("more") > 0, F.transform(kept, lambda x: x.m)).otherwise(F.col("more")))
-    return rows.select("id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", "more")).alias("spans"))
+    scored = lambda spans: F.transform(spans, lambda s: s.withField("llr", score(s.value, ratios)))
+    likely = F.filter(scored(apart(F.col("base"), F.col("more"))), lambda s: (s.llr >= total) & (s.llr >= per_pair * (F.length(s.value) - 1)))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,value:string,llr:double>>)")
+    rows = rows.select("id", F.when(F.size("base") > 0, F.array_sort(scored(F.col("base")))).otherwise(none).alias("base"), F.when(F.size("more") > 0, likely).otherwise(none).alias("more"))
+    return rows.select("id", "base", F.when(F.size("more") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "more"))).alias("spans"))
 
 
 def samples(docs: DataFrame, rows: DataFrame, text_col: str) -> DataFrame:
