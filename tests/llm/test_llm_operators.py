@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +214,19 @@ def test_secrets(spark, odd_docs, odd_rows, no_docs):
     assert secrets.scan(no_docs).count() == 0
 
 
+def test_many_matches_take_linear_steps(spark, monkeypatch):
+    """Blocks of a few elements, so that block borders are met; and a text of many matches with a candidate beside and within them."""
+    monkeypatch.setattr(secrets, "BLOCK", 4)
+    text = " ".join(f"token=abcdefgh{k} Zx9Qw{k}Kp3Rt7Yu2LmN4 " + "0123456789abcdef" * 2 for k in range(37))
+    docs = spark.createDataFrame([(1, text), (2, "x"), (3, None)], "doc_id long, text string")
+    got = {r.id: r for r in secrets.scan(docs, total=-1e9, per_pair=-1e9, ratios=np.zeros((128, 128))).collect()}
+    assert [(s.start, s.rank, s.end) for s in got[1].base] == brute_spans(text)
+    other = [m.span() for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}", text)]
+    free = [(a, b) for a, b in other if all(y <= a or x >= b for x, _, y in brute_spans(text))]
+    assert len(free) == 37 and [(s.start, s.end) for s in got[1].spans if s.rank == 3] == free
+    assert got[2].spans == got[3].spans == []
+
+
 def test_markov_models_find_random_strings(spark):
     import random
 
@@ -443,6 +458,34 @@ def test_mtree(spark, monkeypatch):
     assert len(few) == 2
 
 
+def test_large_components(spark):
+    rows = [(0, [1e7, 2.0]), (1, [-3e12, 1.0]), (2, [1e300, 1.0]), (3, [5.0, 1e6]), (4, [1e7, 2.0])]
+    vectors = mtree.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    held = {k: [max(-(1 << 62), min(1 << 62, math.floor(c * 1024))) if abs(c) < 1e17 else int(math.copysign(1 << 62, c)) for c in v] for k, v in rows}
+    expected = []
+    for q in held:
+        best = sorted((-sum(a * b for a, b in zip(held[q], held[k])), k) for k in held if k != q)
+        expected += [(q, n + 1, k, max(-(1 << 63), min((1 << 63) - 1, -s))) for n, (s, k) in enumerate(best)]
+    assert sorted(map(tuple, mtree.top_k(vectors, vectors).collect())) == sorted(expected)
+
+
+def test_bounds_spare_pages_and_products():
+    """On vectors in clusters a search visits a small part of the pages, and misses nothing."""
+    rng = np.random.default_rng(3)
+    centres = rng.integers(-900, 900, (40, 16))
+    v = np.concatenate([c + rng.integers(-40, 40, (100, 16)) for c in centres])
+    loader = mtree._Loader("t", np.arange(len(v)), v)
+    loader.load(np.arange(len(v)))
+    names = [x.split()[0] for x in mtree.NODE.split(", ")]
+    nodes = {r.node: mtree.Page.of(r, 16) for r in pd.DataFrame(loader.rows, columns=names).itertuples()}
+    seen = {}
+    for q in range(0, len(v), 97):
+        got = sorted(mtree.search_tree(nodes, v[q], q, 10, float("-inf"), seen), key=lambda x: (-x[0], x[1]))
+        assert got == sorted(((int(s), i) for i, s in enumerate(v @ v[q]) if i != q), key=lambda x: (-x[0], x[1]))[:10]
+    queries = len(range(0, len(v), 97))
+    assert seen["pages"] < 0.25 * queries * len(nodes) and seen["products"] < 0.25 * queries * len(v)
+
+
 # The given tables
 
 

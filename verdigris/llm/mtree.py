@@ -1,19 +1,22 @@
 """Exact top-k search by best-first search of M-trees.
 
-Integer vectors are searched for the highest inner products. With a last coordinate sqrt(M^2 - |x|^2), M the greatest norm,
-the order by inner product with a query (last coordinate 0) is the order by Euclidean distance, so a metric tree serves.
+Integer vectors are searched for the highest inner products. A node covers its rows with a ball: a routing vector c and a covering
+radius r, the greatest Euclidean distance of a row to c. No row x of the ball has a higher inner product with a query q than
+<q, c> + |q| r, since <q, x - c> is at most |q| |x - c|; nor than |q| times the ball's greatest norm. The stored distance of an entry to its node's routing
+vector p gives by the triangle inequality the same bound without the entry's vector: <q, p> + |q| (d(p, c) + r).
 
 The rows are dealt to trees of about `TREE_ROWS` by their nearest of a few pivots, which are taken from a bounded sample
-(`PIVOT_SAMPLE` rows); a pivot with more rows has several trees. Each tree is loaded in bulk and written as pages: a node is a row with
-its routing vector, covering radius, and its entries' vectors, radii and distances to the routing vector. A query is
-first searched in the tree nearest to it; its k-th best distance then bounds every other tree, and trees whose
-root's bound is worse are not visited. Within a tree nodes are visited in the order of their lower bounds, and an entry's
-distance is not computed where the triangle inequality with its stored parent distance already excludes it.
+(`PIVOT_SAMPLE` rows); a pivot with more rows has several trees. Each tree is loaded in bulk, by groups around means, and written as pages: a node
+is a row with its routing vector, covering radius, and its entries' vectors, radii and distances to the routing vector. A query is
+first searched in the tree of the highest bound; its k-th best score then bounds every other tree, and trees whose
+root's bound is lower are not visited. Within a tree nodes are visited in the order of their bounds, and an entry's
+inner product is not computed where its stored parent distance already excludes it.
 Bounds only exclude; scores are exact integers, ties go to smaller ids.
 
 Defined cases: vectors that are null, or hold null or non-finite components, take no part; shorter vectors count as padded
 with zeros; equal vectors and rows are all candidates; fewer candidates than k give all; an empty table gives nothing; null ids
-take no part, they could not be named.
+take no part, they could not be named. Components beyond 2**62 count as 2**62 (with their sign); scores are compared exactly, those that a long cannot
+hold are returned as its greatest or least value.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -33,7 +37,11 @@ from .common import stage, table
 TREE_ROWS, PIVOT_SAMPLE, MOST_PIVOTS = 8192, 4096, 1024
 #: Entries of a page; queries that one task searches a tree for.
 PAGE, QUERY_BLOCK = 96, 256
-NODE = "tree string, node int, leaf boolean, routing binary, radius double, ids binary, vectors binary, radii binary, to_parent binary"
+NODE = "tree string, node int, leaf boolean, routing binary, radius double, norm double, ids binary, vectors binary, radii binary, norms binary, to_parent binary"
+#: Components, and results, are held within these; float64 is exact up to EXACT.
+LARGEST, LONG, EXACT = 1 << 62, (1 << 63) - 1, float(1 << 53)
+#: What rounding may add to a bound, as a part of the numbers that make it.
+SLACK = 1e-9
 
 
 def integer_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", scale: int = 1024) -> DataFrame:
@@ -41,141 +49,177 @@ def integer_vectors(rows: DataFrame, id_col="vec_id", vector_col="embedding", sc
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     rows = rows.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null")
     rows = rows.where(~F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))))
-    return rows.select("id", F.transform("x", lambda c: F.floor(c * scale)).alias("v"))
+    held = lambda c: F.least(F.greatest(F.floor(F.least(F.greatest(c * scale, F.lit(-float(LARGEST))), F.lit(float(LARGEST)))), F.lit(-LARGEST)), F.lit(LARGEST))
+    return rows.select("id", F.transform("x", held).alias("v"))
 
 
 def _matrix(column, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), dtype=np.int64)
     for k, v in enumerate(column):
         out[k, : len(v)] = v
     return out
 
 
-def _augmented(v: np.ndarray, most: float) -> np.ndarray:
-    return np.hstack((v, np.sqrt(np.maximum(most - (v * v).sum(axis=1, keepdims=True), 0))))
-
-
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All distances of a's rows to b's."""
+    """All distances of a's rows to b's, rounded: they only deal rows out."""
     d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
     return np.sqrt(np.maximum(d, 0))
 
 
-def choose_pivots(sample: np.ndarray, n: int) -> np.ndarray:
-    """Centres of n groups of the sample: a few rounds of k-means from its first rows."""
-    centres = np.unique(sample, axis=0)
-    centres = centres[np.linspace(0, len(centres) - 1, min(n, len(centres))).astype(int)]
-    for _ in range(8):
+def _to(a: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Distances of a's rows to one vector, by differences: exact but for a few last digits."""
+    d = a - c
+    return np.sqrt((d * d).sum(axis=1))
+
+
+def _norms(a: np.ndarray) -> np.ndarray:
+    return np.sqrt((a * a).sum(axis=1))
+
+
+def exact_scores(vectors: np.ndarray, q: np.ndarray) -> list[int]:
+    """Inner products of integer vectors as whole numbers of any size."""
+    f, g = vectors.astype(float), q.astype(float)
+    if len(f) and float((np.abs(f) @ np.abs(g)).max()) < EXACT:
+        return np.rint(f @ g).astype(np.int64).tolist()
+    own = q.tolist()
+    return [sum(x * y for x, y in zip(v, own)) for v in vectors.tolist()]
+
+
+def choose_pivots(sample: np.ndarray, n: int, rounds: int = 8) -> np.ndarray:
+    """Centres of n groups of the sample: a few rounds of k-means, from rows each far from those before."""
+    least, centres = _to(sample, sample[0]), [sample[0]]
+    while len(centres) < n and least.max() > 0:
+        centres.append(sample[int(least.argmax())])
+        least = np.minimum(least, _to(sample, centres[-1]))
+    centres = np.array(centres)
+    for _ in range(rounds):
         near = _distances(sample, centres).argmin(axis=1)
         centres = np.array([sample[near == k].mean(axis=0) if (near == k).any() else c for k, c in enumerate(centres)])
     return centres
 
 
-def _dealt(pivots: np.ndarray, width: int, most: float):
+def _dealt(pivots: np.ndarray, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _augmented(_matrix(batch.column(1).to_pylist(), width), most)
-            near = _distances(v, pivots).argmin(axis=1)
+            near = _distances(_matrix(batch.column(1).to_pylist(), width).astype(float), pivots).argmin(axis=1)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.int64())], ["id", "v", "pivot"])
 
     return run
 
 
 class _Loader:
-    """Bulk loading: groups around sampled routing objects, until a group fits a page."""
+    """Bulk loading: groups around means, until a group fits a page."""
 
     def __init__(self, tree: str, ids: np.ndarray, v: np.ndarray):
-        self.tree, self.ids, self.v, self.rows = tree, ids, v, []
-
-    def load(self, mine: np.ndarray, parent: np.ndarray | None) -> tuple[int, np.ndarray, float]:
-        """Writes the node of the rows, and all below it; its number, routing vector and covering radius."""
-        v = self.v[mine]
-        routing = v[np.argmin(_distances(v, v.mean(axis=0)[None, :])[:, 0])]
-        d = _distances(v, routing[None, :])[:, 0]
-        radius, number = float(d.max()), len(self.rows)
+        self.tree, self.ids, self.v, self.f, self.rows = tree, ids, v, v.astype(float), []
+
+    def load(self, mine: np.ndarray) -> tuple[int, np.ndarray, float, float]:
+        """Writes the node of the rows, and all below it; its number, routing vector, covering radius and greatest norm."""
+        v = self.f[mine]
+        routing = v[np.argmin(_to(v, v.mean(axis=0)))]
+        d = _to(v, routing)
+        radius, norm, number = float(d.max()), float(_norms(v).max()), len(self.rows)
         self.rows.append(None)
         if len(mine) <= PAGE or radius == 0:
             order = np.argsort(d, kind="stable")
-            self.rows[number] = (self.tree, number, True, routing.tobytes(), radius, self.ids[mine[order]].tobytes(), v[order].tobytes(), b"", d[order].tobytes())
-            return number, routing, radius
-        groups = min(PAGE, math.ceil(len(mine) / (PAGE // 2)))
-        seeds = v[np.linspace(0, len(v) - 1, groups).astype(int)]
-        near = _distances(v, np.unique(seeds, axis=0)).argmin(axis=1)
-        if (near == near[0]).all():  # seeds that do not part the rows
+            self.rows[number] = (self.tree, number, True, routing.tobytes(), radius, norm, self.ids[mine[order]].tobytes(), self.v[mine[order]].tobytes(), b"", _norms(v[order]).tobytes(), d[order].tobytes())
+            return number, routing, radius, norm
+        near = _distances(v, choose_pivots(v, min(PAGE, math.ceil(len(mine) / (PAGE // 2))), 3)).argmin(axis=1)
+        if (near == near[0]).all():  # centres that do not part the rows
             near = (np.argsort(np.argsort(d, kind="stable")) >= len(d) // 2).astype(int)
-        below = [self.load(mine[near == g], routing) for g in np.unique(near)]
-        vectors, radii = np.array([b[1] for b in below]), np.array([b[2] for b in below])
-        self.rows[number] = (self.tree, number, False, routing.tobytes(), radius, np.array([b[0] for b in below], dtype=np.int64).tobytes(), vectors.tobytes(), radii.tobytes(), _distances(vectors, routing[None, :])[:, 0].tobytes())
-        return number, routing, radius
+        below = [self.load(mine[near == g]) for g in np.unique(near)]
+        vectors = np.array([b[1] for b in below])
+        self.rows[number] = (self.tree, number, False, routing.tobytes(), radius, norm, np.array([b[0] for b in below], dtype=np.int64).tobytes(), vectors.tobytes(), np.array([b[2] for b in below]).tobytes(), np.array([b[3] for b in below]).tobytes(), _to(vectors, routing).tobytes())
+        return number, routing, radius, norm
 
 
-def _load(width: int, most: float):
+def _load(width: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id", kind="stable")
-        loader = _Loader(key[0], rows["id"].to_numpy(dtype=np.int64), _augmented(_matrix(rows["v"].tolist(), width), most))
-        loader.load(np.arange(len(rows)), None)
+        loader = _Loader(key[0], rows["id"].to_numpy(dtype=np.int64), _matrix(rows["v"].tolist(), width))
+        loader.load(np.arange(len(rows)))
         return pd.DataFrame(loader.rows, columns=[x.split()[0] for x in NODE.split(", ")])
 
     return run
 
 
-def search_tree(nodes: dict, q: np.ndarray, own: int, k: int, bound: float) -> list[tuple[int, int]]:
-    """The (score, id) of up to k best rows of a tree for a query (last coordinate 0), none that is surely beyond the bound."""
+@dataclass
+class Page:
+    leaf: bool
+    routing: np.ndarray
+    radius: float
+    norm: float
+    ids: np.ndarray
+    vectors: np.ndarray
+    radii: np.ndarray
+    norms: np.ndarray
+    to_parent: np.ndarray
+
+    @classmethod
+    def of(cls, r, width: int) -> Page:
+        ids, to_parent = np.frombuffer(r.ids, np.int64), np.frombuffer(r.to_parent)
+        vectors = np.frombuffer(r.vectors, np.int64 if r.leaf else np.float64).reshape(len(ids), width)
+        return cls(r.leaf, np.frombuffer(r.routing), r.radius, r.norm, ids, vectors, np.zeros(len(ids)) if r.leaf else np.frombuffer(r.radii), np.frombuffer(r.norms), to_parent)
+
+
+def upper(product, size: float, radius, norm):
+    """The highest inner product with a query of norm size in a ball, from that with its centre: never too low by rounding."""
+    return np.minimum(product + size * radius, size * norm) + SLACK * (size * norm + np.abs(product) + 1)
+
+
+def search_tree(nodes: dict[int, Page], q: np.ndarray, own: int, k: int, bound: float, seen: dict | None = None) -> list[tuple[int, int]]:
+    """The (score, id) of up to k best rows of a tree for a query, none that is surely below the bound. seen counts pages and products."""
     best: list[tuple[int, int]] = []  # a heap of (score, -id): the worst first
-    slack = 1e-6 * (1 + math.sqrt(q @ q))
-    size = q @ q
-    most = nodes["most"]
-    reach = lambda: bound if len(best) < k else min(bound, math.sqrt(max(size + most - 2 * best[0][0], 0)))
+    f = q.astype(float)
+    size = float(np.sqrt(f @ f))
+    least = lambda: bound if len(best) < k else max(bound, float(best[0][0]))
     root = nodes[0]
-    dq = float(np.sqrt(max(((root[1] - q) ** 2).sum(), 0)))
-    queue = [(max(dq - root[2], 0.0), 0, dq)]
+    product = float(root.routing @ f)
+    queue = [(-float(upper(product, size, root.radius, root.norm)), 0, product)]
     while queue:
-        low, number, dq = heapq.heappop(queue)
-        limit = reach() + slack
-        if low > limit:
+        high, number, product = heapq.heappop(queue)
+        limit = least()
+        if -high < limit:
             break
-        leaf, _, _, ids, vectors, radii, to_parent = nodes[number]
-        keep = np.flatnonzero(np.abs(dq - to_parent) - radii <= limit)
+        page = nodes[number]
+        keep = np.flatnonzero(upper(product, size, page.to_parent + page.radii, page.norms) >= limit)
+        if seen is not None:
+            seen["pages"] = seen.get("pages", 0) + 1
+            seen["products"] = seen.get("products", 0) + len(keep)
         if not len(keep):
             continue
-        if leaf:
-            scores = np.rint(vectors[keep] @ q).astype(np.int64)  # whole numbers below 2**53: exact
-            for s, i in zip(scores.tolist(), ids[keep].tolist()):
+        if page.leaf:
+            for s, i in zip(exact_scores(page.vectors[keep], q), page.ids[keep].tolist()):
                 if i != own and (len(best) < k or (s, -i) > best[0]):
                     (heapq.heappush if len(best) < k else heapq.heappushpop)(best, (s, -i))
         else:
-            d = np.sqrt(np.maximum(((vectors[keep] - q) ** 2).sum(axis=1), 0))
-            lows = np.maximum(d - radii[keep], 0)
-            for l, i, x in zip(lows.tolist(), ids[keep].tolist(), d.tolist()):
-                if l <= limit:
-                    heapq.heappush(queue, (l, i, x))
+            products = page.vectors[keep] @ f
+            highs = upper(products, size, page.radii[keep], page.norms[keep])
+            for h, i, x in zip(highs.tolist(), page.ids[keep].tolist(), products.tolist()):
+                if h >= limit:
+                    heapq.heappush(queue, (-h, i, x))
     return [(s, -i) for s, i in best]
 
 
-def _search(width: int, most: float, k: int):
+def _search(width: int, k: int):
     def run(key: tuple, pages: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         found: list[tuple] = []
         if len(pages) and len(queries):
-            nodes: dict = {"most": most}
-            for r in pages.itertuples():
-                ids, to_parent = np.frombuffer(r.ids, np.int64), np.frombuffer(r.to_parent)
-                vectors = np.frombuffer(r.vectors).reshape(len(ids), width + 1)
-                nodes[r.node] = (r.leaf, np.frombuffer(r.routing), r.radius, ids, vectors, np.zeros(len(ids)) if r.leaf else np.frombuffer(r.radii), to_parent)
+            nodes = {r.node: Page.of(r, width) for r in pages.itertuples()}
             for r in queries.itertuples():
-                q = np.zeros(width + 1)
-                q[: len(r.v)] = r.v
-                found += [(r.id, i, s) for s, i in search_tree(nodes, q, r.id, k, r.bound)]
+                found += [(r.id, i, str(s)) for s, i in search_tree(nodes, _matrix([r.v], width)[0], r.id, k, r.bound)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
-def _meet(nodes: DataFrame, pairs: DataFrame, width: int, most: float, k: int) -> DataFrame:
+def _meet(nodes: DataFrame, pairs: DataFrame, width: int, k: int) -> DataFrame:
     """pairs (tree, id, v, bound), staged: each tree's pages meet its queries, in blocks of them."""
     blocks = pairs.groupBy("tree").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     pages = nodes.join(blocks, "tree").select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).drop("blocks")
     asked = pairs.join(blocks, "tree").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).drop("blocks")
-    return pages.groupBy("tree", "block").cogroup(asked.groupBy("tree", "block")).applyInPandas(_search(width, most, k), "query_id long, vec_id long, score long")
+    found = pages.groupBy("tree", "block").cogroup(asked.groupBy("tree", "block")).applyInPandas(_search(width, k), "query_id long, vec_id long, score string")
+    return found.withColumn("score", F.col("score").cast("decimal(38,0)"))
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -183,80 +227,76 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _other_trees(roots: list[tuple[str, bytes, float]], width: int):
-    names = [r[0] for r in roots]
-    centres, radii = np.array([np.frombuffer(r[1]) for r in roots]), np.array([r[2] for r in roots])
+def _bounds(roots: list[tuple], vs: list, width: int) -> np.ndarray:
+    """Of each query in each tree the highest inner product that its root allows."""
+    centres, radii, norms = np.array([np.frombuffer(r[1]) for r in roots]), np.array([r[2] for r in roots]), np.array([r[3] for r in roots])
+    q = _matrix(vs, width).astype(float)
+    return upper(q @ centres.T, _norms(q)[:, None], radii[None, :], norms[None, :])
+
 
+def _likeliest(roots: list[tuple], width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            high = _bounds(roots, batch.column(1).to_pylist(), width)
+            best = high.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([roots[t][0] for t in best]), pa.array(high[np.arange(len(best)), best])], ["id", "v", "home", "high"])
+
+    return run
+
+
+def _other_trees(roots: list[tuple], width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, vs, bounds, homes = (batch.column(k).to_pylist() for k in range(4))
-            q = np.hstack((_matrix(vs, width), np.zeros((len(vs), 1))))
-            low = _distances(q, centres) - radii[None, :]
-            rows = [(names[t], i, v, b) for i, v, b, h, l in zip(ids, vs, bounds, homes, low) for t in np.flatnonzero(l <= b + 1e-6 * (1 + b)) if names[t] != h]
+            rows = [(roots[t][0], i, v, b) for i, v, b, home, high in zip(ids, vs, bounds, homes, _bounds(roots, vs, width)) for t in np.flatnonzero(high >= b) if roots[t][0] != home]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.int64()), pa.float64()))], ["tree", "id", "v", "bound"])
 
     return run
 
 
-def build_trees(vectors: DataFrame, width: int, most: float) -> DataFrame:
+def build_trees(vectors: DataFrame, width: int) -> DataFrame:
     """vectors (id, v), staged -> the pages of all trees, written to the shared folder."""
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toPandas()["v"]
-    pivots = choose_pivots(_augmented(_matrix(sample.tolist(), width), most), min(MOST_PIVOTS, math.ceil(n / TREE_ROWS)))
-    dealt = stage(vectors.mapInArrow(_dealt(pivots, width, most), "id long, v array<long>, pivot long"), "mtree_dealt")
+    pivots = choose_pivots(_matrix(sample.tolist(), width).astype(float), min(MOST_PIVOTS, math.ceil(n / TREE_ROWS)))
+    dealt = stage(vectors.mapInArrow(_dealt(pivots, width), "id long, v array<long>, pivot long"), "mtree_dealt")
     sizes = dealt.groupBy("pivot").agg(F.ceil(F.count("*") / TREE_ROWS).alias("trees")).withColumnRenamed("pivot", "p")  # MOST_PIVOTS rows at most
     dealt = dealt.join(F.broadcast(sizes), F.col("pivot") == F.col("p"))
     dealt = dealt.withColumn("tree", F.concat_ws("/", F.col("pivot").cast("string"), F.pmod(F.xxhash64("id"), F.col("trees")).cast("string")))
-    return stage(dealt.select("tree", "id", "v").groupBy("tree").applyInPandas(_load(width, most), NODE), "mtree_pages")
+    return stage(dealt.select("tree", "id", "v").groupBy("tree").applyInPandas(_load(width), NODE), "mtree_pages")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """vectors, queries (id, v) -> query_id, rank, vec_id, score: for each query the k highest inner products with other ids."""
     spark = vectors.sparkSession
     vectors = stage(vectors, "mtree_vectors")
-    shape = vectors.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c))).first()
-    if shape[0] is None:
+    width = vectors.agg(F.max(F.size("v"))).first()[0]
+    if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width, most = int(shape[0]), float(shape[1])
-    nodes = build_trees(vectors, width, most)
-    trees = nodes.where("node = 0").select("tree", "routing", "radius")
+    nodes = build_trees(vectors, width)
+    trees = nodes.where("node = 0").select("tree", "routing", "radius", "norm")
     queries = stage(queries.where(F.size("v") <= width), "mtree_queries")
     # Roots are one small row for each TREE_ROWS vectors; they go to the tasks in parts, so that no part grows with the input.
     every = trees.select(F.pmod(F.xxhash64("tree"), F.lit(max(1, trees.count() // 4096))).alias("part"), "*")
     parts = [r.part for r in every.select("part").distinct().collect()]
+    roots_of = lambda part: [tuple(r) for r in every.where(F.col("part") == part).select("tree", "routing", "radius", "norm").collect()]
     homes = None
     for part in parts:
-        roots = [tuple(r) for r in every.where(F.col("part") == part).select("tree", "routing", "radius").collect()]
-        near = queries.mapInArrow(_nearest(roots, width), "id long, v array<long>, home string, gap double")
+        near = queries.mapInArrow(_likeliest(roots_of(part), width), "id long, v array<long>, home string, high double")
         homes = near if homes is None else homes.union(near)
-    homes = homes.groupBy("id", "v").agg(F.min_by("home", F.struct("gap", "home")).alias("home"))
-    homes = stage(homes, "mtree_homes")
-    first = stage(_meet(nodes, homes.select(F.col("home").alias("tree"), "id", "v", F.lit(float("inf")).alias("bound")), width, most, k), "mtree_first")
-    size = F.aggregate("v", F.lit(0).cast("long"), lambda s, c: s + c * c)
-    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count("*").alias("got"))
-    bound = F.when(F.col("got") >= k, F.sqrt(F.greatest(size + most - 2 * F.col("kth"), F.lit(0.0)))).otherwise(float("inf"))
+    homes = stage(homes.groupBy("id", "v").agg(F.max_by("home", F.struct("high", "home")).alias("home")), "mtree_homes")
+    first = stage(_meet(nodes, homes.select(F.col("home").alias("tree"), "id", "v", F.lit(float("-inf")).alias("bound")), width, k), "mtree_first")
+    kth = first.groupBy("query_id").agg(F.min("score").cast("double").alias("kth"), F.count("*").alias("got"))
+    bound = F.when(F.col("got") >= k, F.col("kth")).otherwise(float("-inf"))
     asked = stage(homes.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", bound.alias("bound"), "home"), "mtree_asked")
     pairs = None
     for part in parts:
-        roots = [tuple(r) for r in every.where(F.col("part") == part).select("tree", "routing", "radius").collect()]
-        more = asked.mapInArrow(_other_trees(roots, width), "tree string, id long, v array<long>, bound double")
+        more = asked.mapInArrow(_other_trees(roots_of(part), width), "tree string, id long, v array<long>, bound double")
         pairs = more if pairs is None else pairs.union(more)
-    rest = _meet(nodes, stage(pairs, "mtree_pairs"), width, most, k)
-    return _best(first.union(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
-
-
-def _nearest(roots: list[tuple[str, bytes, float]], width: int):
-    names, centres = [r[0] for r in roots], np.array([np.frombuffer(r[1]) for r in roots])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            vs = batch.column(1).to_pylist()
-            d = _distances(np.hstack((_matrix(vs, width), np.zeros((len(vs), 1)))), centres)
-            near = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([names[t] for t in near]), pa.array(d[np.arange(len(near)), near])], ["id", "v", "home", "gap"])
-
-    return run
+    rest = _meet(nodes, stage(pairs, "mtree_pairs"), width, k)
+    held = F.greatest(F.least(F.col("score"), F.lit(LONG).cast("decimal(38,0)")), F.lit(-LONG - 1).cast("decimal(38,0)")).cast("long")
+    return _best(first.union(rest), k).select("query_id", F.col("rank").cast("int"), "vec_id", held.alias("score"))
 
 
 def op10_mtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
