@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -349,11 +350,67 @@ SEEN = [
 ]
 
 
+SEEN += [
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a | b\n  | c"),
+    ("<table><tr><td>x<td rowspan=3>long<td>y<tr><td>1<td>2<tr><td>3<td>4<tr><td>5<td>6<td>7</table>", "x | long | y\n1 |      | 2\n3 |      | 4\n5 | 6    | 7"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b</tbody><tbody><tr><td>c<td>d</tbody></table>", "a | b\nc | d"),
+    ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z", "yes\nz"),
+    ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+    ("<p style='visibility:hidden'>no <img alt=no> <span>no</span>", ""),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+    ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+]
+
+
 @pytest.mark.parametrize("html, text", SEEN)
 def test_html_emits_all_that_is_seen(html, text):
     assert html_text.render(html) == text
 
 
+def visible_words(html):
+    """The words of all text that is displayed, by a plain walk over tags: for pages whose elements are all closed."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        CDATA_CONTENT_ELEMENTS = ("script", "style")
+
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            unseen = tag in html_text.UNSEEN or "hidden" in attrs or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "")
+            if tag == "img" and not any(self.hidden):
+                self.words += (attrs.get("alt") or "").split()
+            if tag not in html_text.VOID:
+                self.hidden.append(bool(unseen))
+
+        def handle_endtag(self, tag):
+            if self.hidden:
+                self.hidden.pop()
+
+        def handle_data(self, data):
+            self.words += [] if any(self.hidden) else data.split()
+
+    w = Walk()
+    w.feed(html)
+    w.close()
+    return w.words
+
+
+def test_html_emits_every_visible_word(spark):
+    """No visible word of the given pages is lost, and none is shown that is hidden; markers, bars and rules are the renderer's own."""
+    own = {"-", "|", ">", "----"}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        html = r.html or ""
+        if re.search(r"<(p|li|td|th|tr|dt|dd|option|select|svg|math)\b", html) and len(re.findall(r"<(?:p|li|td|th|tr|dt|dd|option)\b", html)) != len(re.findall(r"</(?:p|li|td|th|tr|dt|dd|option)>", html)):
+            continue
+        got = Counter(w for w in html_text.render(html).split() if w not in own and not re.fullmatch(r"\d+\.", w))
+        want = Counter(w for w in visible_words(html) if w not in own and not re.fullmatch(r"\d+\.", w))
+        assert "".join(sorted("".join(got.elements()))) == "".join(sorted("".join(want.elements()))), r.page_id
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (None, "<p>x", "u"), (1, "", "u")], "page_id long, html string, text string")
     assert sorted((r.text for r in html_text.extract(pages).collect())) == ["", "", "x"]

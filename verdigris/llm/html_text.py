@@ -3,11 +3,11 @@
 A tree builder with implied end tags takes the tokens of the standard library's HTML parser; what is not displayed
 (scripts, styles, templates, hidden elements, closed details) makes no text. The renderer emits all that is visible:
 blocks apart from each other, paragraphs by an empty line, lists with markers and indents, tables with their
-cells aligned in columns, preformatted text as it stands. Text and elements that stand in a table but in no cell or caption come before
+cells aligned in columns (a cell of several rows stands in its first), preformatted text as it stands. Text and elements that stand in a table but in no cell or caption come before
 the table. Of a drop-down the chosen option is text, of a list box every option; of svg its text elements; a text area's
 lines stand as they are; an object gives its fallback.
 
-Not displayed by a browser that runs scripts and plays media, so without text: head, script, style, template, noscript, title;
+Hidden visibility is inherited and may be undone within. Not displayed by a browser that runs scripts and plays media, so without text: head, script, style, template, noscript, title;
 the fallback of iframe, audio, video and canvas; datalist; annotations of math; definitions and descriptions in svg.
 
 Defined cases: null and empty pages give empty text; broken markup never fails, unclosed elements end with the page;
@@ -49,9 +49,14 @@ BACK_TO = {"td": TABLE, "th": TABLE, "tr": TABLE - {"tr", "colgroup"}} | {t: fro
 HTML_IN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 UNDRAWN = frozenset("defs symbol title desc metadata clippath mask pattern marker style script".split())
 ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: Elements that show something of their own, besides text.
+GHOSTLESS = frozenset("img input hr select textarea svg".split())
 DEEPEST = 200
 _SPACE = re.compile(r"[ \t\n\f\r]+")
-_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
+#: Greatest spans of cells that count.
+COLUMNS, ROWS = 100, 1000
 
 
 class Node:
@@ -175,6 +180,24 @@ def _visible(node: Node) -> bool:
     return not ("style" in a and _HIDDEN.search(a["style"]))
 
 
+def without_ghosts(node: Node, ghost: bool = False) -> Node:
+    """The tree without what visibility hides: it is inherited, and an element within may be visible again."""
+    kept = []
+    for child in node.children:
+        if isinstance(child, str):
+            kept += [] if ghost else [child]
+            continue
+        said = _VISIBILITY.findall(child.attrs.get("style", ""))
+        unseen = said[-1].lower() in ("hidden", "collapse") if said and said[-1].lower() != "inherit" else ghost
+        if unseen and child.tag in GHOSTLESS:
+            continue
+        if unseen and child.tag == "li":
+            child.tag = "div"  # no marker
+        kept.append(without_ghosts(child, unseen))
+    node.children = kept
+    return node
+
+
 class _Lines:
     """Lines under construction: runs of white space collapse, blocks start lines, margins do not add up."""
 
@@ -225,7 +248,9 @@ def _render(node: Node) -> list[str]:
 
 
 def _list(node: Node, out: _Lines) -> None:
-    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
+    step = -1 if node.tag == "ol" and "reversed" in node.attrs else 1
+    first = 1 if step > 0 else sum(not isinstance(c, str) and c.tag == "li" and _visible(c) for c in node.children)
+    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else first
     for child in node.children:
         if isinstance(child, str):
             out.text(child)
@@ -235,45 +260,71 @@ def _list(node: Node, out: _Lines) -> None:
                 number = int(child.attrs["value"])
             marker = f"{number}. " if node.tag == "ol" else "- "
             out.take(_indented(_render(child) or [""], marker))
-            number += 1
+            number += step
         else:
             _element(child, out)
 
 
-def _rows(node: Node, rows: list[list[tuple[int, list[str]]]], captions: list[str]) -> None:
+def _span(cell: Node, name: str, most: int) -> int:
+    said = cell.attrs.get(name, "")
+    return min(int(said), most) if re.fullmatch(r"[1-9]\d{0,5}", said) else 1
+
+
+def _rows(node: Node, rows: list[list[tuple[int, int, list[str]]]], captions: list[str]) -> None:
+    """rows: column span, row span and lines of each row's cells. A row span ends with its section."""
+    first = len(rows)
     for child in node.children:
         if isinstance(child, str) or not _visible(child):
             continue
         if child.tag == "tr":
             cells = [c for c in child.children if not isinstance(c, str) and c.tag in ("td", "th") and _visible(c)]
-            span = lambda c: min(int(c.attrs["colspan"]), 100) if re.fullmatch(r"[1-9]\d{0,3}", c.attrs.get("colspan", "")) else 1
-            rows.append([(span(c), _render(c)) for c in cells])
+            rows.append([(_span(c, "colspan", COLUMNS), _span(c, "rowspan", ROWS) if c.attrs.get("rowspan") != "0" else ROWS, _render(c)) for c in cells])
         elif child.tag in ("tbody", "thead", "tfoot"):
             _rows(child, rows, captions)
         elif child.tag not in ("colgroup", "col"):
             captions += _render(child)
+    if node.tag != "table":
+        for k in range(first, len(rows)):
+            rows[k] = [(c, min(r, len(rows) - k), lines) for c, r, lines in rows[k]]
+
+
+def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Column, column span and lines of each row's cells; columns that a cell of a row above still covers are passed by, as empty cells."""
+    out, covered = [], {}
+    for row in rows:
+        placed, at, left = [], 0, dict(covered)
+        for span, down, lines in row:
+            while left.get(at):
+                placed.append((at, 1, []))
+                at += 1
+            placed.append((at, span, lines))
+            for c in range(at, at + span):
+                covered[c] = max(covered.get(c, 0), down)
+            at += span
+        covered = {c: n - 1 for c, n in covered.items() if n > 1}
+        out.append(placed)
+    return out
 
 
 def _table(node: Node, out: _Lines) -> None:
-    rows: list[list[tuple[int, list[str]]]] = []
+    found: list[list[tuple[int, int, list[str]]]] = []
     captions: list[str] = []
-    _rows(node, rows, captions)
+    _rows(node, found, captions)
+    rows = _placed(found)
     width: dict[int, int] = {}
     for row in rows:
-        at = 0
-        for span, lines in row:
+        for at, span, lines in row:
             if span == 1:
                 width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
-            at += span
     out.take(captions)
     for row in rows:
-        height, at, done = max((len(lines) for _, lines in row), default=0), 0, [""] * max((len(lines) for _, lines in row), default=0)
-        for k, (span, lines) in enumerate(row):
+        height = max((len(lines) for _, _, lines in row), default=0)
+        done = [""] * height
+        for k, (at, span, lines) in enumerate(row):
             room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
             for y in range(height):
                 cell = lines[y] if y < len(lines) else ""
                 done[y] += ("" if k == 0 else " | ") + cell.ljust(room)
-            at += span
         out.take([x.rstrip() for x in done])
 
 
@@ -400,7 +451,8 @@ def _flow(node: Node, out: _Lines) -> None:
 
 def render(html: str) -> str:
     """The visible text of a page."""
-    return "\n".join(_render(build(html)))
+    root = build(html)
+    return "\n".join(_render(without_ghosts(root) if "visibility" in html.lower() else root))
 
 
 def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
