@@ -8,9 +8,9 @@ is used: every distinct fingerprint is indexed under its partitions' values, pro
 and candidates that meet are verified on all bits.
 
 Equal fingerprints are one class before any search. A bucket whose probes times entries pass `BUCKET_PAIRS` is not
-paired: its members are linked exactly by another way, each offering the 65 values within one bit of it (two
-fingerprints are within two bits if and only if they share such a value, and a value has at most 65
-owners). So no group is expanded into all its pairs and no partner is lost.
+paired: its members are linked exactly by another way, through the values within half of tau bits of them (for two bits the 65 values
+within one bit: two fingerprints are within two bits if and only if they share such a value, and a value has at most 65
+owners). The links' components are the same either way; no group is expanded into all its pairs and no partner is lost.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer than three words are
 one shingle; an empty table gives an empty result; rows with equal ids share a component through that id only if
@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, lean, stage, table
+from .common import connected_components, lean, stage, table, unused
+from .similar import band_keys
+from .similar import links as similar_links
 
 WIDTH = 64
 #: Probes times entries of a bucket up to which its pairs are verified one by one.
@@ -36,41 +38,55 @@ BUCKET_PAIRS = 1024
 PARTITIONS = (2, 3, 4)
 
 
-def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
-    """The SimHash of a whole text's word shingles, as a signed 64-bit integer."""
+def shingle_hashes(text: bytes, size: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of a whole text's word shingles, repeats included."""
     import xxhash
 
     words = text.lower().split()  # of bytes: ASCII letters and ASCII white space only
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        h = xxhash.xxh64_intdigest
-        hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    h = xxhash.xxh64_intdigest
+    return np.array([h(joined[a:b], seed) for a, b in zip(starts[: 1 - size or None].tolist(), ends[size - 1 :].tolist())], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit integer."""
     n, ones = len(hashes), np.zeros(WIDTH, dtype=np.int64)
     for at in range(0, n, 1 << 16):
         ones += np.unpackbits(hashes[at : at + (1 << 16)].view(np.uint8)).reshape(-1, WIDTH).sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > n).view(np.int64)[0])
 
 
-def _fingerprints(size: int, seed: int):
+def fingerprint(text: bytes, size: int = 3, seed: int = 42) -> int:
+    """The SimHash of a whole text's word shingles; zero without words."""
+    return majority(shingle_hashes(text, size, seed))
+
+
+def _fingerprints(size: int, seed: int, hashed: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", size, seed) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64()), *batch.columns[2:]], ["id", "fp", *batch.schema.names[2:]])
+            fps, keys = [], []
+            for t in batch.column(1).cast(pa.binary()):
+                hashes = shingle_hashes(t.as_py() or b"", size, seed)
+                fps.append(majority(hashes))
+                if hashed:
+                    keys.append(band_keys(hashes))
+            more = [batch.column(2), pa.array(keys, pa.list_(pa.int64()))] if hashed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64()), *more], ["id", "fp", "h", "keys"][: 2 + len(more)])
 
     return run
 
 
 def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
-    """id, fp of every row, and if hashed its text's hash h."""
+    """id, fp of every row, and if hashed its text's hash h and its band keys."""
     hashes = [F.xxhash64(F.col(text_col)).alias("h")] if hashed else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *hashes)
-    return rows.mapInArrow(lean(_fingerprints(size, seed)), "id long, fp long" + ", h long" * hashed)
+    return rows.mapInArrow(lean(_fingerprints(size, seed, hashed)), "id long, fp long" + ", h long, keys array<long>" * hashed)
 
 
 def _co_occurrence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +185,21 @@ def _ball(bits: list[int], e: int) -> list[int]:
     return out
 
 
-def _neighbours(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that connect all fingerprints within two bits, without their pairs: by shared values within one bit."""
-    near = F.transform(F.array(*[F.lit(x) for x in _ball(list(range(WIDTH)), 1)]), lambda x: x.bitwiseXOR(F.col("fp")))
-    owners = fps.select("fp", F.explode(near).alias("value")).groupBy("value").agg(F.collect_list("fp").alias("all")).where(F.size("all") > 1)
-    return owners.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a <> b")
+def _neighbours(fps: DataFrame, tau: int) -> DataFrame:
+    """Links (a, b) that connect all fingerprints within tau bits, without their pairs: by shared values.
+
+    Two fingerprints are within tau bits if and only if a value is within tau // 2 bits of one and tau - tau // 2 of the other. All that are within
+    the wider radius of a value are linked to one within the narrower.
+    """
+    wide, narrow = tau - tau // 2, tau // 2
+    near = lambda e: F.transform(F.array(*[F.lit(x) for x in _ball(list(range(WIDTH)), e)]), lambda x: x.bitwiseXOR(F.col("fp")))
+    owners = fps.select("fp", F.explode(near(wide)).alias("value"))
+    if narrow == wide:
+        owners = owners.withColumn("centre", F.lit(True))
+    else:
+        owners = owners.withColumn("centre", F.bit_count(F.col("fp").bitwiseXOR(F.col("value"))) <= narrow)
+    owners = owners.groupBy("value").agg(F.collect_list("fp").alias("all"), F.min(F.when(F.col("centre"), F.col("fp"))).alias("a")).where("size(`all`) > 1 and a is not null")
+    return owners.select("a", F.explode("all").alias("b")).where("a <> b")
 
 
 def links(distinct: DataFrame, tau: int = 2) -> DataFrame:
@@ -188,10 +214,8 @@ def links(distinct: DataFrame, tau: int = 2) -> DataFrame:
     hot = stage(size.where(F.col("n") * F.col("p") > BUCKET_PAIRS).select("part", "key"), "simhash_hot")
     found = None
     if hot.count():
-        if tau != 2:
-            raise ValueError("buckets over BUCKET_PAIRS are linked by values within one bit, for tau = 2")
         members = entries.join(hot, ["part", "key"], "left_semi").select("fp").union(probes.join(hot, ["part", "key"], "left_semi").select(F.col("q")))
-        found = _neighbours(stage(members.distinct(), "simhash_members"))
+        found = _neighbours(stage(members.distinct(), "simhash_members"), tau)
         entries, probes = entries.join(hot, ["part", "key"], "left_anti"), probes.join(hot, ["part", "key"], "left_anti")
     apart = F.bit_count(F.col("fp").bitwiseXOR(F.col("q")))
     e, q = entries.alias("e"), probes.alias("q")
@@ -200,10 +224,11 @@ def links(distinct: DataFrame, tau: int = 2) -> DataFrame:
     return pairs.union(found) if found is not None else pairs
 
 
-def _classes(rows: DataFrame, tau: int) -> DataFrame:
-    """f, r, component_id: each distinct fingerprint of rows, the root of its component, and the component's smallest id."""
+def _classes(rows: DataFrame, tau: int, more: DataFrame | None = None) -> DataFrame:
+    """f, r, component_id: each distinct fingerprint of rows, the root of its component, and the component's smallest id. more: further links."""
     distinct = stage(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash_distinct")
-    roots = stage(connected_components(links(distinct.select("fp"), tau), "simhash_links"), "simhash_roots")
+    edges = links(distinct.select("fp"), tau)
+    roots = stage(connected_components(edges.union(more) if more is not None else edges, "simhash_links"), "simhash_roots")
     grouped = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     return stage(grouped.select(F.col("fp").alias("f"), F.col("root").alias("r")).join(least, F.col("r") == F.col("root")).select("f", "r", "component_id"), "simhash_classes")
@@ -216,33 +241,36 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size:
 
 
 def _one_of_each(docs: DataFrame, key: list[Column], repeated: DataFrame) -> DataFrame:
-    """docs with one row for each key in repeated (staged, columns __k0, ..): the least by a hash of all its columns."""
+    """docs with one row for each key in repeated (staged, columns k0, ..): the least by a hash of all its columns."""
     if not repeated.count():
         return docs
-    same = [k.eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(key)]
-    rows = docs.join(repeated, same, "left_semi").select(F.struct(*key).alias("__key"), F.struct(*docs.columns).alias("__row"), F.xxhash64(*docs.columns).alias("__order"))
-    return docs.join(repeated, same, "left_anti").union(rows.groupBy("__key").agg(F.min_by("__row", "__order").alias("__row")).select("__row.*"))
+    names = unused(docs, *repeated.columns, "key", "row", "order")
+    repeated, (key_, row, order) = repeated.toDF(*names[:-3]), names[-3:]
+    same = [k.eqNullSafe(F.col(n)) for n, k in zip(names, key)]
+    rows = docs.join(repeated, same, "left_semi").select(F.struct(*key).alias(key_), F.struct(*docs.columns).alias(row), F.xxhash64(*docs.columns).alias(order))
+    return docs.join(repeated, same, "left_anti").union(rows.groupBy(key_).agg(F.min_by(row, order).alias(row)).select(f"{row}.*"))
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 3, seed: int = 42, tau: int = 2, unique_ids: bool = True) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", size: int = 5, seed: int = 42, tau: int = 2, similarity: float | None = 0.8) -> DataFrame:
     """docs' own rows and columns, one document of each component: that with the smallest id (null is last), fingerprint and text hash.
 
-    Of rows that are equal in id and text the least by a hash of all columns stays. With unique_ids, survivors of several
-    components that share an id that is not null are cut to one in the same way.
+    Documents link if their fingerprints differ in at most tau bits, or if their sets of shingles have a Jaccard similarity of at least `similarity`
+    (None: by fingerprints alone). SimHash distance can't find the latter: texts at 0.8 differ in some ten of 64 bits, where a pigeonhole search leaves no
+    bits to select by. So their candidates share the least shingles under several hashes (`similar.links`), and all are verified.
+    Documents that share an id are several: the survivor is told by id and text. Of rows equal in both the least by a hash of all columns stays.
     """
     rows = stage(fingerprints(docs, id_col, text_col, size, seed, hashed=True), "simhash_fp")
-    classes = _classes(rows, tau)
+    more = similar_links(docs, rows, text_col, size, seed, similarity) if similarity is not None else None
+    classes = _classes(rows, tau, more)
     found = stage(rows.join(classes, F.col("fp") == F.col("f")).select("id", "h", "r", F.struct(F.col("id").isNull().alias("last"), "id", "fp", "h").alias("me")), "simhash_found")
     best = stage(found.groupBy("r").agg(F.min("me").alias("best")), "simhash_best").withColumnRenamed("r", "root")
     both = found.join(best, F.col("r") == F.col("root"))
-    lost = both.where(~F.col("me").eqNullSafe(F.col("best"))).select(F.col("id").alias("__k0"), F.col("h").alias("__k1")).distinct()
+    names = unused(docs, "k0", "k1")
+    lost = both.where(~F.col("me").eqNullSafe(F.col("best"))).select("id", "h").distinct().toDF(*names)
     key = [F.col(id_col).cast("long"), F.xxhash64(F.col(text_col))]
-    kept = docs.join(lost, [k.eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(key)], "left_anti")
-    kept = _one_of_each(kept, key, stage(found.groupBy(F.col("id").alias("__k0"), F.col("h").alias("__k1")).count().where("count > 1").drop("count"), "simhash_repeated"))
-    if unique_ids:
-        shared = best.select(F.col("best.id").alias("__k0")).where("__k0 is not null").groupBy("__k0").count().where("count > 1").drop("count")
-        kept = _one_of_each(kept, key[:1], stage(shared, "simhash_shared"))
-    return kept
+    kept = docs.join(lost, [k.eqNullSafe(F.col(n)) for n, k in zip(names, key)], "left_anti")
+    repeated = stage(found.groupBy("id", "h").count().where("count > 1").select(F.col("id").alias("k0"), F.col("h").alias("k1")), "simhash_repeated")
+    return _one_of_each(kept, key, repeated)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
