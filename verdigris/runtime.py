@@ -33,10 +33,12 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (local tests)."""
+    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset and Spark runs in one process."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and the executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-verdigris-")
@@ -54,15 +56,10 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Tables between these sizes that lie in fewer files than there are cores are dealt out anew; larger ones have row groups enough.
-SPREAD_BYTES = (1 << 20, 1 << 28)
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt to all cores if it is small but lies in a few files, whose row groups would keep the other cores idle."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """df, dealt to all cores if its scan has fewer partitions than there are cores; a table of any size beyond that is read as it lies."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if SPREAD_BYTES[0] <= size <= SPREAD_BYTES[1] and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
