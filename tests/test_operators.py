@@ -99,9 +99,12 @@ def test_store(spark, tmp_path):
     merged = merge_by_source(old, new)
     assert sorted((r.source, r.content) for r in merged.collect()) == [("a", "1"), ("b", "3"), ("c", "4")]
     assert unchanged(old, merged).count() == 1
-    write_generation(merged.withColumn("generation_id", F.lit("g1")), str(tmp_path), "g1")
-    activate(spark, str(tmp_path), "g1")
+    write_generation(merged, str(tmp_path), 9)
+    activate(spark, str(tmp_path), 9)
+    write_generation(merged.limit(1), str(tmp_path), 10)  # not active yet
     assert read_active(spark, str(tmp_path)).count() == 3
+    activate(spark, str(tmp_path), 10)
+    assert read_active(spark, str(tmp_path)).count() == 1
     ids = lambda d: d.select(F.col("source").alias("id"), "content_hash")
     assert {r.id: r.action for r in sync_actions(ids(merged), ids(old)).collect()} == {"a": "skip", "b": "upsert", "c": "upsert"}
 

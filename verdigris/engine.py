@@ -19,7 +19,7 @@ from .operators.retrieval import bm25, first_wins, utility
 from .runtime import ship
 from .sources.documents import read_documents
 from .sources.files import read_files
-from .sources.store import activate, merge_by_source, unchanged, write_generation
+from .sources.store import activate, active_generation, merge_by_source, unchanged, write_generation
 
 DOCUMENT = "source string, content string, content_hash string, tokens long"
 #: Rows up to which a ranking is broadcast; a larger one is joined by shuffle.
@@ -95,12 +95,12 @@ class Library:
         return lib
 
     def _generation(self) -> int:
-        return int(self.spark.read.parquet(f"{self.path}/_active_pointer").first().generation_id)
+        return active_generation(self.spark, self.path)
 
     def _publish(self, generation: int, sources: DataFrame, chunks: DataFrame) -> None:
-        write_generation(sources, f"{self.path}/sources", str(generation))
-        write_generation(chunks, f"{self.path}/chunks", str(generation))
-        activate(self.spark, self.path, str(generation))
+        write_generation(sources, f"{self.path}/sources", generation)
+        write_generation(chunks, f"{self.path}/chunks", generation)
+        activate(self.spark, self.path, generation)
 
     def sources(self) -> DataFrame:
         """source, content, content_hash, tokens."""

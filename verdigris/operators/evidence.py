@@ -1,4 +1,4 @@
-"""Evidence selection: coverage by greedy set cover, diversity by marginal relevance. Groups are bounded candidate lists."""
+"""Evidence selection: coverage by greedy set cover, diversity by marginal relevance. A group is one question's candidates: every one of them is looked at, so the caller bounds them by a rank."""
 
 from __future__ import annotations
 
@@ -6,9 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates of a group that are looked at, best first; the caller ranks them.
-CANDIDATES = 40
-
 
 def set_cover(candidates: DataFrame) -> DataFrame:
     """candidates (group_id, id, cost, covers array<string>, rank) -> group_id, id, step, gained: the most new coverage first,
@@ -28,8 +25,7 @@ def set_cover(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["group_id", "id", "step", "gained"])
 
     kind = dict(candidates.dtypes)
-    bounded = candidates.where(F.col("rank") <= CANDIDATES)
-    return bounded.groupBy("group_id").applyInPandas(run, f"group_id {kind['group_id']}, id {kind['id']}, step int, gained array<string>")
+    return candidates.groupBy("group_id").applyInPandas(run, f"group_id {kind['group_id']}, id {kind['id']}, step int, gained array<string>")
 
 
 def marginal_relevance(candidates: DataFrame, weight: float = 0.7, per_source: int = 2) -> DataFrame:
@@ -51,7 +47,7 @@ def marginal_relevance(candidates: DataFrame, weight: float = 0.7, per_source: i
         return pd.DataFrame(out, columns=["group_id", "id", "position"])
 
     kind = dict(candidates.dtypes)
-    return candidates.where(F.col("rank") <= CANDIDATES).groupBy("group_id").applyInPandas(run, f"group_id {kind['group_id']}, id {kind['id']}, position int")
+    return candidates.groupBy("group_id").applyInPandas(run, f"group_id {kind['group_id']}, id {kind['id']}, position int")
 
 
 def keep_unlike(candidates: DataFrame, millis: int = 850) -> DataFrame:
@@ -76,7 +72,7 @@ def fill(candidates: DataFrame, *, budget: int = 4000, sources: int = 12, per_so
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        pool = {r.id: r for r in rows[rows["rank"] <= CANDIDATES].itertuples()}
+        pool = {r.id: r for r in rows.itertuples()}
         words, used, spent, out = set(), {}, 0, []
         while pool:
             value = {i: 180 * len(r.covers) + min(100, max(0, r.relevance // 10)) + min(80, 4 * len(set(r.terms) - words)) for i, r in pool.items()}

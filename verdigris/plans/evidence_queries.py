@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..engine import search
 from ..functions import text as T
+from ..operators import index as X
 from ..operators.children import child_rows
 from ..operators.evidence import fill, keep_unlike
 from ..operators.retrieval import query_terms
 from ..runtime import stage, table
-from .retrieval_queries import _Q, _TOP, WORDS, _ranked, _with_source, questions
+from .retrieval_queries import _Q, _TOP, WORDS, _ranked, _with_source, index_of, questions
 
 QUERIES, SQL = {}, {}
 #: Distinct runs of five words of the 20 best documents of each query.
@@ -71,7 +72,7 @@ def evidence_selection(spark, sf):
     every candidate gets a reason. Tested against brute force."""
     words = lambda t: F.array_distinct(F.filter(T.tokens(t), lambda w: F.length(w) > 2))
     asked = questions(spark).select("query_id", T.tokens(F.col("text")).alias("asked"))
-    rows = _with_source(_ranked(spark, sf, 20), spark, sf).join(F.broadcast(asked), "query_id")
+    rows = _with_source(_ranked(spark, sf, 20), spark, sf).join(asked, "query_id")
     text = F.col("text")
     rows = rows.select("query_id", "id", "source", "rank", T.estimate_utf8_tokens(text).alias("cost"), F.floor(F.least("score", F.lit(100.0)) * 10).cast("int").alias("relevance"), F.array_intersect(F.array_distinct("asked"), T.tokens(text)).alias("covers"), words(text).alias("terms"), T.shingles(text).alias("sh"))
     return fill(keep_unlike(rows))
@@ -88,7 +89,7 @@ def result_diversity(spark, sf):
 def relevance_gate(spark, sf):
     """FLT-12: a candidate passes with two matched terms or half of the query's."""
     asked = questions(spark).select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    rows = _with_source(_ranked(spark, sf), spark, sf).join(F.broadcast(asked), "query_id")
+    rows = _with_source(_ranked(spark, sf), spark, sf).join(asked, "query_id")
     hit = F.size(F.array_intersect("asked", T.tokens(F.col("text"))))
     return rows.select("query_id", F.col("id").alias("doc_id"), "rank", hit.cast("long").alias("hit"), ((hit >= 2) | (hit * 2 >= F.size("asked"))).alias("passes"))
 
@@ -102,8 +103,7 @@ def source_evidence(spark, sf):
     """GRF-7: the first two documents of each term; a term without any has a row that says so. The rank limit keeps two rows a term in
     each map task, so a frequent term's documents are not gathered."""
     terms = query_terms(questions(spark)).select("query_id", "term")
-    wanted = [r.term for r in terms.select("term").distinct().collect()]  # as many as the questions' words
-    rows = table(spark, sf, "documents").select("doc_id", F.explode(F.array_distinct(F.filter(T.tokens(F.col("text")), lambda w: w.isin(wanted)))).alias("term"))
+    rows = X.matches(index_of(spark, sf), questions(spark)).where("tf > 0").select(F.col("id").alias("doc_id"), "term").distinct()
     found = rows.withColumn("n", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).where("n <= 2")
     return terms.join(found, "term", "left").select("query_id", "term", "doc_id", F.when(F.col("doc_id").isNull(), "absent_in_source").otherwise("found").alias("state"))
 
@@ -115,7 +115,7 @@ def source_evidence(spark, sf):
 def snippet_scores(spark, sf):
     """RNK-3, RNK-8: a weighted sum of relevance, matched terms, size and layout, from column expressions alone."""
     asked = questions(spark).select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    rows = _with_source(_ranked(spark, sf, 20), spark, sf).join(F.broadcast(asked), "query_id")
+    rows = _with_source(_ranked(spark, sf, 20), spark, sf).join(asked, "query_id")
     rel, sym = F.least(F.lit(1.0), F.col("score") / 20), F.size(F.array_intersect("asked", T.tokens(F.col("text")))) / F.size("asked")
     fit, lines = F.when(F.col("n_chars").between(200, 4000), 1.0).otherwise(0.4), F.when(F.col("text").contains("\n"), 1.0).otherwise(0.0)
     return rows.select("query_id", F.col("id").alias("doc_id"), "rank", F.round(0.5 * rel + 0.2 * sym + 0.2 * fit + 0.1 * lines, 5).alias("utility"))

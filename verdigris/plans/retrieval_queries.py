@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.evidence import marginal_relevance, set_cover
 from ..operators.fusion import best_groups, reciprocal_rank_fusion
-from ..operators.retrieval import bm25, budget_prefix, cap_per_source, document_frequencies, greedy_pack, query_terms, top_k, utility
-from ..runtime import table
+from ..operators import index as X
+from ..operators.retrieval import budget_prefix, cap_per_source, document_frequencies, greedy_pack, query_terms, top_k, utility
+from ..runtime import new_path, stage, table
 
 QUERIES, SQL = {}, {}
 #: The questions that the retrieval queries ask of the whole corpus.
@@ -42,13 +43,27 @@ s as (select query_id, doc_id, source, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.
 _TOP = _BM25 + ", r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id)::int as \"rank\" from s)"
 
 
+_indexes: dict[tuple, X.Index] = {}
+
+
+def index_of(spark, sf) -> X.Index:
+    """The stored index of a folder's documents: built at the first question of an application, as a corpus's generation is built once."""
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _indexes:
+        _indexes[key] = X.build(docs, new_path(spark, "index"), title=F.split_part("text", F.lit("."), F.lit(1)), source=F.col("source"))
+    return _indexes[key]
+
+
 def _ranked(spark, sf, k=40, conjunctive=False):
-    return top_k(bm25(table(spark, sf, "documents"), questions(spark), conjunctive=conjunctive), k)
+    return top_k(X.bm25(index_of(spark, sf), questions(spark), conjunctive=conjunctive), k)
 
 
 def _with_source(ranked, spark, sf):
-    """A ranking is bounded (k rows a query), so it is the side to broadcast."""
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "source", "text", "n_chars").join(F.broadcast(ranked), "id")
+    """A ranking (k rows a query, written once) with its documents, which are fetched by id."""
+    ranked = stage(ranked, "ranking")
+    found = X.fetch(index_of(spark, sf), ranked, "doc_id")
+    return found.select(F.col("doc_id").alias("id"), "source", "text", "n_chars").join(ranked, "id")
 
 
 @query(f"with {_TOP} select query_id, doc_id, round(score, 6) score, \"rank\" from r where \"rank\" <= 20")
@@ -64,6 +79,25 @@ def lex_bm25_and(spark, sf):
     return rows.select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank", F.greatest(F.lit(0.0), F.round(1 - 0.05 * (F.col("rank") - 1), 2)).alias("shown"))
 
 
+_FTS = rf"""{_Q},
+qt as (select query_id, term, count(*) over (partition by query_id) terms from (select distinct query_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) term from q)),
+d as (select doc_id, source, regexp_extract_all(lower(text), '{WORDS}') w, regexp_extract_all(lower(split_part(text, '.', 1)), '{WORDS}') tw, regexp_extract_all(lower(source), '{WORDS}') sw from documents),
+l as (select doc_id, coalesce(len(w), 0) + coalesce(len(tw), 0) + coalesce(len(sw), 0) len from d),
+st as (select count(*)::double n, avg(len) avgdl from l),
+p as (select doc_id, term, sum(wt) f from (select doc_id, unnest(w) term, 2.0 wt from d union all select doc_id, unnest(tw), 6.0 from d union all select doc_id, unnest(sw), 0.5 from d) where term in (select term from qt) group by 1, 2),
+df as (select term, count(*) df from p group by 1),
+s as (select query_id, doc_id, -sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len / avgdl))) cost, count(*) = any_value(terms) full_match from qt join df using (term) join p using (term) join l using (doc_id), st group by 1, 2)"""
+
+
+@query(f"with {_FTS}, r as (select *, row_number() over (partition by query_id order by round(cost, 9), doc_id)::int as \"rank\" from s where full_match or query_id not in (select query_id from s where full_match)) select query_id, doc_id, round(cost, 6) \"cost\", full_match, \"rank\" from r where \"rank\" <= 20")
+def lex_weighted(spark, sf):
+    """LEX-1, LEX-4, JN-1: all terms in title, body and source (weights 6.0, 2.0, 0.5), any where no record holds all; cost, lower is better.
+    The first sentence is the title."""
+    found = X.weighted_bm25(index_of(spark, sf), questions(spark)).withColumn("score", -F.col("cost"))
+    rows = top_k(found, 20)
+    return rows.select("query_id", F.col("id").alias("doc_id"), F.round("cost", 6).alias("cost"), F.col("full").alias("full_match"), "rank")
+
+
 @query(rf"select term, count(*) df from (select doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '{WORDS}'))) term from documents) group by 1")
 def postings_df(spark, sf):
     """AGG-14: document frequencies of the whole vocabulary."""
@@ -93,13 +127,13 @@ def greedy_packs(spark, sf):
 
 @query(rf"""with {_TOP}, c as (select r.query_id, r.doc_id, "rank" raw_rank, score, q.text qtext, documents.text body, split_part(documents.text, '.', 1) title, greatest(1, ceil(length(documents.text) / 4.0)) tok from r join documents using (doc_id) join q on q.query_id = r.query_id where "rank" <= 40),
 f as (select *, list_distinct(regexp_extract_all(lower(title), '{WORDS}')) tw, list_distinct(regexp_extract_all(lower(qtext), '{WORDS}')) qw from c),
-u as (select query_id, doc_id, raw_rank, score + case when tok > 600 then -0.3 * (tok - 600) / 600 else 0 end - 3.0 * len(list_intersect(tw, ['license', 'legal', 'terms', 'privacy', 'copyright', 'disclaimer', 'miscellaneous', 'modifications', 'indemnification', 'severability', 'arbitration', 'jurisdiction', 'governing', 'waiver', 'warranties', 'limitation', 'liability']))
+u as (select query_id, doc_id, raw_rank, score + case when tok > 600 then -0.3 * (tok - 600) / 600 else 0 end - 3.0 * len(list_intersect(tw, ['terms', 'conditions', 'privacy', 'policy', 'legal', 'disclaimer', 'eula', 'license', 'agreement', 'dmca', 'copyright', 'sla', 'miscellaneous', 'modifications', 'indemnification', 'severability', 'arbitration', 'jurisdiction', 'governing', 'waiver', 'warranties', 'limitation', 'liability']))
  + 1.5 * len(list_intersect(tw, qw)) + case when contains(lower(body[1:500]), lower(qtext)) then 2.0 else 0 end
  + case when len(list_intersect(qw, ['how', 'create', 'setup', 'set', 'configure', 'install', 'add', 'build', 'deploy', 'start', 'connect', 'enable', 'generate', 'register'])) > 0 and len(list_intersect(tw, ['create', 'set', 'setup', 'configure', 'install', 'add', 'build', 'deploy', 'start', 'connect', 'enable', 'initialize', 'register', 'sign', 'generate', 'getting', 'started'])) > 0 then 1.5 else 0 end util from f)
 select query_id, doc_id, raw_rank, round(util, 6) utility, row_number() over (partition by query_id order by round(util, 9) desc, raw_rank)::int final_rank, raw_rank - row_number() over (partition by query_id order by round(util, 9) desc, raw_rank)::int delta from u""")
 def utility_rerank(spark, sf):
     """RNK-1, RNK-2: a text's first sentence stands for its title."""
-    rows = _with_source(_ranked(spark, sf), spark, sf).join(F.broadcast(questions(spark).withColumnRenamed("text", "question")), "query_id")
+    rows = _with_source(_ranked(spark, sf), spark, sf).join(questions(spark).withColumnRenamed("text", "question"), "query_id")
     u = utility(F.split_part("text", F.lit("."), F.lit(1)), F.col("text"), F.col("question"), F.col("score"), T.estimate_tokens(F.col("text")), F.lit(""))
     rows = rows.select("query_id", F.col("id").alias("doc_id"), F.col("rank").alias("raw_rank"), u.alias("u"))
     order = Window.partitionBy("query_id").orderBy(F.round("u", 9).desc(), "raw_rank")
@@ -111,9 +145,7 @@ _LANES = _TOP + ", t as (select query_id, doc_id, row_number() over (partition b
 
 
 def _lanes(spark, sf):
-    docs, wanted = table(spark, sf, "documents"), query_terms(questions(spark)).select("query_id", "term")
-    words = docs.select(F.col("doc_id").alias("id"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    counts = words.join(F.broadcast(wanted), "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("score"))
+    counts = X.matches(index_of(spark, sf), questions(spark)).where("tf > 0").groupBy("query_id", "id").agg(F.sum("tf").cast("double").alias("score"))
     return {"lexical": _ranked(spark, sf), "frequency": top_k(counts, 40)}
 
 
@@ -159,9 +191,7 @@ def l2_topk(spark, sf):
 @query(rf"with {_Q}, v as (select query_id, term, count(*) wq from (select query_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) term from q) group by 1, 2), d as (select doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) term from documents), s as (select query_id, doc_id, sum(wq)::bigint score from v join d using (term) group by 1, 2) select * from s qualify row_number() over (partition by query_id order by score desc, doc_id) <= 20")
 def sparse_topk(spark, sf):
     """VEC-3: inner products of sparse term vectors."""
-    q = query_terms(questions(spark)).select("query_id", "term", F.col("qf").alias("wq"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.explode(T.tokens(F.col("text"))).alias("term"))
-    s = d.join(F.broadcast(q), "term").groupBy("query_id", "id").agg(F.sum("wq").alias("score"))
+    s = X.matches(index_of(spark, sf), questions(spark)).where("tf > 0").groupBy("query_id", "id").agg(F.sum(F.col("qf") * F.col("tf")).alias("score"))
     return top_k(s, 20).select("query_id", F.col("id").alias("doc_id"), "score")
 
 
@@ -178,9 +208,9 @@ def neighbor_expand(spark, sf):
 @query()
 def evidence_cover(spark, sf):
     """EVS-5: a small set of documents that covers a question's terms; tested against brute force."""
-    docs, wanted = table(spark, sf, "documents"), query_terms(questions(spark)).select("query_id", "term")
+    wanted = query_terms(questions(spark)).select("query_id", "term")
     ranked = _with_source(_ranked(spark, sf), spark, sf).select("query_id", "id", "rank", F.floor(F.col("n_chars") / 4).cast("long").alias("cost"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    covers = ranked.join(F.broadcast(wanted), ["query_id", "term"]).groupBy(F.col("query_id").alias("group_id"), "id", "rank", "cost").agg(F.collect_set("term").alias("covers"))
+    covers = ranked.join(wanted, ["query_id", "term"]).groupBy(F.col("query_id").alias("group_id"), "id", "rank", "cost").agg(F.collect_set("term").alias("covers"))
     return set_cover(covers).select("group_id", "id", "step", F.array_join("gained", " ").alias("gained"))
 
 
@@ -200,7 +230,7 @@ def eval_ranking(spark, sf):
     """EVL-1, EVL-4: labels of quality as relevance of the lexical ranking."""
     labels = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("id")).agg(F.max("quality").alias("g"))
     ranked = _ranked(spark, sf, 20)
-    judged = labels.join(F.broadcast(ranked), "id", "right").withColumn("g", F.coalesce("g", F.lit(0)))
+    judged = labels.join(stage(ranked, "ranking"), "id", "right").withColumn("g", F.coalesce("g", F.lit(0)))
     ideal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("g").desc()))
     gain = lambda at: (F.pow(F.lit(2.0), F.col("g")) - 1) / F.log2(at + 1)
     judged = judged.withColumn("n", ideal)

@@ -16,18 +16,23 @@ def unchanged(new: DataFrame, stored: DataFrame) -> DataFrame:
     return new.join(stored.select("source", "content_hash").distinct(), ["source", "content_hash"], "left_semi")
 
 
-def write_generation(rows: DataFrame, path: str, generation: str) -> None:
+def write_generation(rows: DataFrame, path: str, generation: int) -> None:
     """One immutable partition per generation."""
     rows.drop("generation_id").write.mode("overwrite").parquet(f"{path}/generation_id={generation}")
 
 
-def activate(spark: SparkSession, path: str, generation: str) -> None:
-    """The pointer to the active generation: a table of one row, swapped as a whole."""
-    spark.range(1).select(F.lit(generation).alias("generation_id")).coalesce(1).write.mode("overwrite").parquet(f"{path}/_active_pointer")
+def activate(spark: SparkSession, path: str, generation: int) -> None:
+    """Makes a generation the active one: a new pointer is committed beside the older ones, none is written over. A job that dies leaves
+    the greatest committed pointer as it was."""
+    spark.range(1).select(F.lit(generation).cast("long").alias("generation")).coalesce(1).write.mode("overwrite").parquet(f"{path}/_pointers/at={generation}")
+
+
+def active_generation(spark: SparkSession, path: str) -> int:
+    return int(spark.read.parquet(f"{path}/_pointers").agg(F.max("generation")).first()[0])
 
 
 def read_active(spark: SparkSession, path: str) -> DataFrame:
-    active = spark.read.parquet(f"{path}/_active_pointer").first().generation_id
+    active = active_generation(spark, path)
     return spark.read.parquet(f"{path}/generation_id={active}").withColumn("generation_id", F.lit(active))
 
 
