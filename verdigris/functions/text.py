@@ -190,3 +190,16 @@ def jaccard_millis(a: Column, b: Column) -> Column:
     """Floor of 1000 times the Jaccard similarity of two arrays of distinct values."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.floor(F.size(F.array_intersect(a, b)) * 1000 / union)).otherwise(0).cast("int")
+
+
+def decoded(t: Column) -> Column:
+    for entity, char in ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return t
+
+
+def table_lines(html: Column) -> Column:
+    """The rows of a page's tables, cells parted by bars."""
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    cell = lambda c: stripped(decoded(F.regexp_replace(c, r"<[^>]+>", "")))
+    return F.transform(rows, lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), cell), " | "))

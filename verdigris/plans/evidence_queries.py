@@ -108,19 +108,6 @@ def source_evidence(spark, sf):
     return terms.join(found, "term", "left").select("query_id", "term", "doc_id", F.when(F.col("doc_id").isNull(), "absent_in_source").otherwise("found").alias("state"))
 
 
-@query(
-    f"""with {_TOP}, b as (select r.*, text, n_chars from r join documents using (doc_id) where "rank" <= 20), v as (select *, least(1.0, score / 20) rel, hit / terms sym, case when n_chars between 200 and 4000 then 1.0 else 0.4 end fit, case when contains(text, chr(10)) then 1.0 else 0.0 end lines from b)
-    select query_id, doc_id, "rank", round(0.5 * rel + 0.2 * sym + 0.2 * fit + 0.1 * lines, 5) utility from v"""
-)
-def snippet_scores(spark, sf):
-    """RNK-3, RNK-8: a weighted sum of relevance, matched terms, size and layout, from column expressions alone."""
-    asked = questions(spark).select("query_id", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    rows = _with_source(_ranked(spark, sf, 20), spark, sf).join(asked, "query_id")
-    rel, sym = F.least(F.lit(1.0), F.col("score") / 20), F.size(F.array_intersect("asked", T.tokens(F.col("text")))) / F.size("asked")
-    fit, lines = F.when(F.col("n_chars").between(200, 4000), 1.0).otherwise(0.4), F.when(F.col("text").contains("\n"), 1.0).otherwise(0.0)
-    return rows.select("query_id", F.col("id").alias("doc_id"), "rank", F.round(0.5 * rel + 0.2 * sym + 0.2 * fit + 0.1 * lines, 5).alias("utility"))
-
-
 @query(
     f"""with {_TOP}, f as (select query_id, doc_id, "rank", source from r where "rank" <= 40), old as (select * from f where doc_id not in (select doc_id from labels where doc_id is not null)), cur as (select * from f where doc_id in (select doc_id from labels)),
     u as (select *, 'current' lane from cur union all select *, 'legacy' from old) select query_id, doc_id, lane, row_number() over (partition by query_id, lane order by "rank")::int lane_rank from u"""

@@ -112,7 +112,7 @@ def last_events(spark, sf):
       case when regexp_matches(path, '(^|/)(api|reference|docs?|guides?)([./-]|$)') then 'canonical' else 'supporting' end authority, len(string_split(trim(path, '/'), '/'))::int depth from p"""
 )
 def path_taxonomy(spark, sf):
-    """RNK-6, RNK-11: a path's kind, authority and depth; the first rule that matches counts."""
+    """A page path's kind, authority and depth; the first rule that matches counts."""
     path = F.lower(T.url_path(F.col("url")))
     kind = F.when(path.rlike(r"(^|/)(test|tests|fixtures?)(/|$)"), "test").when(path.rlike(r"(^|/)(changelog|releases?|history|news)([./-]|$)"), "changelog")
     kind = kind.when(path.rlike(r"(^|/)(api|reference)([./-]|$)"), "reference").when(path.rlike(r"(^|/)(docs?|guides?|tutorials?|wiki)([./-]|$)"), "guide").when(path.isin("", "/"), "root").otherwise("other")
@@ -140,7 +140,7 @@ def question_intents(spark, sf):
     select coalesce(reason, 'eligible') reason, source, count(*) n, sum(n_chars)::bigint chars from d group by 1, 2"""
 )
 def eligibility(spark, sf):
-    """FLT-9, FLT-10, EVS-2, AGG-12: the first reason that applies keeps a candidate out; candidates are counted by reason."""
+    """AGG-12: the first reason that applies keeps a document out; they are counted by reason and source."""
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     blank = F.col("text").isNull() | (F.trim("text") == "")
     rows = table(spark, sf, "documents").select("doc_id", "source", "n_chars", blank.alias("blank")).join(labels, "doc_id", "left")
@@ -153,7 +153,7 @@ def eligibility(spark, sf):
       case when toxic = 1 then 'rejected' when quality = 0 then 'risky' else 'selected' end trust from documents left join (select doc_id, max(quality) quality, max(toxic) toxic from labels group by 1) l using (doc_id)"""
 )
 def trust_partition(spark, sf):
-    """EVS-17, EVS-18, AGG-15: every source is selected, risky or rejected, and bears a confidence."""
+    """Labelled documents as selected, risky or rejected, each with a confidence."""
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rows = table(spark, sf, "documents").select("doc_id", "n_chars").join(labels, "doc_id", "left")
     good = F.col("quality") == 1
