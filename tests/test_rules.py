@@ -228,3 +228,28 @@ def test_index(spark, tmp_path):
         for i in whole or cost:
             assert got[q, i] == (pytest.approx(cost[i], abs=1e-9), i in whole)
     assert {r.id for r in X.fetch(index, spark.createDataFrame([(3,), (9,), (77,)], "id int"), "id").collect()} == {3, 9}
+
+
+def test_markdown_chunks():
+    from verdigris.operators import markdown as M
+
+    text = "intro words\n# A\n\nprose of a " + "word " * 60 + "\n## B\n- one\n- two\n  more\n- three\n\n# C\n| h | k |\n|---|---|\n" + "".join(f"| r{k} | {'x' * 20} |\n" for k in range(12)) + "\n```py\n# no heading\n" + "".join(f"line_{k} = {k}\n" for k in range(30)) + "```\nend\n"
+    assert [(names, body.strip()[:5]) for names, body in M.sections(text)] == [([], "intro"), (["A"], "prose"), (["A", "B"], "- one"), (["C"], "| h |")]
+    got = M.chunk_markdown(text, 200, 40)
+    assert all(len(c) <= 200 for c in got)
+    assert got[0].startswith("intro words") and any(c.startswith("[# A > ## B]\n- one\n- two\n  more") for c in got)
+    tables = [c for c in got if "| h | k |\n|---|---|\n" in c]
+    assert len(tables) > 1 and sum(c.count("| r") for c in tables) == 12
+    code = [c for c in got if "```py" in c]
+    assert len(code) > 1 and all(c.count("```") == 2 for c in code) and sum(c.count("line_") for c in code) == 30
+    assert M.merged(["a" * 30, "b" * 30, "c" * 60], 100) == ["a" * 30 + "\n" + "b" * 30, "c" * 60]
+    assert M.windows("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"] and M.windows("abc", 4, 1) == ["abc"] and M.chunk_markdown(" ") == []
+    assert M.is_list("- a\ntext\n1. b\n") and not M.is_list("- a\ntext\nmore\n") and M.list_items("intro\n- a\n  - sub\n- b") == ["intro", "- a\n  - sub", "- b"]
+
+
+def test_paragraphs_are_packed():
+    from verdigris.operators.chunking import pack_paragraphs
+
+    got = pack_paragraphs("aaaa bbbb\n\ncccc\n\ndddd eeee ffff", 16, 4)
+    assert got == ["aaaa bbbb\n\ncccc", "cccc\n\ndddd eeee ffff"]
+    assert pack_paragraphs("", 16, 4) == [] and pack_paragraphs("  \n\n ", 16, 4) == []

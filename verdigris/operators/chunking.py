@@ -11,30 +11,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .markdown import windows
+
 _HEADING = re.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 
 
 def pack_paragraphs(text: str, size: int = 800, overlap: int = 100) -> list[str]:
-    """Paragraphs packed while they fit; a chunk begins with the tail of the one before if that fits too. Longer ones are cut."""
+    """Paragraphs, white space collapsed, packed while they fit; longer ones are cut into windows. A chunk begins with the tail of the one before
+    if it stays within size and overlap."""
     out, current = [], ""
-    for paragraph in (p.strip() for p in re.split(r"\n\s*\n+", text)):
+    for paragraph in (" ".join(p.split()) for p in re.split(r"\n\s*\n+", text)):
         if not paragraph:
             continue
-        while len(paragraph) > size:
-            if current:
-                out.append(current)
-                current = ""
-            out.append(paragraph[:size].strip())
-            paragraph = paragraph[size - overlap :].strip()
-        joined = f"{current}\n\n{paragraph}" if current else paragraph
-        if len(joined) <= size:
-            current = joined
-            continue
-        out.append(current)
-        tail = current[-overlap:].strip() if overlap else ""
-        current = f"{tail}\n\n{paragraph}" if tail and len(tail) + 2 + len(paragraph) <= size else paragraph
-    return [*out, current] if current else out
+        if len(paragraph) > size:
+            out += [current] * bool(current) + windows(paragraph, size, overlap)
+            current = ""
+        elif current and len(current) + 2 + len(paragraph) > size:
+            out.append(current)
+            current = paragraph
+        else:
+            current = f"{current}\n\n{paragraph}" if current else paragraph
+    out += [current] * bool(current)
+    tails = ["", *(c[-overlap:].strip() if overlap else "" for c in out[:-1])]
+    return [f"{tail}\n\n{c}" if tail and len(tail) + 2 + len(c) <= size + overlap else c for tail, c in zip(tails, out)]
 
 
 def markdown_sections(text: str) -> list[dict]:
