@@ -6,7 +6,7 @@ from verdigris.engine import Library, format_context
 
 
 def test_library(spark, tmp_path):
-    lib = Library.create(spark, str(tmp_path / "lib"))
+    lib = Library.create(spark, str(tmp_path / "lib"), buckets=2)
     assert lib.stats().first().asDict() == {"sources": 0, "tokens": 0, "chunks": 0, "oversize": 0}
     assert lib.query("nothing").count() == 0
     guide = "# Guide\n\n## Setup token\n\nCreate the token in the console.\n\n## Other\n\nNothing about it.\n"
@@ -32,7 +32,7 @@ def test_library(spark, tmp_path):
 
 
 def test_search_expands_and_packs(spark, tmp_path):
-    lib = Library.create(spark, str(tmp_path / "lib"))
+    lib = Library.create(spark, str(tmp_path / "lib"), buckets=2)
     parts = "\n\n".join(f"Paragraph {k} " + ("needle " if k == 5 else "") + "word " * 80 for k in range(10))
     lib.add(spark.createDataFrame([("long.md", "# Long\n\n" + parts)], "source string, content string"))
     near = lib.query("needle", expand="adjacent", budget=10_000).collect()

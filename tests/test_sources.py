@@ -5,6 +5,7 @@ import zipfile
 
 from verdigris.operators.children import children, size_of
 from verdigris.sources.documents import read_documents
+from verdigris.sources.files import case_file_documents, read_files
 from verdigris.sources.locks import dependencies, project_files, read_sitemap
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
@@ -74,3 +75,17 @@ def test_children_repeat_what_they_were_cut_from():
     assert len(code) > 1 and all("```py\n" in c["search_text"] and c["search_text"].rstrip().endswith("```") for c in code)
     rows = list(children("|a|b|\n|-|-|\n" + "|1|2|\n" * 500, "doc"))
     assert len(rows) > 1 and all("|a|b|\n|-|-|\n" in c["search_text"] for c in rows)
+
+
+def test_files_are_chosen_and_titled(spark, tmp_path):
+    for name, body in {"a.md": b"---\nlang: en\ntitle: 'Front'\n---\n# Heading\ntext", "b.md": b"intro\n## Second  \ntext", "sub/c.txt": "caf\u00e9".encode("latin-1"), "sub/d.html": b"<title>Page</title><p>x", "node_modules/e.md": b"# no", "f.md": b" "}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(body)
+    good, left = read_files(spark, str(tmp_path), exclude=["node_modules"])
+    got = {r.source.rsplit("/", 1)[-1]: r for r in good.collect()}
+    assert {n: r.title for n, r in got.items()} == {"a.md": "Front", "b.md": "Second", "c.txt": None, "d.html": "Page"} and got["c.txt"].content == "caf\u00e9"
+    assert [(r.source.rsplit("/", 1)[-1], r.reason) for r in left.collect()] == [("f.md", "empty")]
+    again, left = read_files(spark, str(tmp_path), include=["*.md", "sub/**/*.txt"], exclude=["node_modules"], formats=["md", "txt"], known=good.where("format = 'md'"))
+    assert [r.source.rsplit("/", 1)[-1] for r in again.collect()] == ["c.txt"] and sorted(r.reason for r in left.collect()) == ["empty", "unchanged", "unchanged"]
+    cases = spark.createDataFrame([("7", "MARK", 700, True, None, ["9", "25"], ["Ann"])], "serial string, mark string, status int, live boolean, filed date, classes array<string>, owners array<string>")
+    assert case_file_documents(cases).first().content == "# MARK\n- Serial number: 7\n- Status: 700\n- Classes: 9, 25\n- Owners: Ann"

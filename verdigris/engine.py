@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators.children import CHILD, Sizes, child_rows
-from .operators.retrieval import bm25, first_wins, utility
+from .operators import index as X
+from .operators.retrieval import first_wins, utility
 from .runtime import ship
 from .sources.documents import read_documents
 from .sources.files import read_files
@@ -29,19 +30,20 @@ EXPANSIONS = ("none", "adjacent", "page")
 NEIGHBOURS = 8
 
 
-def search(chunks: DataFrame, queries: DataFrame, *, limit: int = 8, budget: int = 2400, expand: str = "adjacent", where: Column | None = None) -> DataFrame:
-    """chunks (id, and the columns of CHILD), queries (query_id, text) -> query_id, position, score and a chunk's columns.
+def search(chunks: DataFrame, queries: DataFrame, index: X.Index, *, limit: int = 8, budget: int = 2400, expand: str = "adjacent", where: Column | None = None) -> DataFrame:
+    """chunks (id, and the columns of CHILD), queries (query_id, text), the chunks' index -> query_id, position, score and a chunk's columns.
 
-    LEX-6: chunks with all terms (any, where a query has none with all), four times the limit, ordered by utility; each is followed
+    LEX-6: chunks with all terms in title, body or source (any, where a query has none with all), four times the limit, ordered by utility; each is followed
     by its neighbours in its section; repeated texts are dropped; a chunk over the budget is skipped, but never the first.
     """
     if expand not in EXPANSIONS:
         raise ValueError(f"expand is one of {EXPANSIONS}")
-    chunks = chunks if where is None else chunks.where(where)
-    scored = bm25(chunks, queries, id_col="child_id", text_col="search_text", flag=True)
-    order = Window.partitionBy("query_id").orderBy(F.desc("full"), F.round("score", 9).desc(), "id")
-    best = scored.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= 4 * limit)
-    best = best.withColumn("any_full", F.max("full").over(Window.partitionBy("query_id"))).where("full or not any_full").drop("full", "any_full").withColumnRenamed("id", "child_id")
+    scored = X.weighted_bm25(index, queries).withColumn("score", -F.col("cost"))
+    if where is not None:
+        chunks = chunks.where(where)
+        scored = scored.join(chunks.select(F.col("child_id").alias("c")), F.col("id") == F.col("c"), "left_semi")
+    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "id")
+    best = scored.withColumn("raw_rank", F.row_number().over(order)).where(F.col("raw_rank") <= 4 * limit).drop("full", "cost").withColumnRenamed("id", "child_id")
     small = queries.count() * 4 * limit <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda d: d
     asked = hint(queries.select("query_id", F.col("text").alias("question")))
@@ -71,6 +73,12 @@ def search(chunks: DataFrame, queries: DataFrame, *, limit: int = 8, budget: int
     return chunks.join(hint(picks), "child_id").join(hint(trace), ["query_id", "child_id"], "left").select("query_id", "position", shown.alias("score"), F.col("id").alias("source"), "child_id", "parent_id", "ordinal", "heading_path", F.col("display_text").alias("text"), "tokens", F.col("used").alias("packed_tokens"), "raw_rank", "final_rank", "utility")
 
 
+def index_chunks(chunks: DataFrame, path: str, buckets: int = X.BUCKETS) -> X.Index:
+    """The index of a generation's chunks: the last heading is the title, the document's name the source."""
+    title = F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("Document"))
+    return X.build(chunks, path, id_col="child_id", body=F.col("search_text"), title=title, source=F.col("id"), buckets=buckets, store=False)
+
+
 def format_context(results: DataFrame, style: str = "markdown") -> DataFrame:
     """query_id, context: a query's results as one text, in order. STR-34; results are bounded by the search's limit."""
     if style == "xml":
@@ -85,12 +93,12 @@ def format_context(results: DataFrame, style: str = "markdown") -> DataFrame:
 
 
 class Library:
-    def __init__(self, spark: SparkSession, path: str, sizes: Sizes = Sizes()):
-        self.spark, self.path, self.sizes = ship(spark), path.rstrip("/"), sizes
+    def __init__(self, spark: SparkSession, path: str, sizes: Sizes = Sizes(), buckets: int = X.BUCKETS):
+        self.spark, self.path, self.sizes, self.buckets = ship(spark), path.rstrip("/"), sizes, buckets
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, sizes: Sizes = Sizes()) -> Library:
-        lib = cls(spark, path, sizes)
+    def create(cls, spark: SparkSession, path: str, sizes: Sizes = Sizes(), buckets: int = X.BUCKETS) -> Library:
+        lib = cls(spark, path, sizes, buckets)
         lib._publish(0, spark.createDataFrame([], DOCUMENT), spark.createDataFrame([], f"id string, {CHILD}"))
         return lib
 
@@ -100,15 +108,22 @@ class Library:
     def _publish(self, generation: int, sources: DataFrame, chunks: DataFrame) -> None:
         write_generation(sources, f"{self.path}/sources", generation)
         write_generation(chunks, f"{self.path}/chunks", generation)
+        index_chunks(self._chunks(generation), f"{self.path}/index/generation_id={generation}", self.buckets)
         activate(self.spark, self.path, generation)
 
     def sources(self) -> DataFrame:
         """source, content, content_hash, tokens."""
         return self.spark.read.schema(DOCUMENT).parquet(f"{self.path}/sources/generation_id={self._generation()}")
 
+    def _chunks(self, generation: int) -> DataFrame:
+        return self.spark.read.schema(f"id string, {CHILD}").parquet(f"{self.path}/chunks/generation_id={generation}")
+
     def chunks(self) -> DataFrame:
         """id (the source) and the columns of CHILD."""
-        return self.spark.read.schema(f"id string, {CHILD}").parquet(f"{self.path}/chunks/generation_id={self._generation()}")
+        return self._chunks(self._generation())
+
+    def index(self) -> X.Index:
+        return X.Index(self.spark, f"{self.path}/index/generation_id={self._generation()}", self.buckets, id_type="string")
 
     def add(self, docs: DataFrame) -> None:
         """docs (source, content, ...): replaces documents of the same source; unchanged ones are left as they are. Of rows with one
@@ -139,10 +154,10 @@ class Library:
 
     def query(self, text: str, **options) -> DataFrame:
         """The packed results of one question, in order."""
-        return search(self.chunks(), self.spark.createDataFrame([(1, text)], "query_id int, text string"), **options).drop("query_id").orderBy("position")
+        return search(self.chunks(), self.spark.createDataFrame([(1, text)], "query_id int, text string"), self.index(), **options).drop("query_id").orderBy("position")
 
     def query_many(self, queries: DataFrame, **options) -> DataFrame:
-        return search(self.chunks(), queries, **options)
+        return search(self.chunks(), queries, self.index(), **options)
 
     def savings(self, results: DataFrame) -> DataFrame:
         """query_id, packed, raw (the whole sources of the results, each once), percent, runway. AGG-9."""

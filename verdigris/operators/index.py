@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import tokens
 from .retrieval import K1, LISTED_TERMS, B, query_terms
@@ -20,27 +21,36 @@ BUCKETS = 32
 WEIGHTS = {"title": 6.0, "body": 2.0, "source": 0.5}
 
 
+#: Columns of the stored tables; those of the store are the documents' own.
+SCHEMAS = {"postings": "id {id}, len int, record_len int, term string, tf int, weighted double, bucket int", "terms": "term string, df bigint, record_df bigint, bucket int", "stats": "docs bigint, len double, record_len double"}
+
+
 @dataclass
 class Index:
     spark: SparkSession
     path: str
     buckets: int = BUCKETS
+    id_type: str = "bigint"
+    store_schema: StructType | None = None
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        """A stored table; its schema is known, so that an empty one can be read too."""
+        schema = self.store_schema if name == "store" else SCHEMAS[name].format(id=self.id_type)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
 
 def _bucket(of: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(of), F.lit(buckets)).cast("int")
 
 
-def build(docs: DataFrame, path: str, *, id_col="doc_id", body: Column | None = None, title: Column | None = None, source: Column | None = None, buckets: int = BUCKETS) -> Index:
-    """Writes under path: store (docs' columns, id, n_tokens), postings (term, id, tf of the body, weighted frequency, lengths), terms, stats."""
+def build(docs: DataFrame, path: str, *, id_col="doc_id", body: Column | None = None, title: Column | None = None, source: Column | None = None, buckets: int = BUCKETS, store: bool = True) -> Index:
+    """Writes under path: store (docs' columns; not where the documents lie in a table of their own), postings (term, id, tf of the body, weighted frequency, lengths), terms, stats."""
     spark = docs.sparkSession
     body, title, source = (F.col("text") if body is None else body), (F.lit("") if title is None else title), (F.lit("") if source is None else source)
-    rows = docs.withColumn("_id", F.col(id_col)).withColumn("_body", tokens(body)).withColumn("_title", tokens(title)).withColumn("_source", tokens(source))
-    store = docs.withColumn("n_tokens", F.size(tokens(body))).withColumn("bucket", _bucket(F.col(id_col), buckets))
-    store.repartition("bucket", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(4))).sortWithinPartitions("bucket", id_col).write.partitionBy("bucket").parquet(f"{path}/store")
+    rows = docs.withColumn("_id", F.col(id_col)).withColumn("_body", tokens(body)).withColumn("_title", tokens(title)).withColumn("_source", tokens(source.cast("string")))
+    if store:
+        kept = docs.withColumn("bucket", _bucket(F.col(id_col), buckets)).repartition("bucket", F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(4)))
+        kept.sortWithinPartitions("bucket", id_col).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/store")
     field = lambda name, number: F.transform(F.coalesce(F.col(f"_{name}"), F.array().cast("array<string>")), lambda t: F.struct(t.alias("term"), F.lit(number).alias("field")))
     every = F.concat(field("body", 0), field("title", 1), field("source", 2))
     length = F.coalesce(F.size("_body"), F.lit(0)) + F.coalesce(F.size("_title"), F.lit(0)) + F.coalesce(F.size("_source"), F.lit(0))
@@ -49,12 +59,12 @@ def build(docs: DataFrame, path: str, *, id_col="doc_id", body: Column | None =
     postings = words.groupBy("id", "len", "record_len", "term").agg(F.count_if(F.col("field") == 0).cast("int").alias("tf"), F.sum(weight).alias("weighted"))
     postings = postings.withColumn("bucket", _bucket(F.col("term"), buckets))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    postings.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").parquet(f"{path}/postings")
-    index = Index(spark, path, buckets)
+    postings.repartitionByRange(parts, "bucket", "term", "id").sortWithinPartitions("bucket", "term", "id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index(spark, path, buckets, dict(rows.dtypes)["_id"], StructType([*docs.schema.fields, StructField("bucket", IntegerType())]))
     counts = index.table("postings").groupBy("bucket", "term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.count("*").alias("record_df"))
-    counts.repartition(max(1, buckets // 8), "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/terms")
+    counts.repartition(max(1, buckets // 8), "bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
     lengths = rows.agg(F.count("*").alias("docs"), F.avg(F.size("_body")).alias("len"), F.avg(length).alias("record_len"))
-    lengths.coalesce(1).write.parquet(f"{path}/stats")
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
     return index
 
 

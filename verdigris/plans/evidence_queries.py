@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..engine import search
+from ..engine import index_chunks, search
 from ..functions import text as T
 from ..operators import index as X
 from ..operators.children import child_rows
 from ..operators.evidence import fill, keep_unlike
 from ..operators.retrieval import query_terms
-from ..runtime import stage, table
+from ..runtime import new_path, stage, table
 from .retrieval_queries import _Q, _TOP, WORDS, _ranked, _with_source, index_of, questions
 
 QUERIES, SQL = {}, {}
@@ -41,7 +41,7 @@ def packed_search(spark, sf):
     """LEX-6, EXP-1, DDP-1, PCK-1: the questions' chunks, packed with their neighbours. The chunks are written once, as an index is, and
     read three times. Tested through the library."""
     chunks = stage(child_rows(table(spark, sf, "documents")), "chunks")
-    return search(chunks, questions(spark)).drop("text")
+    return search(chunks, questions(spark), index_chunks(chunks, new_path(spark, "chunk_index"))).drop("text")
 
 
 @query("select doc_id, length(text) chars, strlen(text) bytes, 0::bigint gaps, 0::bigint oversize from documents where length(text) > 0")

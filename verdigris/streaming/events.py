@@ -19,10 +19,16 @@ def append_documents(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def idempotency_keys(stream: DataFrame, ttl_seconds: float, timeout: str = GroupStateTimeout.NoTimeout) -> DataFrame:
-    """stream (fingerprint, ts) -> fingerprint, ts, key_at, reused: a key lives ttl_seconds from its creation, however often it is used."""
+def idempotency_keys(stream: DataFrame, ttl_seconds: float, late: str = "1 hour") -> DataFrame:
+    """stream (fingerprint, ts) -> fingerprint, ts, key_at, reused: a key lives ttl_seconds from its creation, however often it is used.
+
+    Once the watermark (late behind the newest event) has passed a key's end, its state is removed.
+    """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         made = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values("ts")
         out = []
@@ -32,9 +38,15 @@ def idempotency_keys(stream: DataFrame, ttl_seconds: float, timeout: str = Group
             made = made if reused else now
             out.append((key[0], ts, pd.Timestamp(made, unit="s"), reused))
         state.update((made,))
+        ends = int((made + ttl_seconds) * 1000)
+        if ends > state.getCurrentWatermarkMs():
+            state.setTimeoutTimestamp(ends)
+        else:
+            state.remove()
         yield pd.DataFrame(out, columns=["fingerprint", "ts", "key_at", "reused"])
 
-    return stream.groupBy("fingerprint").applyInPandasWithState(run, "fingerprint string, ts timestamp, key_at timestamp, reused boolean", "made double", "append", timeout)
+    rows = stream.withWatermark("ts", late).groupBy("fingerprint")
+    return rows.applyInPandasWithState(run, "fingerprint string, ts timestamp, key_at timestamp, reused boolean", "made double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windowed_counts(stream: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:
