@@ -4,7 +4,8 @@ import itertools
 from collections import Counter
 
 import corpus_pipeline as P
-from verdigris.llm import decontaminate, simhash, toxicity
+from pyspark.sql import functions as F
+from verdigris.llm import decontaminate, mixing, simhash, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,6 +56,30 @@ def test_near_duplicates_are_dropped_by_document(spark):
     assert sorted(map(repr, kept)) == sorted(map(repr, want))
 
 
+def test_stages_one_after_another(spark):
+    """run()'s documents are those that the stages' decisions leave, each decision taken by its operator on what the stage before kept."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    left = {r.doc_id: r for r in docs.collect()}
+    scores = {r.id: r.score for r in toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).collect()}
+    left = {i: r for i, r in left.items() if scores[i] < 0.5}
+    sets, prints = {i: shingle_set(r.text) for i, r in left.items()}, {i: simhash.fingerprint((r.text or "").encode(), 5) % 2**64 for i, r in left.items()}
+    root = {i: i for i in left}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(left), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 2 or 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]) > 0:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    left = {i: r for i, r in left.items() if find(i) == i}
+    hit = {r.doc_id for r in decontaminate.contamination(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").collect()}
+    left = {i: r for i, r in left.items() if i not in hit}
+    copies = {r.id: r.copies for r in mixing.mix_plan_rows(docs.where(F.col("doc_id").isin(list(left)))).collect()}
+    assert Counter(r.doc_id for r in P.run(spark, SF).collect()) == Counter({i: c for i, c in copies.items() if c})
+
+
 def test_run(spark):
     rows = P.run(spark, SF).orderBy("start").collect()
     assert rows and rows[0].start == 0

@@ -67,19 +67,20 @@ def build_index(docs: DataFrame, terms: DataFrame, *, id_col="doc_id", text_col=
 
 
 def windows(items: DataFrame, index: Index, size: int) -> DataFrame:
-    """it, item_id, n, l, p1, t1, p2, t2, terms: for each window that can occur, its rarest and second rarest term."""
+    """it, item_id, n, l, s, p1, t1, p2, t2, inside (p, tid, cf of its words): for each window that can occur, its rarest and second rarest term."""
     counts = index.postings.where(F.col("tid") != LENGTH).groupBy("tid").agg(F.count("*").alias("cf"))
     counts = stage(counts, "leak_counts")
     known = index.vocabulary.where(F.col("tid") != LENGTH).join(counts, "tid", "left").withColumnRenamed("term", "known")
     rows = small_join(items, stage(known, "leak_known"), F.col("term") == F.col("known"))
-    rows = rows.groupBy("it", "item_id", "n").agg(F.array_sort(F.collect_list(F.struct("p", "tid", "cf"))).alias("terms"))
     size_ = F.least(F.lit(size), F.col("n"))
-    rows = rows.withColumn("l", size_).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("l"))).alias("s"))
-    inside = F.slice("terms", F.col("s") + 1, F.col("l"))
+    # A window is a frame over the item's words, so that a long item is not copied for each of its windows.
+    frame = Window.partitionBy("it").orderBy("p").rowsBetween(0, size - 1)
+    rows = rows.select("it", "item_id", "n", size_.alias("l"), F.col("p").alias("s"), F.collect_list(F.struct("p", "tid", "cf")).over(frame).alias("inside")).where(F.size("inside") == F.col("l"))
+    inside = F.col("inside")
     rare = F.array_sort(F.transform(inside, lambda x: F.struct(x.cf.alias("cf"), x.p.alias("p"), x.tid.alias("tid"))))
     rows = rows.where(~F.exists(inside, lambda x: x.cf.isNull())).withColumn("rare", rare)
     second = F.coalesce(F.get("rare", F.lit(1)), F.get("rare", F.lit(0)))
-    return rows.select("it", "item_id", "n", "l", "s", F.get("rare", F.lit(0)).p.alias("p1"), F.get("rare", F.lit(0)).tid.alias("t1"), second.p.alias("p2"), second.tid.alias("t2"), "terms")
+    return rows.select("it", "item_id", "n", "l", "s", F.get("rare", F.lit(0)).p.alias("p1"), F.get("rare", F.lit(0)).tid.alias("t1"), second.p.alias("p2"), second.tid.alias("t2"), "inside")
 
 
 def phrase_hits(index: Index, items: DataFrame, size: int = 10) -> DataFrame:
@@ -96,7 +97,7 @@ def phrase_hits(index: Index, items: DataFrame, size: int = 10) -> DataFrame:
     both = aligned.join(other, (F.col("d") == F.col("d2")) & (F.col("shift") == F.col("shift2")) & (F.col("it") == F.col("it2")) & (F.col("p1") == F.col("q1")) & (F.col("h") == F.col("h2")))
     both = stage(both.select("d", "h", "it", "shift", "p1", "p2").distinct(), "leak_aligned")
     # The survivors meet the lists of the other terms of their windows.
-    parts = found.select(F.col("it").alias("i"), F.col("p1").alias("a"), F.col("p2").alias("b"), F.explode(F.slice("terms", F.col("s") + 1, F.col("l"))).alias("x")).select("i", "a", "b", F.col("x.p").alias("p"), F.col("x.tid").alias("want")).distinct()
+    parts = found.select(F.col("it").alias("i"), F.col("p1").alias("a"), F.col("p2").alias("b"), F.explode("inside").alias("x")).select("i", "a", "b", F.col("x.p").alias("p"), F.col("x.tid").alias("want")).distinct()
     wanted = small_join(both, stage(parts, "leak_parts"), (F.col("it") == F.col("i")) & (F.col("p1") == F.col("a")) & (F.col("p2") == F.col("b")), "inner")
     wanted = wanted.select("d", "h", "it", "shift", "p", "want", (F.col("p") + F.col("shift")).alias("at")).distinct()
     seen = stage(both.select(F.col("d").alias("sd"), F.col("h").alias("sh")).distinct(), "leak_seen")
