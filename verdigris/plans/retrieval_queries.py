@@ -10,6 +10,7 @@ from ..operators.evidence import marginal_relevance, set_cover
 from ..operators.fusion import best_groups, reciprocal_rank_fusion
 from ..operators import index as X
 from ..operators.retrieval import budget_prefix, cap_per_source, document_frequencies, greedy_pack, query_terms, top_k, utility
+from ..operators.vectors import nearest
 from ..runtime import new_path, stage, table
 
 QUERIES, SQL = {}, {}
@@ -169,23 +170,25 @@ def hierarchical_search(spark, sf):
     return rows.join(best, ["query_id", "source"]).select("query_id", "source", F.round("score", 9).alias("score"), "group_rank", F.col("id").alias("doc_id"), "rank")
 
 
-@query("with q as (select embedding qe from embeddings where vec_id = 0) select vec_id, round(list_dot_product(embedding::double[], qe::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(qe::double[], qe::double[]))), 6) score, row_number() over (order by round(list_dot_product(embedding::double[], qe::double[]) / (sqrt(list_dot_product(embedding::double[], embedding::double[])) * sqrt(list_dot_product(qe::double[], qe::double[]))), 9) desc, vec_id)::int as \"rank\" from embeddings, q qualify \"rank\" <= 20")
+_VECTORS = "e as (select vec_id, embedding::double[] v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0)"
+
+
+def _vectors(spark, sf):
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+
+
+@query(f"with {_VECTORS}, s as (select q.vec_id query_id, e.vec_id, list_dot_product(e.v, q.v) / nullif(sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v)), 0) s from e q join e on q.vec_id % 100 = 0 and len(q.v) = len(e.v)), r as (select query_id, vec_id, coalesce(s, 0) s, row_number() over (partition by query_id order by round(coalesce(s, 0), 9) desc, vec_id)::int as \"rank\" from s) select query_id, vec_id, round(s, 6) score, \"rank\" from r where \"rank\" <= 20")
 def cosine_topk(spark, sf):
-    """VEC-2, VEC-10: one query vector against all, a top-k that keeps k rows per task."""
-    rows = table(spark, sf, "embeddings")
-    q = rows.where("vec_id = 0").select("embedding").first().embedding
-    rows = rows.select("vec_id", T.cosine(F.col("embedding"), F.array(*[F.lit(float(x)) for x in q])).alias("s"))
-    best = rows.orderBy(F.round("s", 9).desc(), "vec_id").limit(20)
-    return best.select("vec_id", F.round("s", 6).alias("score"), F.row_number().over(Window.orderBy(F.round("s", 9).desc(), "vec_id")).alias("rank"))
+    """VEC-2, VEC-10: the nearest vectors of every row whose id is divisible by 100, among all rows, by matrix blocks."""
+    v = _vectors(spark, sf)
+    return nearest(v, v.where("id % 100 = 0"), 20).select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@query("with q as (select embedding qe from embeddings where vec_id = 0) select vec_id, round(-list_distance(embedding::double[], qe::double[]), 6) score from (select *, row_number() over (order by round(list_distance(embedding::double[], qe::double[]), 9), vec_id) n from embeddings, q) where n <= 20")
+@query(f"with {_VECTORS}, s as (select q.vec_id query_id, e.vec_id, list_distance(e.v, q.v) d from e q join e on q.vec_id % 100 = 0 and len(q.v) = len(e.v)) select query_id, vec_id, round(-d, 6) score from s qualify row_number() over (partition by query_id order by round(d, 9), vec_id) <= 20")
 def l2_topk(spark, sf):
-    """VEC-1: score is the negated distance."""
-    rows = table(spark, sf, "embeddings")
-    q = rows.where("vec_id = 0").select("embedding").first().embedding
-    d = F.sqrt(F.aggregate(F.zip_with("embedding", F.array(*[F.lit(float(x)) for x in q]), lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x))
-    return rows.select("vec_id", d.alias("d")).orderBy(F.round("d", 9), "vec_id").limit(20).select("vec_id", F.round(-F.col("d"), 6).alias("score"))
+    """VEC-1: as above by distance; score is the negated distance."""
+    v = _vectors(spark, sf)
+    return nearest(v, v.where("id % 100 = 0"), 20, "l2").select("query_id", F.col("id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 @query(rf"with {_Q}, v as (select query_id, term, count(*) wq from (select query_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) term from q) group by 1, 2), d as (select doc_id, unnest(regexp_extract_all(lower(text), '{WORDS}')) term from documents), s as (select query_id, doc_id, sum(wq)::bigint score from v join d using (term) group by 1, 2) select * from s qualify row_number() over (partition by query_id order by score desc, doc_id) <= 20")
