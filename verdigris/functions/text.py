@@ -203,3 +203,10 @@ def table_lines(html: Column) -> Column:
     rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
     cell = lambda c: stripped(decoded(F.regexp_replace(c, r"<[^>]+>", "")))
     return F.transform(rows, lambda r: F.array_join(F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"), F.lit(1)), cell), " | "))
+
+
+def breadcrumbs(html: Column) -> Column:
+    """The names in a page's breadcrumb list."""
+    inner = F.regexp_extract(html, r"(?is)<(?:nav|ol|ul|div)[^>]*(?:aria-label=[\"']breadcrumb[\"']|class=[\"'][^\"']*breadcrumbs?[^\"']*[\"'])[^>]*>(.*?)</(?:nav|ol|ul|div)>", 1)
+    names = F.transform(F.regexp_extract_all(inner, F.lit(r"(?is)<(?:a|li|span)[^>]*>([^<]*)</"), F.lit(1)), lambda x: F.trim(x))
+    return F.filter(names, lambda x: (x != "") & ~x.isin("\u203a", ">", "/", "\u00bb"))

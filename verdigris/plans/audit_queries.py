@@ -115,7 +115,7 @@ def wilson_intervals(spark, sf):
 
 @query(r"""with l as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) host, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="([^"#?]+)"', 1)) href from pages) select host, count(*) links, count(distinct href) targets, count(*) filter (where starts_with(href, '/')) internal from l group by host""")
 def link_edges(spark, sf):
-    """GRF-1: link edges of pages, by host."""
+    """Link edges of pages, by host."""
     rows = table(spark, sf, "pages").select(T.url_host(F.col("url")).alias("host"), F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a [^>]*href="([^"#?]+)"'), F.lit(1))).alias("href"))
     return rows.groupBy("host").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"), F.count_if(F.col("href").startswith("/")).alias("internal"))
 
@@ -131,7 +131,7 @@ def supply_paths(spark, sf):
 
 @query("select conv_id, count(*) turns, max(turn) last_turn, string_agg(role, '>' order by turn, role) shape from conversations group by conv_id")
 def conversation_shapes(spark, sf):
-    """AGG-6, AGG-11 on ordered groups."""
+    """Ordered groups: the roles of each conversation in turn."""
     rows = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("turns"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("all"))
     return rows.select("conv_id", "turns", "last_turn", F.array_join("all.role", ">").alias("shape"))
 
@@ -173,6 +173,6 @@ def health_report(spark, sf):
 
 @query("select conv_id, min(turn) filter (where role = 'assistant') first_answer, max(length(text)) filter (where role = 'user') longest_question, count(*) filter (where role = 'user') questions from conversations group by conv_id")
 def conversation_rollup(spark, sf):
-    """AGG-7, AGG-10: conditional aggregates per group."""
+    """Conditional aggregates per group."""
     is_user = F.col("role") == "user"
     return table(spark, sf, "conversations").groupBy("conv_id").agg(F.min(F.when(F.col("role") == "assistant", F.col("turn"))).alias("first_answer"), F.max(F.when(is_user, F.char_length("text"))).alias("longest_question"), F.count_if(is_user).alias("questions"))

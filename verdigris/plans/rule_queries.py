@@ -16,7 +16,7 @@ from ..operators import index as X
 from ..operators.markdown import markdown_chunks as chunk_rows
 from ..operators.retrieval import budget_prefix, query_terms
 from ..runtime import stage, table
-from ..sources.store import sync_actions
+from ..sources.store import sync_actions, upsert_points
 from .retrieval_queries import _LANES, _TOP, WORDS, _lanes, _ranked, _with_source, index_of, questions
 
 QUERIES, SQL = {}, {}
@@ -444,3 +444,126 @@ def markdown_chunks(spark, sf):
     """CHK-5, CHK-7, CHK-8, CHK-10: chunks of the older Markdown chunker; tested on examples, and that they hold every word."""
     rows = chunk_rows(table(spark, sf, "documents"))
     return rows.select(F.col("id").alias("doc_id"), "chunk_index", F.length("text").alias("chars"), F.sha2("text", 256).alias("chunk_hash"))
+
+
+@query("select distinct d.source, d.lang from documents d where source is not null and lang is not null and not exists (select 1 from documents x join labels l on l.doc_id = x.doc_id where x.source = d.source and x.lang = d.lang)")
+def backfilled_pairs(spark, sf):
+    """SET-4: the distinct pairs that a ledger of labelled documents lacks."""
+    d = table(spark, sf, "documents").where("source is not null and lang is not null")
+    have = d.join(table(spark, sf, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("source", "lang").distinct()
+    return d.select("source", "lang").distinct().join(have, ["source", "lang"], "left_anti")
+
+
+@query("select vec_id from embeddings where vec_id not in (select doc_id from documents where doc_id is not null)")
+def orphaned_vectors(spark, sf):
+    """GEN-7: stored artefacts that no document refers to."""
+    return table(spark, sf, "embeddings").select("vec_id").join(table(spark, sf, "documents").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_anti")
+
+
+@query("select doc_id, case when doc_id in (select doc_id from labels) then 'current' else 'legacy' end generation, greatest(1, ceil(length(coalesce(text, '')) / 4.0))::bigint tokens, sha256(coalesce(text, '')) content_hash from documents where length(trim(coalesce(text, ''))) > 0")
+def sections_for_embedding(spark, sf):
+    """GEN-8: what is to be embedded, from the active generation and the legacy one."""
+    known = table(spark, sf, "labels").select("doc_id").distinct().withColumn("g", F.lit("current"))
+    text = F.coalesce("text", F.lit(""))
+    rows = table(spark, sf, "documents").where(F.length(F.trim(text)) > 0).join(known, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("g", F.lit("legacy")).alias("generation"), T.estimate_tokens(text).alias("tokens"), F.sha2(text, 256).alias("content_hash"))
+
+
+@query("select vec_id, case when vec_id % 10 = 0 and label <> 3 then label + 100 else label end label from embeddings union all select vec_id + 1000000000, label from embeddings where vec_id % 50 = 0")
+def vector_upsert(spark, sf):
+    """SNK-5, SNK-6: points inserted or replaced by id; a point of another owner (here the label 3) stays as it is."""
+    stored = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", (F.col("label") == 3).alias("foreign"))
+    new = stored.where("id % 10 = 0").select("id", (F.col("label") + 100).alias("label")).union(stored.where("id % 50 = 0").select(F.col("id") + 1_000_000_000, "label"))
+    return upsert_points(stored, new, "foreign").select(F.col("id").alias("vec_id"), "label")
+
+
+@query("select doc_id, source || '/' || lang path_prefix, sha256(lower(trim(split_part(coalesce(text, ''), '.', 1)))) title_hash, strlen(coalesce(text, '')) bytes from documents where source is not null and lang is not null")
+def vector_payloads(spark, sf):
+    """VEC-7: a point's payload: the path above it, its title's hash, its size."""
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, sf, "documents").where("source is not null and lang is not null").select("doc_id", F.concat_ws("/", "source", "lang").alias("path_prefix"), F.sha2(F.lower(F.trim(F.split_part(text, F.lit("."), F.lit(1)))), 256).alias("title_hash"), F.octet_length(text).cast("long").alias("bytes"))
+
+
+@query(f"""with {_TOP}, c as (select r.query_id, r.source, documents.lang, sha256(documents.text) h from r join documents using (doc_id) where "rank" <= 5)
+    select query_id, count(distinct source) unique_sources, round(1 - count(distinct h) / count(*), 6)::double duplicate_rate, round(count(*) filter (where lang <> 'en') / count(*), 6)::double other_locales from c group by query_id""")
+def redundancy_at_5(spark, sf):
+    """EVL-7: of the five best the sources, the share of repeated texts, and the share in other languages."""
+    rows = stage(_ranked(spark, sf, 5), "ranking")
+    docs = X.fetch(index_of(spark, sf), rows, "doc_id").select(F.col("doc_id").alias("id"), "source", "lang", F.sha2("text", 256).alias("h"))
+    per = rows.join(docs, "id").groupBy("query_id")
+    return per.agg(F.count_distinct("source").alias("unique_sources"), F.round(1 - F.count_distinct("h") / F.count("*"), 6).alias("duplicate_rate"), F.round(F.count_if(F.col("lang") != "en") / F.count("*"), 6).alias("other_locales"))
+
+
+@query(
+    f"""with {_LANES}, g as (select distinct doc_id from labels where quality = 1), k as (select * from (values (1), (3), (5), (20)) v(k)),
+    m as (select query_id, k, max((lane = 0 and "rank" <= k and l.doc_id in (select doc_id from g))::int) cand, max((lane = 1 and "rank" <= k and l.doc_id in (select doc_id from g))::int) base from l, k group by 1, 2)
+    select k, round(avg(cand), 6) candidate, round(avg(base), 6) baseline, avg(cand) < avg(base) regressed, count(*) filter (where cand < base) worse from m group by k"""
+)
+def recall_gates(spark, sf):
+    """EVL-9, EVL-10: hits within 1, 3, 5 and 20, compared with a baseline lane: is the mean lower, and for how many questions?"""
+    good = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("g")).distinct()
+    rows = None
+    for name, lane in _lanes(spark, sf).items():
+        part = lane.where("rank <= 20").select("query_id", "id", "rank", F.lit(name == "lexical").alias("new"))
+        rows = part if rows is None else rows.union(part)
+    rows = good.join(stage(rows, "lanes"), F.col("g") == F.col("id"), "right").withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 3, 5, 20)])))
+    hit = (F.col("g").isNotNull() & (F.col("rank") <= F.col("k"))).cast("int")
+    per = rows.groupBy("query_id", "k").agg(F.max(F.when(F.col("new"), hit).otherwise(0)).alias("cand"), F.max(F.when(~F.col("new"), hit).otherwise(0)).alias("base"))
+    return per.groupBy("k").agg(F.round(F.avg("cand"), 6).alias("candidate"), F.round(F.avg("base"), 6).alias("baseline"), (F.avg("cand") < F.avg("base")).alias("regressed"), F.count_if(F.col("cand") < F.col("base")).alias("worse"))
+
+
+@query(
+    r"""with p as (select * from (values (400, 50), (800, 100), (1200, 200)) v(size, overlap)), d as (select length(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) n from documents where text is not null)
+    select size, overlap, sum(case when n = 0 then 0 when n <= size then 1 else ceil((n - size) / (size - overlap)::double) + 1 end)::bigint windows, count(*) filter (where n > size) split_documents from p, d group by 1, 2"""
+)
+def window_grid(spark, sf):
+    """EVL-16: variants of the window size and overlap side by side, from one pass over the texts' lengths."""
+    n = F.length(T.stripped(F.regexp_replace("text", T.SPACES, " ")))
+    lengths = table(spark, sf, "documents").where("text is not null").select(n.alias("n")).groupBy("n").agg(F.count("*").alias("times"))
+    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("overlap")) for a, b in ((400, 50), (800, 100), (1200, 200))]))
+    rows = lengths.select("n", "times", grid.alias("g")).select("n", "times", "g.*")
+    windows = F.when(F.col("n") == 0, 0).when(F.col("n") <= F.col("size"), 1).otherwise(F.ceil((F.col("n") - F.col("size")) / (F.col("size") - F.col("overlap"))) + 1)
+    return rows.groupBy("size", "overlap").agg(F.sum(windows * F.col("times")).cast("long").alias("windows"), F.sum(F.when(F.col("n") > F.col("size"), F.col("times")).otherwise(0)).alias("split_documents"))
+
+
+@query(
+    """with c as (select sha256(text) h, count(*) copies, min(doc_id) first_id from documents where text is not null group by 1 having count(*) > 1), o as (select *, row_number() over (order by copies desc, first_id) n, count(*) over () total from c)
+    select n, first_id, copies, total, case when total > 10 then 10 end next_offset from o where n between 6 and 10"""
+)
+def report_page(spark, sf):
+    """IMP-4, PCK-6: one page of a report, five rows from the sixth on, with the total and where to go on. A page is taken by a top-k, the whole is only counted."""
+    rows = table(spark, sf, "documents").where("text is not null").groupBy(F.sha2("text", 256).alias("h")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+    rows = stage(rows, "report")
+    total = rows.count()
+    page = rows.orderBy(F.desc("copies"), "first_id").limit(10).withColumn("n", F.row_number().over(Window.orderBy(F.desc("copies"), "first_id"))).where("n > 5")
+    return page.select("n", "first_id", "copies", F.lit(total).cast("long").alias("total"), F.lit(10 if total > 10 else None).cast("int").alias("next_offset"))
+
+
+@query(
+    r"""with b as (select page_id, regexp_extract(coalesce(html, ''), '(?is)<(?:nav|ol|ul|div)[^>]*(?:aria-label=["'']breadcrumb["'']|class=["''][^"'']*breadcrumbs?[^"'']*["''])[^>]*>(.*?)</(?:nav|ol|ul|div)>', 1) s from pages)
+    select page_id, array_to_string(list_filter(list_transform(regexp_extract_all(s, '(?is)<(?:a|li|span)[^>]*>([^<]*)</', 1), lambda x: trim(x)), lambda x: x <> '' and x not in ('›', '>', '/', '»')), ' > ') section_path from b"""
+)
+def section_paths(spark, sf):
+    """STR-14: the breadcrumbs of a page."""
+    return table(spark, sf, "pages").select("page_id", F.array_join(T.breadcrumbs(F.coalesce("html", F.lit(""))), " > ").alias("section_path"))
+
+
+@query(
+    r"""with l as (select distinct page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) host, unnest(regexp_extract_all(html, '(?i)<a [^>]*href="(/[^"#?]+)"', 1)) href from pages),
+    t as (select distinct lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) host, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) path from pages),
+    h as (select distinct page_id, trim(regexp_replace(unnest(regexp_extract_all(html, '(?is)<h[1-3][^>]*>(.*?)</h[1-3]>', 1)), '<[^>]+>', '', 'g')) name from pages)
+    select 'page:' || page_id src, case when t.path is null then 'stub:' || l.host || href else 'path:' || l.host || href end dst, case when t.path is null then 'unresolved_import' else 'imports' end kind from l left join t on t.host = l.host and t.path = l.href
+    union all select 'page:' || page_id, 'symbol:' || page_id || ':' || name, 'contains' from h where name <> ''"""
+)
+def page_graph(spark, sf):
+    """GRF-1: pages contain headings, and import the pages that they link to; a target that is not there is a stub."""
+    p = table(spark, sf, "pages")
+    host, me = T.url_host(F.col("url")), F.concat(F.lit("page:"), "page_id")
+    links = p.select(me.alias("src"), host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a [^>]*href="(/[^"#?]+)"'), F.lit(1))).alias("href")).distinct()
+    there = p.select(host.alias("h"), T.url_path(F.col("url")).alias("path")).distinct()
+    links = links.join(there, (F.col("host") == F.col("h")) & (F.col("href") == F.col("path")), "left")
+    found = F.col("path").isNotNull()
+    edges = links.select("src", F.concat(F.when(found, "path:").otherwise("stub:"), "host", "href").alias("dst"), F.when(found, "imports").otherwise("unresolved_import").alias("kind"))
+    names = p.select("page_id", me.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1))).alias("name"))
+    names = names.select("page_id", "src", F.trim(F.regexp_replace("name", "<[^>]+>", "")).alias("name")).where("name <> ''").distinct()
+    return edges.union(names.select("src", F.concat(F.lit("symbol:"), "page_id", F.lit(":"), "name"), F.lit("contains")))

@@ -70,7 +70,7 @@ def link_resolution(spark, sf):
     select user_id, event_type, count(*) calls, count(*) filter (where before is null or ts - before >= interval 1 day) fresh, min(ts) first_ts, max(ts) last_ts from e group by user_id, event_type"""
 )
 def rate_gaps(spark, sf):
-    """STM-1: calls of a key, and those that a day or more separates from the one before."""
+    """Calls of a key, and those that a day or more separates from the one before."""
     w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id")
     rows = table(spark, sf, "events").select("user_id", "event_type", "ts", F.lag("ts").over(w).alias("before"))
     fresh = F.col("before").isNull() | (F.col("ts") >= F.col("before") + F.expr("interval 1 day"))
@@ -127,7 +127,7 @@ def path_taxonomy(spark, sf):
         when regexp_matches(lower(text), '\b(what|why|explain|define|meaning)\b') then 'reference' else 'lexical' end stage from conversations where role = 'user'"""
 )
 def question_intents(spark, sf):
-    """QRY-2, QRY-3, QRY-6: words of a question set its flags; the first flag in order names the stage that it is sent to."""
+    """Words of a question set its flags; the first flag in order names the stage that it is sent to."""
     t = F.lower("text")
     rule = {k: t.rlike(rf"\b({w})\b") for k, w in {"how_to": "how|setup|install|configure|create|build|start", "troubleshoot": "error|fail|failed|broken|exception|bug", "explain": "what|why|explain|define|meaning", "mutates": "add|change|remove|rename|fix|update|write"}.items()}
     stage = F.when(rule["troubleshoot"], "source").when(rule["how_to"], "guides").when(rule["explain"], "reference").otherwise("lexical")
@@ -166,7 +166,7 @@ def trust_partition(spark, sf):
     select r::int as "repeat", count(*) pairs, round(median(delta), 2) median_delta, round(avg(delta), 2) mean_delta, count(*) filter (where delta > 0) worse from p group by r"""
 )
 def paired_deltas(spark, sf):
-    """EVL-19, EVL-22: each task's cost against the same task's in the round before: both sides are aggregated on the join's key."""
+    """EVL-19 in part: each task's cost against the same task's in the round before: both sides are aggregated on the join's key."""
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("task"), F.year("o_orderdate").alias("r")).agg(F.sum("o_totalprice").alias("cost"))
     base = o.select("task", (F.col("r") + 1).alias("r"), F.col("cost").alias("base"))
     rows = o.join(base, ["task", "r"]).select("r", (F.col("cost") - F.col("base")).alias("delta"))
@@ -189,7 +189,7 @@ def footprint(spark, sf):
     select lang, source, n, round(recall, 6) recall, worst, recall >= overall - 0.05 passes from r, a"""
 )
 def group_gates(spark, sf):
-    """EVL-9, EVL-10: each group's mean and worst value against the whole with a tolerance; the whole is one row."""
+    """Each group's mean and worst value against the whole with a tolerance; the whole is one row."""
     labels = table(spark, sf, "labels").select("doc_id", "quality")
     overall = labels.agg(F.avg("quality").alias("overall"))
     rows = table(spark, sf, "documents").select("doc_id", "lang", "source").join(labels, "doc_id")
@@ -237,7 +237,7 @@ def manifest_coverage(spark, sf):
     select "name", eco, latest, versions, round(best, 2) best from a"""
 )
 def registry_latest(spark, sf):
-    """REG-1, REG-2, JN-9: names are normalised, then each name of an ecosystem resolves to its latest entry."""
+    """Names are normalised, then each name of an ecosystem resolves to its latest entry."""
     rows = table(spark, sf, "customer").select("c_custkey", T.library_name(F.col("c_name")).alias("name"), F.col("c_nationkey").alias("eco"), "c_acctbal")
     return rows.groupBy("name", "eco").agg(F.max("c_custkey").alias("latest"), F.count("*").alias("versions"), F.round(F.max("c_acctbal"), 2).alias("best"))
 
@@ -246,7 +246,7 @@ def registry_latest(spark, sf):
     """select source, doc_id, n_chars, lang from (select *, row_number() over (partition by source, lang order by n_chars desc, doc_id) n from documents) where n <= 3"""
 )
 def prune_keep_versions(spark, sf):
-    """REG-3, RNK-12: the three longest of each group stay."""
+    """The three longest of each group stay."""
     w = Window.partitionBy("source", "lang").orderBy(F.col("n_chars").desc(), "doc_id")
     return table(spark, sf, "documents").select("source", "doc_id", "n_chars", "lang", F.row_number().over(w).alias("n")).where("n <= 3").drop("n")
 
@@ -256,7 +256,7 @@ def prune_keep_versions(spark, sf):
       lower(array_to_string(regexp_extract_all(regexp_replace(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '[^A-Za-z0-9]+', ' ', 'g'), '[A-Za-z0-9]+'), ' ')) phrase from pages"""
 )
 def identifier_parts(spark, sf):
-    """STR-30, GRF-6: identifiers in paths, cut at case changes and signs."""
+    """STR-30 in part: identifiers in paths, cut at case changes and signs."""
     spaced = F.regexp_replace(F.regexp_replace(T.url_path(F.col("url")), r"([a-z0-9])([A-Z])", "$1 $2"), r"[^A-Za-z0-9]+", " ")
     parts = F.regexp_extract_all(spaced, F.lit("[A-Za-z0-9]+"), F.lit(0))
     return table(spark, sf, "pages").select("page_id", parts.alias("parts_raw"), F.lower(F.array_join(parts, " ")).alias("phrase"))
@@ -276,7 +276,7 @@ def page_first_wins(spark, sf):
     """with f as (select conv_id, turn, role, lead(role) over (partition by conv_id order by turn, role) nxt from conversations) select role, nxt next_role, count(*) times, count(distinct conv_id) conversations from f where nxt is not null group by 1, 2"""
 )
 def role_transitions(spark, sf):
-    """EVL-15, EVL-20: which turn follows which, and in how many conversations."""
+    """Which turn follows which, and in how many conversations."""
     w = Window.partitionBy("conv_id").orderBy("turn", "role")
     rows = table(spark, sf, "conversations").select("conv_id", "role", F.lead("role").over(w).alias("next_role")).where("next_role is not null")
     per = rows.groupBy("role", "next_role", "conv_id").agg(F.count("*").alias("n"))

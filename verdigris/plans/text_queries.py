@@ -128,7 +128,7 @@ def docs_scope(spark, sf):
 
 @query(f"with {_URL}, f as (select page_id, normal, host, len(string_split(np, '/')) depth, row_number() over (partition by normal order by page_id) c from n) select page_id, normal, row_number() over (partition by host order by depth, normal)::int as \"rank\" from f where c = 1")
 def frontier_rank(spark, sf):
-    """RNK-10: one page per normalised URL, each host's by depth."""
+    """RNK-10 in part: one page per normalised URL, each host's by depth."""
     u = F.col("url")
     rows = table(spark, sf, "pages").select("page_id", T.normalize_url(u).alias("normal"))
     rows = first_wins(rows, F.col("normal"), [F.col("page_id")])
@@ -169,7 +169,7 @@ def line_profile(spark, sf):
 
 @query("select conv_id, turn, sum((role = 'user')::int) over (partition by conv_id order by turn)::bigint section_id from conversations")
 def turn_sections(spark, sf):
-    """CHK-9: a section begins with each turn of a user."""
+    """A section begins with each turn of a user."""
     from pyspark.sql import Window
 
     run = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, 0)

@@ -41,3 +41,10 @@ def sync_actions(desired: DataFrame, ledger: DataFrame) -> DataFrame:
     d, e = desired.select("id", F.col("content_hash").alias("want")), ledger.select("id", F.col("content_hash").alias("have"))
     action = F.when(F.col("want").isNull(), "prune").when(F.col("want") == F.col("have"), "skip").otherwise("upsert")
     return d.join(e, "id", "full").select("id", action.alias("action"))
+
+
+def upsert_points(stored: DataFrame, new: DataFrame, foreign: str) -> DataFrame:
+    """stored and new points (id, label) -> all points: new ones replace those of the same id, but for points that the column foreign marks as another's."""
+    kept = stored.select(F.col("id").alias("i"), F.col("label").alias("old"), F.coalesce(F.col(foreign), F.lit(False)).alias("theirs"))
+    rows = kept.join(new, F.col("i") == F.col("id"), "full")
+    return rows.select(F.coalesce("i", "id").alias("id"), F.when(F.col("id").isNull() | F.coalesce("theirs", F.lit(False)), F.col("old")).otherwise(F.col("label")).alias("label"))
