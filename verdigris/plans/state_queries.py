@@ -202,7 +202,7 @@ def group_gates(spark, sf):
     from part left join (select l_partkey p, sum(l_quantity) qty, count(distinct l_orderkey) n from lineitem group by 1) q on p_partkey = q.p"""
 )
 def mention_impact(spark, sf):
-    """JN-10, IMP-2: every changed key with what mentions it; keys without a mention stay. Mentions are aggregated before the join."""
+    """JN-10 in part: every changed key with what mentions it; keys without a mention stay. Mentions are aggregated before the join."""
     m = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("q")).groupBy("l_partkey").agg(F.sum("q").alias("qty"), F.count("*").alias("mentions"))
     rows = table(spark, sf, "part").select("p_partkey").join(m, F.col("p_partkey") == F.col("l_partkey"), "left")
     action = F.when(F.col("l_partkey").isNull(), "unused").when(F.col("qty") < 600, "review").otherwise("must_update")
