@@ -12,6 +12,14 @@ def test_keep_unlike(spark):
     assert sorted((r.query_id, r.id) for r in got.collect()) == [(1, 10), (1, 12), (1, 13), (1, 14), (1, 15), (2, 10)]
 
 
+def test_guards_keep_like_candidates(spark):
+    """Another version or polarity, a new symbol, a new covered term: each keeps a candidate that is like a better one."""
+    sh = [f"s{i}" for i in range(20)]
+    rows = [(1, 1, "a", 1, sh, ["x"], ["S"], "neutral", "1", "p", "h"), (1, 2, "a", 2, sh, ["x"], ["S"], "neutral", "1", "q", "i"), (1, 3, "a", 3, sh, ["x", "y"], ["S"], "neutral", "1", "q", "j"), (1, 4, "a", 4, sh, ["x"], ["T"], "neutral", "1", "q", "k"), (1, 5, "a", 5, sh, ["x"], ["S"], "required", "1", "q", "l"), (1, 6, "a", 6, sh, ["x"], ["S"], "neutral", "2", "q", "m"), (1, 7, "b", 7, [], ["x", "z"], ["S"], "neutral", "1", "p", "h")]
+    got = keep_unlike(spark.createDataFrame(rows, "query_id int, id int, source string, rank int, sh array<string>, covers array<string>, symbols array<string>, polarity string, version string, parent string, text_hash string"))
+    assert sorted(r.id for r in got.collect()) == [1, 3, 4, 5, 6]
+
+
 def test_fill(spark):
     rng = random.Random(5)
     rows = [(q, i, rng.choice("abc"), i, rng.randint(0, 90), rng.randint(0, 1000), rng.sample("xyz", rng.randint(0, 3)), rng.sample([f"w{k}" for k in range(30)], rng.randint(0, 12))) for q in range(3) for i in range(15)]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -51,14 +51,32 @@ def marginal_relevance(candidates: DataFrame, weight: float = 0.7, per_source: i
 
 
 def keep_unlike(candidates: DataFrame, millis: int = 850) -> DataFrame:
-    """candidates (query_id, id, source, rank, sh array<string>, ...) without those that are like a kept, better one of their query and source.
+    """candidates (query_id, id, source, rank, sh array<string>, ...) without those that repeat a kept, better one of their query.
 
-    A group is one query's bounded candidates; they are folded in order of rank.
+    A candidate repeats one that has its text hash and parent, or its source and so many of 1000 runs of words. It never does so if it is of another version or polarity, or brings a
+    symbol or covers a requirement that the other does not (columns version, polarity, symbols, covers, parent, text_hash, where there are such). A group is one query's bounded candidates; they are folded in
+    order of rank.
     """
     columns = [c for c in candidates.columns if c != "query_id"]
+    has = lambda *names: all(n in columns for n in names)
+
+    def repeats(x: Column, k: Column) -> Column:
+        near = (k.source == x.source) & (F.size(F.array_intersect(k.sh, x.sh)) * 1000 >= millis * F.size(F.array_union(k.sh, x.sh))) & (F.size(x.sh) > 0)
+        if has("covers"):
+            near = near & (F.size(F.array_except(x.covers, k.covers)) == 0)
+        same = near
+        if has("parent", "text_hash"):
+            same = same | F.coalesce((x.parent == k.parent) & (x.text_hash == k.text_hash), F.lit(False))
+        if has("symbols"):
+            same = same & (F.size(F.array_except(x.symbols, k.symbols)) == 0)
+        if has("polarity"):
+            same = same & (x.polarity == k.polarity)
+        if has("version"):
+            same = same & ~F.coalesce((x.version != "") & (k.version != "") & (F.lower(x.version) != F.lower(k.version)), F.lit(False))
+        return same
+
     items = F.array_sort(F.collect_list(F.struct("rank", *[c for c in columns if c != "rank"])))
-    like = lambda x, k: (k.source == x.source) & (F.size(F.array_intersect(k.sh, x.sh)) * 1000 >= millis * F.size(F.array_union(k.sh, x.sh))) & (F.size(x.sh) > 0)
-    step = lambda kept, x: F.when(F.exists(kept, lambda k: like(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: repeats(x, k)), kept).otherwise(F.concat(kept, F.array(x)))
     grouped = candidates.groupBy("query_id").agg(items.alias("items"))
     kept = F.aggregate("items", F.filter("items", lambda x: F.lit(False)), step)
     return grouped.select("query_id", F.explode(kept).alias("x")).select("query_id", "x.*")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..engine import index_chunks, search
 from ..functions import text as T
+from ..functions.quality import polarity
 from ..operators import index as X
 from ..operators.children import child_rows
 from ..operators.evidence import fill, keep_unlike
@@ -74,7 +75,7 @@ def evidence_selection(spark, sf):
     asked = questions(spark).select("query_id", T.tokens(F.col("text")).alias("asked"))
     rows = _with_source(_ranked(spark, sf, 20), spark, sf).join(asked, "query_id")
     text = F.col("text")
-    rows = rows.select("query_id", "id", "source", "rank", T.estimate_utf8_tokens(text).alias("cost"), F.floor(F.least("score", F.lit(100.0)) * 10).cast("int").alias("relevance"), F.array_intersect(F.array_distinct("asked"), T.tokens(text)).alias("covers"), words(text).alias("terms"), T.shingles(text).alias("sh"))
+    rows = rows.select("query_id", "id", "source", "rank", T.estimate_utf8_tokens(text).alias("cost"), F.floor(F.least("score", F.lit(100.0)) * 10).cast("int").alias("relevance"), F.array_intersect(F.array_distinct("asked"), T.tokens(text)).alias("covers"), words(text).alias("terms"), T.shingles(text).alias("sh"), polarity(text).alias("polarity"))
     return fill(keep_unlike(rows))
 
 
