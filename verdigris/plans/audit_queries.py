@@ -90,10 +90,12 @@ def percentiles(spark, sf):
 
 @query("select user_id, count(*) doomed, max(ts) newest_doomed from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) n from events) where n > 5 group by user_id")
 def retention(spark, sf):
-    """GEN-5, JOB-3: all but the newest five of each user."""
+    """GEN-5, JOB-3: all but the newest five of each user. A user's rows are counted; only six a user are ordered, in each map task already."""
+    e = table(spark, sf, "events").select("user_id", "ts", "event_id")
     w = Window.partitionBy("user_id").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    rows = table(spark, sf, "events").select("user_id", "ts", F.row_number().over(w).alias("n")).where("n > 5")
-    return rows.groupBy("user_id").agg(F.count("*").alias("doomed"), F.max("ts").alias("newest_doomed"))
+    sixth = e.withColumn("n", F.row_number().over(w)).where("n <= 6").where("n = 6").select(F.col("user_id").alias("u"), F.col("ts").alias("newest_doomed"))
+    counts = e.groupBy("user_id").agg((F.count("*") - 5).alias("doomed"))
+    return counts.join(sixth, F.col("user_id").eqNullSafe(F.col("u"))).select("user_id", "doomed", "newest_doomed")
 
 
 @query("select count(*) filter (where quality = 1 and toxic = 0) tp, count(*) filter (where quality = 1 and toxic = 1) fp, count(*) filter (where quality = 0 and toxic = 0) fn, round(count(*) filter (where quality = 1 and toxic = 0) / count(*) filter (where quality = 1), 6) \"precision\", round(count(*) filter (where quality = 1 and toxic = 0) / count(*) filter (where toxic = 0), 6) recall from labels")

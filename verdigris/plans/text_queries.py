@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators.chunking import paragraph_chunks, section_rows
-from ..operators.retrieval import first_wins
+from ..operators.retrieval import first_wins, rank_by_range
 from ..runtime import table
 
 QUERIES, SQL = {}, {}
@@ -132,10 +132,8 @@ def frontier_rank(spark, sf):
     u = F.col("url")
     rows = table(spark, sf, "pages").select("page_id", T.normalize_url(u).alias("normal"))
     rows = first_wins(rows, F.col("normal"), [F.col("page_id")])
-    from pyspark.sql import Window
-
-    depth = F.size(F.split(T.url_path(F.col("normal")), "/"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(T.url_host(F.col("normal"))).orderBy(depth, "normal")))
+    rows = rows.withColumn("host", T.url_host(F.col("normal"))).withColumn("depth", F.size(F.split(T.url_path(F.col("normal")), "/")))
+    return rank_by_range(rows, "host", ["depth", "normal"]).drop("host", "depth")
 
 
 @query("select doc_id, array_to_string([f for f in [" + ", ".join(f"case when regexp_matches(text, '{p}') then '{k}' end" for k, p in T.RISKS.items()) + "] if f is not null], ',') flags from documents")
