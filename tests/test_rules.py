@@ -44,6 +44,23 @@ def test_stopwords(spark):
     assert each(spark, ["How do I configure the client", "how do I", "Укажи id и evidence токена", "show id"], A.without_stopwords) == ["configure client", "how do I", "токена", "show id"]
 
 
+INTENTS = {
+    "What changed in the last release?": "release_history", "Which file was added": "release_history", "how to use what was added": "how_to", "How do I call get_project_docs": "docs_mcp", "install an action-pack": "packs_mcp", "is the mcp server up": "mcp_disambiguation",
+    "how does indexing work": "ingestion_how_to", "the embedding table": "ingestion_internals", "project layout": "architecture", "why does not it start": "troubleshooting", "quickstart please": "how_to", "hello": "general", "": "general",
+}
+
+
+def test_intents(spark):
+    assert [x.name for x in each(spark, list(INTENTS), A.intent)] == list(INTENTS.values())
+    assert [x.code_symbols for x in each(spark, ["where is it defined in", "docs files"], A.intent)] == [True, False]
+    assert each(spark, ["createIssue in user_list", ""], A.with_synonyms) == ["create issue in user list open add new ticket bug search find", ""]
+    pairs = [("set up token", "how to set up it"), ("set up token", "a setuptoken b"), ("token", "tokens"), ("token", "other"), ("set token", "set the token")]
+    got = spark.createDataFrame(pairs, "a string, b string").select(A.fuzzy_match(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in got] == [True, True, True, False, False]
+    got = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], ["a"])], "a array<string>, b array<string>").select(A.overlap_ratio(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in got] == [0.5, 0.0]
+
+
 CODE = "```py\nprint(1)\n```\n"
 
 

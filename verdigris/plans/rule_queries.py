@@ -14,10 +14,10 @@ from ..operators import rules as R
 from ..operators.fusion import reciprocal_rank_fusion
 from ..operators import index as X
 from ..operators.markdown import markdown_chunks as chunk_rows
-from ..operators.retrieval import budget_prefix, query_terms
+from ..operators.retrieval import budget_prefix, query_terms, top_k
 from ..runtime import stage, table
 from ..sources.store import sync_actions, upsert_points
-from .retrieval_queries import _LANES, _TOP, WORDS, _lanes, _ranked, _with_source, index_of, questions
+from .retrieval_queries import _LANES, _Q, _TOP, QUESTIONS, WORDS, _lanes, _ranked, _with_source, index_of, questions
 
 QUERIES, SQL = {}, {}
 
@@ -567,3 +567,28 @@ def page_graph(spark, sf):
     names = p.select("page_id", me.alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<h[1-3][^>]*>(.*?)</h[1-3]>"), F.lit(1))).alias("name"))
     names = names.select("page_id", "src", F.trim(F.regexp_replace("name", "<[^>]+>", "")).alias("name")).where("name <> ''").distinct()
     return edges.union(names.select("src", F.concat(F.lit("symbol:"), "page_id", F.lit(":"), "name"), F.lit("contains")))
+
+
+def _any(column: str, phrases) -> str:
+    return f"regexp_matches({column}, '" + "|".join(f"(?:{p})" for p in phrases).replace("doesn't", "doesn''t") + "')"
+
+
+@query(
+    f"""with r as (select conv_id, turn, replace(lower(coalesce(text, '')), '_', ' ') raw, replace(replace(lower(coalesce(text, '')), '_', ' '), '-', ' ') t from conversations where role = 'user'),
+    f as (select *, {_any("t", A.DOCS_TOOLS)} docs, {_any("t", A.PACK_TOOLS)} or {_any("raw", A.PACK_TOOLS)} or (contains(t, 'mcp') and regexp_matches(t, '\\bpacks\\b')) packs, {_any("t", A.HOW_TO)} how, {_any("t", A.ARCHITECTURE)} build, {_any("t", A.INGESTION)} ingest from r)
+    select conv_id, turn, case when {_any("t", A.EXPLICIT_RELEASE)} or ({_any("t", A.RELEASE)} and not how and not build) then 'release_history' when docs and not packs then 'docs_mcp' when packs and not docs then 'packs_mcp' when contains(t, 'mcp') or (docs and packs) then 'mcp_disambiguation'
+      when ingest and how then 'ingestion_how_to' when ingest then 'ingestion_internals' when build then 'architecture' when {_any("t", A.TROUBLE)} then 'troubleshooting' when how then 'how_to' else 'general' end intent, {_any("t", A.CODE_SYMBOLS)} code_symbols from f"""
+)
+def project_intents(spark, sf):
+    """QRY-2: what each turn is after, by the first rule that holds; also tested on examples."""
+    return _turns(spark, sf).select("conv_id", "turn", A.intent(F.col("text")).alias("x")).select("conv_id", "turn", F.col("x.name").alias("intent"), "x.code_symbols")
+
+
+_EXPANDED = [(i, t + "".join(f" {w}" for word in t.split() for w in A.SYNONYMS.get(word, ()))) for i, t in QUESTIONS]
+
+
+@query(_TOP.replace(_Q, "q as (select * from (values " + ", ".join(f"({i}, '{t}')" for i, t in _EXPANDED) + ") v(query_id, text))").join(["with ", ' select query_id, doc_id, round(score, 6) score, "rank" from r where "rank" <= 20']))
+def lex_synonyms(spark, sf):
+    """LEX-8: BM25 of the questions with their words' synonyms."""
+    asked = questions(spark).select("query_id", A.with_synonyms(F.col("text")).alias("text"))
+    return top_k(X.bm25(index_of(spark, sf), asked), 20).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
