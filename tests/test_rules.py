@@ -270,3 +270,11 @@ def test_paragraphs_are_packed():
     got = pack_paragraphs("aaaa bbbb\n\ncccc\n\ndddd eeee ffff", 16, 4)
     assert got == ["aaaa bbbb\n\ncccc", "cccc\n\ndddd eeee ffff"]
     assert pack_paragraphs("", 16, 4) == [] and pack_paragraphs("  \n\n ", 16, 4) == []
+
+
+def test_sections_by_strategy(spark):
+    from verdigris.operators.chunking import sections_by_strategy
+
+    docs = spark.createDataFrame([(1, "intro\n# A\nx\n## B\ny", "heading"), (2, "p\n\nq", "paragraph"), (3, "# whole", None), (4, " ", None), (5, None, "heading")], "doc_id int, text string, strategy string")
+    got = sorted((r.id, r.section_index, r.title, r.text.strip()) for r in sections_by_strategy(docs).collect())
+    assert got == [(1, 0, "Document", "intro"), (1, 1, "A", "# A\nx"), (1, 2, "B", "## B\ny"), (2, 0, "Part 1", "p\n\nq"), (3, 0, "Document", "# whole")]

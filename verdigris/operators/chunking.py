@@ -8,7 +8,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .markdown import windows
@@ -92,3 +92,15 @@ def section_rows(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, parent_id string, heading_path array<string>, level int, occurrence int, char_start long, char_end long, byte_start long, byte_end long, display_text string")
+
+
+def sections_by_strategy(docs: DataFrame, id_col="doc_id", text_col="text", strategy_col="strategy") -> DataFrame:
+    """id, section_index, title, text: a document's heading sections, packed paragraphs, or the whole of it where no strategy is named. Blank sections are none."""
+    strategy = F.coalesce(F.col(strategy_col), F.lit("single"))
+    heading, paragraph = docs.where(strategy == "heading"), docs.where(strategy == "paragraph")
+    parts = section_rows(heading, id_col, text_col).where(F.trim("display_text") != "")
+    order = Window.partitionBy("id").orderBy("char_start")
+    parts = parts.select("id", (F.row_number().over(order) - 1).alias("section_index"), F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("Document")).alias("title"), F.col("display_text").alias("text"))
+    packed = paragraph_chunks(paragraph, id_col, text_col).select("id", F.col("chunk_index").alias("section_index"), F.concat(F.lit("Part "), (F.col("chunk_index") + 1).cast("string")).alias("title"), "text")
+    whole = docs.where(~strategy.isin("heading", "paragraph") & (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != ""))
+    return parts.unionByName(packed).unionByName(whole.select(F.col(id_col).alias("id"), F.lit(0).alias("section_index"), F.lit("Document").alias("title"), F.col(text_col).alias("text")))

@@ -11,7 +11,8 @@ from ..functions import questions as A
 from ..functions import text as T
 from ..operators import registry as G
 from ..operators import rules as R
-from ..operators.fusion import reciprocal_rank_fusion
+from ..operators.chunking import sections_by_strategy
+from ..operators.fusion import best_groups, reciprocal_rank_fusion
 from ..operators import index as X
 from ..operators.markdown import markdown_chunks as chunk_rows
 from ..operators.retrieval import budget_prefix, query_terms, top_k
@@ -592,3 +593,23 @@ def lex_synonyms(spark, sf):
     """LEX-8: BM25 of the questions with their words' synonyms."""
     asked = questions(spark).select("query_id", A.with_synonyms(F.col("text")).alias("text"))
     return top_k(X.bm25(index_of(spark, sf), asked), 20).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""with {_TOP}, g as (select query_id, source, sum(1 / (60.0 + "rank")) g from r where "rank" <= 40 group by 1, 2), b as (select *, row_number() over (partition by query_id order by round(g, 12) desc, source) n from g),
+    w as (select s.query_id, s.doc_id, s.source, score, row_number() over (partition by s.query_id order by round(score, 9) desc, s.doc_id)::int place from s join b on b.query_id = s.query_id and b.source = s.source and n <= 5) select query_id, doc_id, source, round(score, 6) score, place from w where place <= 20"""
+)
+def hierarchical_retrieval(spark, sf):
+    """FUS-5, FUS-6: the best sources of a first ranking, then a second retrieval among all documents of those."""
+    first = _with_source(_ranked(spark, sf), spark, sf).select("query_id", "id", "rank", "source")
+    best = stage(best_groups(first, "source"), "best_sources").select("query_id", "source")
+    own = index_of(spark, sf).table("store").select(F.col("doc_id").alias("id"), "source")
+    rows = X.bm25(index_of(spark, sf), questions(spark)).join(own, "id").join(F.broadcast(best), ["query_id", "source"])  # five sources a question
+    return top_k(rows, 20).select("query_id", F.col("id").alias("doc_id"), "source", F.round("score", 6).alias("score"), F.col("rank").alias("place"))
+
+
+@query()
+def strategy_sections(spark, sf):
+    """CHK-10: sections by heading, by paragraph or as one, as each document asks; tested on examples."""
+    d = table(spark, sf, "documents").select("doc_id", "text", F.when(F.col("doc_id") % 3 == 0, "heading").when(F.col("doc_id") % 3 == 1, "paragraph").alias("strategy"))
+    return sections_by_strategy(d).select(F.col("id").alias("doc_id"), "section_index", "title", F.length("text").alias("chars"))
