@@ -63,12 +63,14 @@ _workers: dict[str, "_Tokenizer"] = {}
 
 
 class _Memory(dict):
-    """Values by key, made when first asked for; emptied when full."""
+    """Values by key, made when first asked for; emptied when full. Long keys are not kept."""
 
     def __init__(self, make, most: int):
         self.make, self.most = make, most
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
@@ -128,7 +130,7 @@ class _Tokenizer:
         strings = pc.ascii_split_whitespace(texts)
         bounds = strings.offsets.to_numpy() - strings.offsets[0].as_py()
         coded = strings.flatten().dictionary_encode()
-        codes, pieces = coded.indices.to_numpy(), [self.known[s] if len(s) <= LONGEST else self._part(s) for s in coded.dictionary.to_pylist()]
+        codes, pieces = coded.indices.to_numpy(), list(map(self.known.__getitem__, coded.dictionary.to_pylist()))
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
         first, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(pieces), "<u4")
         lengths = sizes[codes]
