@@ -1,8 +1,10 @@
 """Documents whose sets of word shingles are alike, for the near-duplicate stage: links that connect what a pair-by-pair check would.
 
 Each text has `BANDS` keys, each made of its `ROWS` least shingle hashes under as many hash functions: texts of similarity s share a
-key with probability 1 - (1 - s^ROWS)^BANDS, 0.99 at 0.8. Texts that share a key are compared exactly, as sets, in blocks of `BLOCK` texts: a bucket of any
-size is dealt to tasks by pairs of its blocks, each of which returns a spanning forest of its links, not its pairs.
+key with probability 1 - (1 - s^ROWS)^BANDS, 0.99 at 0.8. Texts that share a key are compared exactly, as sets, in blocks of `BLOCK` texts: a bucket is
+dealt to tasks by pairs of its blocks, each of which returns a spanning forest of its links, not its pairs. In a bucket of more than one block
+every text is first compared with one leader. Those alike to it are linked by it and need not meet each other; only the others meet all. So a group of near copies of any
+size costs as much as its texts, times the blocks of those unlike its leader, and loses no link.
 """
 
 from __future__ import annotations
@@ -107,6 +109,18 @@ def _forests(similarity: float):
     return run
 
 
+def _with_leader(similarity: float):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            alike = []
+            for s, leader in zip(frame["s"], frame.pop("leader_s")):
+                a, b = np.frombuffer(s, "<u4"), np.frombuffer(leader, "<u4")
+                alike.append(len(np.intersect1d(a, b, assume_unique=True)) * (1 + similarity) >= similarity * (len(a) + len(b)) - 1e-6)
+            yield frame.assign(alike=alike)
+
+    return run
+
+
 def links(docs: DataFrame, rows: DataFrame, text_col: str, size: int, seed: int, similarity: float) -> DataFrame:
     """rows (fp, h, keys), staged -> links (a, b) between the fingerprints of alike texts."""
     texts = rows.where(F.size("keys") > 0).groupBy("h").agg(F.min("fp").alias("fp"), F.min("keys").alias("keys"))
@@ -116,9 +130,19 @@ def links(docs: DataFrame, rows: DataFrame, text_col: str, size: int, seed: int,
     wanted = stage(members.select(F.col("h").alias("w")).distinct(), "similar_wanted")
     own = small_join(docs.select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text")), wanted, F.col("h") == F.col("w"), "left_semi")
     sets = own.mapInArrow(lean(_sets(size, seed)), "h long, s binary").groupBy("h").agg(F.min("s").alias("s")).withColumnRenamed("h", "w")
-    block = F.pmod(F.xxhash64("h", "band"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
-    dealt = members.withColumn("block", block).select("band", "key", "h", "fp", F.explode(pairs).alias("p")).select("band", "key", "p.*", "h", "fp")
-    dealt = dealt.join(stage(sets, "similar_sets"), F.col("h") == F.col("w")).select("band", "key", "i", "j", "fp", "s")
+    rows_ = members.join(stage(sets, "similar_sets"), F.col("h") == F.col("w")).drop("w")
+    one = rows_.where("blocks = 1").select("band", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", "s")
+    hot = rows_.where("blocks > 1")
+    leaders = hot.groupBy(F.col("band").alias("b"), F.col("key").alias("k")).agg(F.min(F.struct("h", "fp", "s")).alias("leader"))
+    led = hot.join(leaders, (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))).select("band", "key", "h", "fp", "s", F.col("leader.fp").alias("leader_fp"), F.col("leader.s").alias("leader_s"))
+    led = stage(led.mapInPandas(_with_leader(similarity), "band int, key long, h long, fp long, s binary, leader_fp long, alike boolean"), "similar_led")
+    sizes = led.groupBy(F.col("band").alias("b"), F.col("key").alias("k")).agg(F.ceil(F.count_if(~F.col("alike")) / BLOCK).cast("int").alias("apart"), F.ceil(F.count_if("alike") / BLOCK).cast("int").alias("linked"))
+    led_ = led.join(sizes, (F.col("band") == F.col("b")) & (F.col("key") == F.col("k"))).where("apart > 0")
+    at = F.when(F.col("alike"), F.col("apart") + F.pmod(F.xxhash64("h", "band"), F.greatest("linked", F.lit(1)))).otherwise(F.pmod(F.xxhash64("h", "band"), F.col("apart"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("alike"), F.col("apart")).otherwise(F.col("apart") + F.col("linked")) - 1)
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, F.col("at")).alias("i"), F.greatest(x, F.col("at")).alias("j")))
+    several = led_.withColumn("at", at).select("band", "key", F.explode(pairs).alias("p"), "fp", "s").select("band", "key", "p.*", "fp", "s")
+    dealt = one.union(several)
     parted = dealt.repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return parted.mapInPandas(_forests(similarity), "a long, b long")
+    by_leader = led.where("alike and fp <> leader_fp").select(F.col("leader_fp").alias("a"), F.col("fp").alias("b"))
+    return parted.mapInPandas(_forests(similarity), "a long, b long").union(by_leader)
