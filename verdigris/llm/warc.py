@@ -149,7 +149,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     page = F.nullif(F.regexp_extract(F.col("metadata.block").cast("string"), r"page-id: (\S+)", 1), F.lit("none")).cast("long")
-    got = captures(read_warc(spark, path, blocks=False)).select("capture", page.alias("page_id"), "response.payload_bytes", F.coalesce("response.actual_digest", "response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("other"))
+    records = stage(read_warc(spark, path, blocks=False), "warc_records")  # archives are parsed once, their slim records joined
+    got = captures(records).select("capture", page.alias("page_id"), "response.payload_bytes", F.coalesce("response.actual_digest", "response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("other"))
     got = stage(got, "warc_captures")
     named = got.where("other is null").select(F.col("capture").alias("c"), F.col("page_id").alias("refers_to"))
     named = stage(named.join(got.select("other").distinct(), F.col("c") == F.col("other"), "left_semi"), "warc_stored")
