@@ -278,3 +278,83 @@ def test_sections_by_strategy(spark):
     docs = spark.createDataFrame([(1, "intro\n# A\nx\n## B\ny", "heading"), (2, "p\n\nq", "paragraph"), (3, "# whole", None), (4, " ", None), (5, None, "heading")], "doc_id int, text string, strategy string")
     got = sorted((r.id, r.section_index, r.title, r.text.strip()) for r in sections_by_strategy(docs).collect())
     assert got == [(1, 0, "Document", "intro"), (1, 1, "A", "# A\nx"), (1, 2, "B", "## B\ny"), (2, 0, "Part 1", "p\n\nq"), (3, 0, "Document", "# whole")]
+
+
+def test_registry_queries_against_loops(spark):
+    """Every record is looked at for every question, step by step."""
+    name = lambda x: re.sub(r"^-+|-+$", "", re.sub(r"[^a-z0-9_]+", "-", (x or "").lower().strip()))
+    key = lambda x: re.sub("[-_]+", "", name(x))
+    records = rule_queries._registry(spark, SF).collect()
+    asked = [r for r in records if r.k % 7 == 0]
+    want = {}
+    for q in asked:
+        lib = q.aliases[0] if q.k % 5 == 0 else q.legacy_ids[0] if q.k % 5 == 1 else q.name.replace(" ", "") if q.k % 5 == 2 else q.name
+        system, version = q.ecosystem if q.k % 3 == 0 else None, q.version if q.k % 4 == 0 else None
+        tail = f"@{version}" if version else ""
+        canonical = f"{name(system)}:{name(lib)}{tail}:api" if name(system) else name(lib) + tail
+        steps = [lambda r: r.library_id == lib, lambda r: r.library_id == canonical, lambda r: r.library_id == name(lib) + tail]
+        if version:
+            steps += [lambda r: r.normalized_name == name(lib) and r.version == version and (not system or r.ecosystem == system), lambda r: key(r.normalized_name) == key(lib) and r.version == version]
+        else:
+            steps += [lambda r: r.normalized_name == name(lib) and r.version is None and (not system or r.ecosystem == system), lambda r: r.normalized_name == name(lib) and r.version == "latest" and r.ecosystem, lambda r: r.normalized_name == name(lib) and r.version == "latest"]
+            steps += [lambda r: r.version is None and key(r.normalized_name) == key(lib) or key(lib) in map(key, r.aliases) or lib in r.legacy_ids]
+        for step in steps:
+            met = [r.library_id for r in records if step(r)]
+            if met:
+                want[q.k] = min(met)
+                break
+    assert {r.ask: r.library_id for r in rule_queries.registry_resolution(spark, SF).collect()} == want
+    got = {r.ask: (r.records, r.first) for r in rule_queries.registry_candidates(spark, SF).collect()}
+    for n in {r.normalized_name for r in records}:
+        met = [r.library_id for r in records if r.version == "latest" and (key(r.normalized_name) == key(n) or key(n) in map(key, r.aliases) or n in r.legacy_ids or r.library_id == n)]
+        assert got.get(n) == ((len(met), min(met)) if met else None)
+
+
+def test_page_queries_against_loops(spark):
+    pages = sorted(spark.read.parquet(f"{SF}/pages.parquet").collect(), key=lambda r: r.page_id)
+    seen, learnt = {}, {}
+    for r in pages:
+        u = urlsplit(r.url)
+        base = f"{u.scheme}://{'.'.join(u.netloc.lower().split('.')[-2:])}"
+        found = re.match(r"/(fr|de|es)/", u.path)
+        if found:
+            pattern = (f"{base}/{found[1]}", f"{base}/en")
+            seen[pattern] = seen.get(pattern, 0) + 1
+            if seen[pattern] == 3:
+                learnt[pattern] = r.page_id
+    assert {(r.old, r.new): r.learnt_at for r in rule_queries.redirect_patterns(spark, SF).collect()} == learnt
+    order = sorted(learnt, key=learnt.get)
+    for r in rule_queries.redirect_predictions(spark, SF).collect():
+        assert r.predicted == next((new + r.url[len(old) :] for old, new in order if r.url.startswith(old)), None)
+    labels = {"document_title": "Document Title", "canonical_location": "Location", "library": "Library", "source_class": "Source Class", "symbol_aliases": "Symbol Aliases"}
+    text = {r.page_id: r.x for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", rule_queries.T.main_content(F.coalesce("html", F.lit(""))).alias("x")).collect()}
+    got = {r.page_id: r for r in rule_queries.context_prefixes(spark, SF).collect()}
+    for r in pages:
+        aliases, keys, used = [], set(), 0
+        for p in C.SYMBOLS:
+            for m in re.finditer(p.replace("(?U)", ""), text[r.page_id]):
+                a = m[0][:120]
+                if len(aliases) < 16 and not re.fullmatch("[A-Za-z][a-z]{2,}", a) and a.lower() not in keys and used + len(a.encode()) <= 512:
+                    aliases.append(a)
+                    keys.add(a.lower())
+                    used += len(a.encode())
+        u = urlsplit(r.url)
+        title = re.search(r"(?is)<title[^>]*>(.*?)</title>", r.html or "")
+        fields = {"document_title": title[1] if title else "", "canonical_location": f"{u.scheme}://{u.hostname}/" + posixpath.normpath(u.path or "/").lstrip("/"), "library": u.netloc.lower(), "source_class": "page", "symbol_aliases": ", ".join(aliases)}
+        lines = []
+        for n, v in fields.items():
+            line = f"{labels[n]}: {' '.join(v.split())[:480]}"
+            joined = "\n".join([*lines, line])
+            if v.split() and len(joined.encode()) <= 1024 and max(1, -(-len(joined.encode()) // 4)) <= 192:
+                lines.append(line)
+        assert got[r.page_id].prefix == "\n".join(lines)
+
+
+def test_clean_sections_against_a_loop(spark):
+    import hashlib
+
+    got = {r.doc_id: r.clean_hash for r in rule_queries.clean_sections(spark, SF).collect()}
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        t = re.sub("[\U0001f300-\U0001faff\U00002700-\U000027bf]", "", re.sub(r"\s*\[¶\]", "", r.text or ""))
+        kept = [x.rstrip() for x in t.splitlines() if x.strip().lower().strip(":") not in Q.UI_LINES and not x.strip().lower().startswith(("translated by ", "translation missing"))]
+        assert got[r.doc_id] == hashlib.sha256("\n".join(kept).strip().encode()).hexdigest()
