@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. No SQL: model scores and hash ranks are not in it.
+
+Defined cases, beside those of the operators: documents with null texts score the model's leak, form one group with blank ones, and hold no
+benchmark window; null or shared ids are kept apart by text; an empty table gives an empty result at each stage; columns of any name pass through.
 """
 
 from __future__ import annotations
