@@ -1,24 +1,25 @@
 """HTML extraction by layout-aware rendering.
 
-A tree builder with implied end tags takes the tokens of the standard library's HTML parser; what is not displayed
+A tokenizer that reads each character once, as a browser's does, feeds a tree builder with implied end tags; what is not displayed
 (scripts, styles, templates, hidden elements, closed details) makes no text. The renderer emits all that is visible:
 blocks apart from each other, paragraphs by an empty line, lists with markers and indents, tables with their
 cells aligned in columns (a cell of several rows stands in its first), preformatted text as it stands. Text and elements that stand in a table but in no cell or caption come before
 the table. Of a drop-down the chosen option is text, of a list box every option; of svg its text elements; a text area's
-lines stand as they are; an object gives its fallback.
+lines stand as they are; an object gives its fallback. What is text by its element (text area, title, xmp, plaintext, scripts, styles) holds no tags.
 
 Hidden visibility is inherited and may be undone within. Not displayed by a browser that runs scripts and plays media, so without text: head, script, style, template, noscript, title;
-the fallback of iframe, audio, video and canvas; datalist; annotations of math; definitions and descriptions in svg.
+the fallback of iframe, audio, video, canvas and ruby; noframes and noembed; datalist; annotations of math; definitions and descriptions in svg.
 
-Defined cases: null and empty pages give empty text; broken markup never fails, unclosed elements end with the page;
-elements nested deeper than `DEEPEST` are laid out as if they stood at that depth; repeated rows render alike.
+Defined cases: null and empty pages give empty text; broken markup never fails and takes time in proportion to it; unclosed elements end with the page, an unclosed comment
+or tag hides what follows, as in a browser; a table whose spans cover more than `COVERED` times its cells is laid out without row spans, and no cell makes its column
+wider than `WIDEST`; elements nested deeper than `DEEPEST` are laid out as if they stood at that depth; repeated rows render alike.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +29,11 @@ from .common import lean, table
 
 #: HTML's void elements, elements that are not displayed, blocks, and blocks with a margin.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("head script style template noscript title meta link base iframe audio video canvas datalist annotation annotation-xml".split())
-BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu fieldset".split())
+UNSEEN = frozenset("head script style template noscript noframes noembed title meta link base iframe audio video canvas datalist rp annotation annotation-xml".split())
+BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp caption".split())
+SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 listing ol p plaintext pre table ul xmp menu fieldset".split())
 #: Start tags that end an open p, and for each start tag the open elements that it ends, up to a boundary.
-ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
+ENDS_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr listing main menu nav ol p plaintext pre search section summary table ul xmp".split())
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"})} | {
     "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     **{t: ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
@@ -52,11 +53,41 @@ ENDS_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed
 #: Elements that show something of their own, besides text.
 GHOSTLESS = frozenset("img input hr select textarea svg".split())
 DEEPEST = 200
+#: Elements whose content is text up to their end tag, without tags; in the second kind character references count.
+RAW, ESCAPABLE = frozenset("script style xmp iframe noembed noframes noscript plaintext".split()), frozenset("textarea title".split())
+_BLANK = r"[ \t\n\f\r]"
+_NAME = re.compile(r"[a-zA-Z][^ \t\n\f\r/>]*+")
+_ATTRIBUTE = re.compile(rf"(?:{_BLANK}|/)*+(?:(=?[^ \t\n\f\r/>=]*+)(?:{_BLANK}*+=(?!>){_BLANK}*+(?:\"([^\"]*+)(\"|\Z)|'([^']*+)('|\Z)|([^ \t\n\f\r>\"'][^ \t\n\f\r>]*+)?))?+)?+")
 _SPACE = re.compile(r"[ \t\n\f\r]+")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z]+)", re.I)
 #: Greatest spans of cells that count.
 COLUMNS, ROWS = 100, 1000
+#: Covered columns for each cell of a table up to which row spans count; width up to which a cell counts for its column.
+COVERED, WIDEST = 16, 160
+
+
+def _attributes(html: str, at: int) -> tuple[list[tuple[str, str]], bool, int]:
+    """A tag's attributes from behind its name, whether it ends itself, and where the page goes on: beyond its end if the tag has none."""
+    found, n = [], len(html)
+    while at < n and html[at] != ">":
+        m = _ATTRIBUTE.match(html, at)
+        if m[1]:
+            value = m[2] if m[2] is not None else m[4] if m[4] is not None else m[6] or ""
+            found.append((m[1].lower(), unescape(value) if "&" in value else value))
+        at = max(m.end(), at + 1) if m.end() == at else m.end()
+    return found, at < n and html[at - 1] == "/", at + 1
+
+
+def _after_comment(html: str, at: int) -> int:
+    """Behind a comment, a declaration or whatever else begins with <!, <? or </ and is no tag."""
+    if html.startswith("<!--", at):
+        if html.startswith(("<!-->", "<!--->"), at):
+            return html.index(">", at) + 1
+        ends = [(k, len(mark)) for mark in ("-->", "--!>") if (k := html.find(mark, at + 4)) >= 0]
+        return sum(min(ends)) if ends else len(html)
+    end = html.find(">", at)
+    return end + 1 if end >= 0 else len(html)
 
 
 class Node:
@@ -66,14 +97,63 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
-class _Builder(HTMLParser):
-    CDATA_CONTENT_ELEMENTS = ("script", "style")
-
+class _Builder:
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open = [self.root]
-        self.past_head = False
+        self.past_head = self.drawn = False
+
+    def feed(self, html: str) -> None:
+        """Reads a page from its beginning to its end, each character once."""
+        at, n, text = 0, len(html), []
+
+        def told() -> None:
+            if text:
+                data = "".join(text)
+                text.clear()
+                self.handle_data(unescape(data) if "&" in data else data)
+
+        while at < n:
+            open_ = html.find("<", at)
+            if open_ < 0:
+                text.append(html[at:])
+                break
+            text.append(html[at:open_])
+            sign = html[open_ + 1 : open_ + 2]
+            name = _NAME.match(html, open_ + 1 + (sign == "/"))
+            if name:
+                told()
+                attrs, closed, at = _attributes(html, name.end())
+                if at > n:  # the page ends within the tag
+                    return
+                tag = name[0].lower()
+                if sign == "/":
+                    self.handle_endtag(tag)
+                    continue
+                foreign = self._foreign()
+                (self.handle_startendtag if closed else self.handle_starttag)(tag, attrs)
+                if tag in RAW | ESCAPABLE and not foreign and self.open[-1].tag == tag:
+                    at = self._raw(tag, html, at)
+            elif sign == "!" or sign == "?" or (sign == "/" and open_ + 2 < n):
+                if html.startswith("<![CDATA[", open_) and self._foreign():
+                    end = html.find("]]>", open_)
+                    text.append(html[open_ + 9 : end if end >= 0 else n].replace("&", "&amp;"))
+                    at = end + 3 if end >= 0 else n
+                    continue
+                at = _after_comment(html, open_)
+            else:
+                text.append("<")
+                at = open_ + 1
+        told()
+
+    def _raw(self, tag: str, html: str, at: int) -> int:
+        """Takes the text of an element that holds no tags, and ends it; where the page goes on."""
+        end = re.compile(rf"</{tag}(?=[ \t\n\f\r/>])", re.I).search(html, at) if tag != "plaintext" else None
+        data = html[at : end.start() if end else len(html)]
+        if data:
+            self.open[-1].children.append(unescape(data) if tag in ESCAPABLE else data)
+        self.open.pop()
+        return _attributes(html, end.end())[2] if end else len(html)
 
     def _close(self, tags, walls) -> None:
         """Ends the innermost open element of the tags, if it is not beyond a wall."""
@@ -92,7 +172,7 @@ class _Builder(HTMLParser):
 
     def _foreign(self) -> int:
         """Where the svg or math is in whose own content the parser stands, else 0."""
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self.drawn else ():
             if self.open[k].tag in ("svg", "math"):
                 return k
             if self.open[k].tag in HTML_IN:
@@ -137,7 +217,8 @@ class _Builder(HTMLParser):
                     break
         elif tag == "table" and self.open[-1].tag in TABLE:
             self._close({"table"}, ())
-        node = Node(tag, {k: v or "" for k, v in attrs})
+        node = Node(tag, dict(reversed(attrs)))  # of equal names the first counts
+        self.drawn |= tag in ("svg", "math")
         form = tag == "form" and self.open[-1].tag in TABLE  # is empty there
         self._place(node, tag not in IN_TABLE and not form)
         if tag not in VOID and not form and len(self.open) < DEEPEST:
@@ -169,7 +250,6 @@ class _Builder(HTMLParser):
 def build(html: str) -> Node:
     b = _Builder()
     b.feed(html)
-    b.close()
     return b.root
 
 
@@ -288,18 +368,22 @@ def _rows(node: Node, rows: list[list[tuple[int, int, list[str]]]], captions: li
             rows[k] = [(c, min(r, len(rows) - k), lines) for c, r, lines in rows[k]]
 
 
-def _placed(rows: list[list[tuple[int, int, list[str]]]]) -> list[list[tuple[int, int, list[str]]]]:
-    """Column, column span and lines of each row's cells; columns that a cell of a row above still covers are passed by, as empty cells."""
+def _placed(rows: list[list[tuple[int, int, list[str]]]], most: int) -> list[list[tuple[int, int, list[str]]]] | None:
+    """Column, column span and lines of each row's cells; columns that a cell of a row above still covers are passed by, as empty cells. None if those are more than most."""
     out, covered = [], {}
     for row in rows:
         placed, at, left = [], 0, dict(covered)
+        most -= len(left)
+        if most < 0:
+            return None
         for span, down, lines in row:
             while left.get(at):
                 placed.append((at, 1, []))
                 at += 1
             placed.append((at, span, lines))
-            for c in range(at, at + span):
-                covered[c] = max(covered.get(c, 0), down)
+            if down > 1:
+                for c in range(at, at + span):
+                    covered[c] = max(covered.get(c, 0), down)
             at += span
         covered = {c: n - 1 for c, n in covered.items() if n > 1}
         out.append(placed)
@@ -310,22 +394,23 @@ def _table(node: Node, out: _Lines) -> None:
     found: list[list[tuple[int, int, list[str]]]] = []
     captions: list[str] = []
     _rows(node, found, captions)
-    rows = _placed(found)
+    rows = _placed(found, 1000 + COVERED * sum(map(len, found)))
+    if rows is None:
+        rows = _placed([[(span, 1, lines) for span, _, lines in row] for row in found], 1)
     width: dict[int, int] = {}
     for row in rows:
         for at, span, lines in row:
             if span == 1:
-                width[at] = max(width.get(at, 0), max(map(len, lines), default=0))
+                width[at] = max(width.get(at, 0), max((n for n in map(len, lines) if n <= WIDEST), default=0))
     out.take(captions)
     for row in rows:
         height = max((len(lines) for _, _, lines in row), default=0)
-        done = [""] * height
-        for k, (at, span, lines) in enumerate(row):
-            room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
+        done: list[list[str]] = [[] for _ in range(height)]
+        for at, span, lines in row:
+            room = width.get(at, 0) if span == 1 else sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
             for y in range(height):
-                cell = lines[y] if y < len(lines) else ""
-                done[y] += ("" if k == 0 else " | ") + cell.ljust(room)
-        out.take([x.rstrip() for x in done])
+                done[y].append((lines[y] if y < len(lines) else "").ljust(room))
+        out.take([" | ".join(x).rstrip() for x in done])
 
 
 def _options(node: Node, off: bool = False) -> Iterator[tuple[bool, bool, str, dict]]:
@@ -386,7 +471,7 @@ def _element(node: Node, out: _Lines) -> None:
     elif tag == "hr":
         out.newline()
         out.take(["----"])
-    elif tag == "pre":
+    elif tag in ("pre", "listing", "xmp", "plaintext"):
         out.block(True)
         lines = "".join(_plain(node)).replace("\r\n", "\n").removeprefix("\n").rstrip("\n").split("\n")
         out.take(lines if any(x.strip() for x in lines) else [])
