@@ -99,3 +99,8 @@ def test_crowded_groups_equal_all_pairs(spark, monkeypatch, block):
     of = {k: n for n, g in enumerate(want) for k in g}
     assert all(len({of[k] for k in g}) == 1 for g in got)
     assert len(got) <= len(want) + 2
+
+
+def test_the_radius_has_a_bound(spark):
+    with pytest.raises(ValueError, match="tau is 5"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 5)

@@ -10,7 +10,7 @@ and candidates that meet are verified on all bits.
 Equal fingerprints are one class before any search. A bucket whose probes times entries pass `BUCKET_PAIRS` is not
 paired: its members are linked exactly by another way, through the values within half of tau bits of them (for two bits the 65 values
 within one bit: two fingerprints are within two bits if and only if they share such a value, and a value has at most 65
-owners). The links' components are the same either way; no group is expanded into all its pairs and no partner is lost.
+owners; so tau is at most `GREATEST_TAU`, beyond which a value would have too many). The links' components are the same either way; no group is expanded into all its pairs and no partner is lost.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer than three words are
 one shingle; an empty table gives an empty result; rows with equal ids share a component through that id only if
@@ -34,6 +34,8 @@ from .similar import links as similar_links
 WIDTH = 64
 #: Probes times entries of a bucket up to which its pairs are verified one by one.
 BUCKET_PAIRS = 1024
+#: Greatest radius: a fingerprint has 2,081 values within half of 4 bits, and 43,745 within half of 6.
+GREATEST_TAU = 4
 #: Numbers of partitions that are tried.
 PARTITIONS = (2, 3, 4)
 
@@ -204,6 +206,8 @@ def _neighbours(fps: DataFrame, tau: int) -> DataFrame:
 
 def links(distinct: DataFrame, tau: int = 2) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp, staged) whose components are those of all pairs within tau bits."""
+    if not 0 <= tau <= GREATEST_TAU:
+        raise ValueError(f"tau is {tau}; it can be 0 to {GREATEST_TAU}")
     parts = plan_partitions(distinct, tau)
     entry = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).alias("key")) for k, (g, _) in enumerate(parts)]
     probe = [F.struct(F.lit(k).alias("part"), F.col("fp").bitwiseAND(F.lit(_mask(g))).bitwiseXOR(F.lit(x)).alias("key")) for k, (g, e) in enumerate(parts) for x in _ball(g, e)]
