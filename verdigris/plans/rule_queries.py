@@ -429,7 +429,7 @@ def html_tables(spark, sf):
     select page_id, href, case when n = 1 and k = 0 then 'exact' when n = 1 then 'heuristic' when n > 1 then 'ambiguous' else 'unresolved' end state from m"""
 )
 def import_resolution(spark, sf):
-    """GRF-2: a reference's candidates are its path and the path with endings; one that exists resolves it, exactly or by rule, several are ambiguous."""
+    """A link's candidates are its path and the path with endings; one that exists resolves it, exactly or by rule, several are ambiguous."""
     p = table(spark, sf, "pages")
     there = p.select(T.url_host(F.col("url")).alias("host"), T.url_path(F.col("url")).alias("path")).distinct()
     links = p.select("page_id", T.url_host(F.col("url")).alias("host"), F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a [^>]*href="(/[^"#?]+)"'), F.lit(1))).alias("href")).distinct()
@@ -557,7 +557,7 @@ def section_paths(spark, sf):
     union all select 'page:' || page_id, 'symbol:' || page_id || ':' || name, 'contains' from h where name <> ''"""
 )
 def page_graph(spark, sf):
-    """GRF-1: pages contain headings, and import the pages that they link to; a target that is not there is a stub."""
+    """Pages contain headings, and link to others; a target that is not there is a stub."""
     p = table(spark, sf, "pages")
     host, me = T.url_host(F.col("url")), F.concat(F.lit("page:"), "page_id")
     links = p.select(me.alias("src"), host.alias("host"), F.explode(F.regexp_extract_all("html", F.lit(r'(?i)<a [^>]*href="(/[^"#?]+)"'), F.lit(1))).alias("href")).distinct()

@@ -52,7 +52,7 @@ def skip_known(spark, sf):
     select page_id, href, count(*) times, case when max(n) is null then 'unresolved' when max(n) > 1 then 'ambiguous' else 'resolved' end state from r left join t using (target) group by page_id, href"""
 )
 def link_resolution(spark, sf):
-    """GRF-2, GRF-3: a reference with one target is resolved, with several ambiguous, with none unresolved. Targets are counted before
+    """A link with one target is resolved, with several ambiguous, with none unresolved. Targets are counted before
     the join, so that a target with many pages does not multiply the rows."""
     p = table(spark, sf, "pages")
     base = F.concat(F.lit("https://"), T.url_host(F.col("url")), T.url_path(F.col("url")))
@@ -202,7 +202,7 @@ def group_gates(spark, sf):
     from part left join (select l_partkey p, sum(l_quantity) qty, count(distinct l_orderkey) n from lineitem group by 1) q on p_partkey = q.p"""
 )
 def mention_impact(spark, sf):
-    """JN-10 in part: every changed key with what mentions it; keys without a mention stay. Mentions are aggregated before the join."""
+    """Every changed key with what mentions it; keys without a mention stay. Mentions are aggregated before the join."""
     m = table(spark, sf, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("q")).groupBy("l_partkey").agg(F.sum("q").alias("qty"), F.count("*").alias("mentions"))
     rows = table(spark, sf, "part").select("p_partkey").join(m, F.col("p_partkey") == F.col("l_partkey"), "left")
     action = F.when(F.col("l_partkey").isNull(), "unused").when(F.col("qty") < 600, "review").otherwise("must_update")
