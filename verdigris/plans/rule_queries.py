@@ -290,10 +290,11 @@ def identity_collisions(spark, sf):
     return R.identity_collisions(rows, "key", ["t", "l"])
 
 
-@query("select 'license' statement, count(*) required, 0::bigint forbidden from documents where false group by 1")
+@query("select 'the ' || lower(p_name) || ' set' statement, count(*) filter (p_size % 3 = 0) required, count(*) filter (p_size % 3 = 1) forbidden from part group by 1 having required > 0 and forbidden > 0")
 def policy_conflicts(spark, sf):
-    """EVS-8: statements that one line demands and another forbids. The given texts hold none; tested on examples."""
-    rows = table(spark, sf, "documents").where("text is not null").select("text")
+    """EVS-8: statements that one line demands and another forbids. Each part's text demands or forbids its name, or says neither."""
+    rule = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("The "), "p_name", F.lit(" must be set."))).when(F.col("p_size") % 3 == 1, F.concat(F.lit("Never: the "), "p_name", F.lit(" set"))).otherwise(F.concat(F.lit("The "), "p_name", F.lit(" may be set.")))
+    rows = table(spark, sf, "part").select(F.concat(F.lit("# About\n"), rule, F.lit("\nNothing else.")).alias("text"))
     return R.conflicts(R.policy_lines(rows, "text"))
 
 
