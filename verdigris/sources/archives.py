@@ -99,7 +99,7 @@ def case_file(record: bytes) -> tuple:
     )
 
 
-def _files(path: str):
+def open_files(path: str):
     """The file system of a path, and the path in it."""
     from pyarrow import fs
 
@@ -118,7 +118,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[Entry]:
         from pyarrow import fs
 
-        files, root = _files(self.path)
+        files, root = open_files(self.path)
         info = files.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(root, recursive=True)) if info.type == fs.FileType.Directory else []
         if not found and info.type == fs.FileType.NotFound:
@@ -142,7 +142,7 @@ class _Reader(DataSourceReader):
     def read(self, partition: Entry) -> Iterator[tuple]:
         head = (partition.path, partition.entry or "")
         none, n = (None,) * FIELDS, 0
-        files, _ = _files(self.path)
+        files, _ = open_files(self.path)
         try:
             with files.open_input_file(partition.path) as f:
                 if partition.path.lower().endswith(".zip"):
