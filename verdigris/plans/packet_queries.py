@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import gates as G
 from ..operators import packets as P
 from ..runtime import stage, table
 
@@ -67,3 +68,16 @@ def packet_integrity(spark, sf):
     kept, held, state = P.fit(rows, citations, sources, BUDGET)
     found = P.errors(kept, citations, held).agg(F.count("*").alias("errors")).withColumn("k", F.lit(0))
     return found.join(state.agg(F.count("*").alias("packets")).withColumn("k", F.lit(0)), "k").select("errors", "packets")
+
+
+@query(
+    """with m as (select l_suppkey c, l_returnflag || l_linestatus r, sum(l_quantity)::bigint q, count(*) n, min(l_quantity)::bigint low from lineitem group by 1, 2),
+    p as (select a.c, a.r, b.r o, b.q > a.q gq, b.n < a.n gn, b.low > a.low gl, b.q >= a.q and b.n <= a.n and b.low >= a.low and (b.q > a.q or b.n < a.n or b.low > a.low) beats from m a left join m b on a.c = b.c and a.r <> b.r)
+    select c case_id, r run, coalesce(string_agg(o, ',' order by o) filter (beats), '') beaten_by, concat_ws(',', case when not coalesce(bool_or(gl), false) then 'least' end, case when not coalesce(bool_or(gn), false) then 'positions' end, case when not coalesce(bool_or(gq), false) then 'quantity' end) best_in from p group by 1, 2"""
+)
+def skylines(spark, sf):
+    """EVL-13: of each supplier's groups of positions those that no other beats in quantity (more), number (fewer) and least quantity (more)."""
+    rows = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("case_id"), F.concat("l_returnflag", "l_linestatus").alias("run")).agg(F.sum("l_quantity").alias("quantity"), F.count("*").cast("double").alias("positions"), F.min("l_quantity").alias("least"))
+    metrics = rows.unpivot(["case_id", "run"], ["quantity", "positions", "least"], "metric", "value")
+    got = G.skyline(metrics, {"quantity": "up", "positions": "down", "least": "up"})
+    return got.select("case_id", "run", F.array_join("beaten_by", ",").alias("beaten_by"), F.array_join("best_in", ",").alias("best_in"))
