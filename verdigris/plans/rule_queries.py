@@ -272,7 +272,7 @@ def candidate_identity(spark, sf):
 @query(f"""with {_CAND} select doc_id, case when source = 'src1' then 'forbidden_source' when quality = 0 then 'stale' when toxic = 1 then 'instruction_risk' when lang <> 'en' then 'outside_scope' when doc_id % 3 = 1 then 'unknown_version' when doc_id % 3 = 2 then 'wrong_version'
     when n_chars < 200 then 'navigation_only' when doc_id % 11 = 0 then 'query_intent_mismatch' end reason from c""")
 def candidate_reasons(spark, sf):
-    """FLT-9, FLT-10, EVS-17, AGG-12: the first reason in order that rules a candidate out; labels and sizes stand for a candidate's state."""
+    """FLT-9, AGG-12: the first reason in order that rules a candidate out; labels and sizes stand for a candidate's state."""
     labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     k = F.col("doc_id")
     rows = table(spark, sf, "documents").select("doc_id", "source", "text", "n_chars", "lang").join(labels, "doc_id", "left")
@@ -519,7 +519,7 @@ def recall_gates(spark, sf):
     select size, overlap, sum(case when n = 0 then 0 when n <= size then 1 else ceil((n - size) / (size - overlap)::double) + 1 end)::bigint windows, count(*) filter (where n > size) split_documents from p, d group by 1, 2"""
 )
 def window_grid(spark, sf):
-    """EVL-16: variants of the window size and overlap side by side, from one pass over the texts' lengths."""
+    """Variants of the window size and overlap side by side, from one pass over the texts' lengths."""
     n = F.length(T.stripped(F.regexp_replace("text", T.SPACES, " ")))
     lengths = table(spark, sf, "documents").where("text is not null").select(n.alias("n")).groupBy("n").agg(F.count("*").alias("times"))
     grid = F.explode(F.array(*[F.struct(F.lit(a).alias("size"), F.lit(b).alias("overlap")) for a, b in ((400, 50), (800, 100), (1200, 200))]))

@@ -166,7 +166,7 @@ def trust_partition(spark, sf):
     select r::int as "repeat", count(*) pairs, round(median(delta), 2) median_delta, round(avg(delta), 2) mean_delta, count(*) filter (where delta > 0) worse from p group by r"""
 )
 def paired_deltas(spark, sf):
-    """EVL-19 in part: each task's cost against the same task's in the round before: both sides are aggregated on the join's key."""
+    """Each task's cost against the same task's in the round before: both sides are aggregated on the join's key."""
     o = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("task"), F.year("o_orderdate").alias("r")).agg(F.sum("o_totalprice").alias("cost"))
     base = o.select("task", (F.col("r") + 1).alias("r"), F.col("cost").alias("base"))
     rows = o.join(base, ["task", "r"]).select("r", (F.col("cost") - F.col("base")).alias("delta"))
@@ -285,7 +285,7 @@ def role_transitions(spark, sf):
 
 @query("select sha256(array_to_string([floor(x::double * 1000000 + 0.5)::bigint for x in embedding], ',')) h, min(vec_id) first_id, count(*) n from embeddings group by 1")
 def embedding_hashes(spark, sf):
-    """STR-36, SNK-13: vectors by the hash of their components in millionths; equal ones share a cache entry."""
+    """Vectors by the hash of their components in millionths; equal ones share a cache entry."""
     text = F.array_join(F.transform("embedding", lambda x: F.floor(x.cast("double") * 1000000 + 0.5).cast("string")), ",")
     return table(spark, sf, "embeddings").groupBy(F.sha2(text, 256).alias("h")).agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"))
 
