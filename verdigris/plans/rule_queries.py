@@ -213,7 +213,7 @@ def _registry(spark, sf):
 def registry_resolution(spark, sf):
     """REG-1: names, versions, brands and old ids of parts, resolved step by step; tested against a plain loop."""
     r = _registry(spark, sf)
-    asked = r.where("k % 7 = 0").select(F.col("k").alias("ask"), F.when(F.col("k") % 5 == 0, F.get("aliases", F.lit(0))).when(F.col("k") % 5 == 1, F.get("legacy_ids", F.lit(0))).when(F.col("k") % 5 == 2, F.replace("name", F.lit(" "), F.lit(""))).otherwise(F.col("name")).alias("library"), F.when(F.col("k") % 3 == 0, F.col("ecosystem")).alias("ecosystem"), F.when(F.col("k") % 4 == 0, F.col("version")).alias("version"), F.lit(None).cast("string").alias("source_type"))
+    asked = r.select(F.col("k").alias("ask"), F.when(F.col("k") % 5 == 0, F.get("aliases", F.lit(0))).when(F.col("k") % 5 == 1, F.get("legacy_ids", F.lit(0))).when(F.col("k") % 5 == 2, F.replace("name", F.lit(" "), F.lit(""))).otherwise(F.col("name")).alias("library"), F.when(F.col("k") % 3 == 0, F.col("ecosystem")).alias("ecosystem"), F.when(F.col("k") % 4 == 0, F.col("version")).alias("version"), F.lit(None).cast("string").alias("source_type"))
     return G.resolve(r, asked)
 
 
