@@ -79,6 +79,12 @@ def index_chunks(chunks: DataFrame, path: str, buckets: int = X.BUCKETS) -> X.In
     return X.build(chunks, path, id_col="child_id", body=F.col("search_text"), title=title, source=F.col("id"), buckets=buckets, store=False)
 
 
+def counted_chunks(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """Chunks with their counts of a few terms, for an index of these alone; title and source as in `index_chunks`."""
+    title = F.coalesce(F.try_element_at("heading_path", F.lit(-1)), F.lit("Document"))
+    return X.counted(chunks, terms, body=F.col("search_text"), title=title, source=F.col("id"))
+
+
 def format_context(results: DataFrame, style: str = "markdown") -> DataFrame:
     """query_id, context: a query's results as one text, in order. STR-34; results are bounded by the search's limit."""
     if style == "xml":

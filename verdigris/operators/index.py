@@ -2,6 +2,9 @@
 
 `build` writes it once per generation of a corpus; a search then reads the row groups of its own terms, and `fetch` those of the documents that it
 found, whatever the corpus holds. A term's postings are parted by id ranges as well, so that no task writes a frequent term alone.
+
+`build_for` is the index of a corpus that is asked a few questions once: it holds all postings of the questions' terms, and nothing of others. It reads the texts once, shuffles
+only those postings, and copies no document. A search for a term that it was not built for is refused.
 """
 
 from __future__ import annotations
@@ -32,9 +35,14 @@ class Index:
     buckets: int = BUCKETS
     id_type: str = "bigint"
     store_schema: StructType | None = None
+    #: The terms that it was built for, all if None; and the documents, where they lie in a table of their own.
+    only: frozenset[str] | None = None
+    docs: DataFrame | None = None
 
     def table(self, name: str) -> DataFrame:
         """A stored table; its schema is known, so that an empty one can be read too."""
+        if name == "store" and self.docs is not None:
+            return self.docs
         schema = self.store_schema if name == "store" else SCHEMAS[name].format(id=self.id_type)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
@@ -68,9 +76,48 @@ def build(docs: DataFrame, path: str, *, id_col="doc_id", body: Column | None =
     return index
 
 
+def counted(docs: DataFrame, terms: list[str], *, body: Column | None = None, title: Column | None = None, source: Column | None = None) -> DataFrame:
+    """docs with _len, _record_len and _found (array of term, tf, weighted): what `build_for` stores, counted in the row."""
+    body, title, source = (F.col("text") if body is None else body), (F.lit("") if title is None else title), (F.lit("") if source is None else source)
+    names = {"_body": body, "_title": title, "_source": source.cast("string")}
+    rows = docs.withColumns({k: tokens(v) for k, v in names.items()})
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    mine = lambda c: F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda t: t.isin(terms))
+    rows = rows.select(*docs.columns, F.size("_body").alias("_len"), (size("_body") + size("_title") + size("_source")).alias("_record_len"), *[mine(F.col(k)).alias(k) for k in names])
+    times = lambda k, t: F.size(F.filter(k, lambda x: x == t))
+    every = F.array_distinct(F.concat(*names))
+    weighted = lambda t: times("_body", t) * WEIGHTS["body"] + times("_title", t) * WEIGHTS["title"] + times("_source", t) * WEIGHTS["source"]
+    found = F.transform(every, lambda t: F.struct(t.alias("term"), times("_body", t).alias("tf"), weighted(t).alias("weighted")))
+    return rows.withColumn("_found", found).drop(*names)
+
+
+def build_for(docs: DataFrame, path: str, terms: list[str], *, id_col="doc_id", store: DataFrame | None = None, buckets: int = BUCKETS) -> Index:
+    """docs (of `counted`, which is computed once) -> the index of these terms under path; documents are fetched from store."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), "_len", "_record_len", "_found")
+    rows.write.mode("overwrite").parquet(f"{path}/counted")
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/counted")
+    words = rows.select("id", F.col("_len").alias("len"), F.col("_record_len").alias("record_len"), F.explode("_found").alias("x")).select("id", "len", "record_len", "x.*")
+    postings = words.groupBy("id", "len", "record_len", "term").agg(F.sum("tf").cast("int").alias("tf"), F.sum("weighted").alias("weighted"))
+    postings.withColumn("bucket", _bucket(F.col("term"), buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+    index = Index(spark, path, buckets, dict(rows.dtypes)["id"], only=frozenset(terms), docs=store)
+    counts = index.table("postings").groupBy("bucket", "term").agg(F.count_if(F.col("tf") > 0).alias("df"), F.count("*").alias("record_df"))
+    counts.coalesce(1).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+    lengths = rows.agg(F.count("*").alias("docs"), F.avg("_len").alias("len"), F.avg("_record_len").alias("record_len"))
+    lengths.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+    return index
+
+
+def terms_of(queries: DataFrame) -> list[str]:
+    """The distinct terms of a few queries, in order."""
+    return sorted(r.term for r in query_terms(queries).select("term").distinct().collect())
+
+
 def _of_terms(index: Index, name: str, terms: DataFrame) -> DataFrame:
     """Rows of a table that belong to the terms (column term): by their buckets, and by value where they can be listed."""
     named = [(r.term, r.bucket) for r in terms.select("term").distinct().withColumn("bucket", _bucket(F.col("term"), index.buckets)).limit(LISTED_TERMS + 1).collect()]
+    if index.only is not None and (more := {t for t, _ in named} - index.only):
+        raise ValueError(f"the index was not built for {sorted(more)[:5]}")
     rows = index.table(name)
     if len(named) > LISTED_TERMS:
         return rows.join(terms.select("term").distinct(), "term", "left_semi")
@@ -114,5 +161,7 @@ def fetch(index: Index, ids: DataFrame, id_col: str) -> DataFrame:
     store = index.table("store")
     if len(known) > LISTED_TERMS:
         return store.join(wanted, F.col(id_col) == F.col("id"), "left_semi").drop("bucket")
+    if index.docs is not None:
+        return store.where(F.col(id_col).isin(known))
     of = [r.b for r in wanted.select(_bucket(F.col("id"), index.buckets).alias("b")).distinct().collect()]
     return store.where(F.col("bucket").isin(of) & F.col(id_col).isin(known)).drop("bucket")
