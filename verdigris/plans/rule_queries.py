@@ -593,7 +593,7 @@ _EXPANDED = [(i, t + "".join(f" {w}" for word in t.split() for w in A.SYNONYMS.g
 def lex_synonyms(spark, sf):
     """LEX-8: BM25 of the questions with their words' synonyms."""
     asked = questions(spark).select("query_id", A.with_synonyms(F.col("text")).alias("text"))
-    return top_k(X.bm25(index_of(spark, sf), asked), 20).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
+    return top_k(X.bm25(index_of(spark, sf, asked), asked), 20).select("query_id", F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(
