@@ -92,3 +92,30 @@ def test_errors_are_named(spark):
     sources = [(1, "x", 1, False, None), (1, "x", 2, False, None), (1, "y", 1, False, None), (1, "z", 1, True, None)]
     got = {(r.error, r.id) for r in P.errors(*frames(spark, rows, citations, sources)).collect()}
     assert got == {("row_without_citation", "c"), ("citation_without_source", "lost"), ("source_without_citation", "y"), ("repeated_evidence", "x"), ("repeated_row", "b")}
+
+
+@pytest.mark.parametrize("budget", [0, 25, 60, 120, 10_000])
+@pytest.mark.parametrize("staged", [False, True])
+def test_packed_equals_a_loop(spark, budget, staged):
+    data = made(4, 60)
+    data = (data[0] + [(0, None, "tests", 0, 1, False)], data[1] + [(0, None, "e0"), (1, "r0", None)], [(*s[:4], None) for s in data[2]])
+    rows, citations, sources = consistent([r for r in data[0] if r[1]], [c if c[2] else (*c[:2], "none") for c in data[1] if c[1]], data[2])
+    frame = frames(spark, *data)
+    kept, cites, held, state = P.packed(frame[0], frame[1], frame[2].drop("parent"), budget, staged=staged)
+    assert {tuple(c) for c in cites.collect()} == set(citations)
+    got_rows, got_sources, got_state = kept.collect(), held.collect(), {r.packet_id: r for r in state.collect()}
+    assert set(got_state) == {r[0] for r in rows}
+    for p in got_state:
+        of = lambda xs: [x for x in xs if x[0] == p]  # noqa: B023, E731
+        stay, cited, status = fitted(p, of(rows), of(citations), of(sources), budget)
+        assert ({r.row_id for r in got_rows if r.packet_id == p}, {r.evidence_id for r in got_sources if r.packet_id == p}) == (stay, cited)
+        assert got_state[p].status == status and (got_state[p].rows, got_state[p].sources) == (len(stay), len(cited))
+        assert got_state[p].cost == sum(r[4] for r in of(rows) if r[1] in stay) + sum(s[2] for s in of(sources) if s[1] in cited)
+        assert {x.field: x.n for x in got_state[p].omitted} == {f: n for f in P.GIVES_WAY if (n := sum(r[2] == f and r[1] not in stay for r in of(rows)))}
+
+
+def test_packets_are_dealt_out_once(spark):
+    rows, citations, sources = frames(spark, *made(5))
+    kept, _, _, state = P.packed(rows, citations, sources.drop("parent"), 60)
+    for df in (kept, state, P.errors(rows, citations, sources)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1

@@ -5,6 +5,8 @@ changes. `fit` then takes rows out in a fixed order, field by field and the last
 row that cites it, or the last source made from it, so the cost after each removal is a running sum over the order in which rows and sources go; the least number of removals is read from it, without
 a loop. So no citation is left without its source for any budget.
 
+Packets whose sources are not made from others need no loop: `packed` deals rows, citations and sources out by packet once, and all else are windows within the packet.
+
 A packet's rows are bounded by who selects them; required rows and sources are kept to the end.
 """
 
@@ -92,17 +94,64 @@ def fit(rows: DataFrame, citations: DataFrame, sources: DataFrame, budget: int)
     return own.where("stays").drop("stays", "goes"), held.where("stays").drop("stays", "goes"), state
 
 
+def by_packet(df: DataFrame) -> DataFrame:
+    """df, dealt out by packet alone and always into as many parts: what lies so already is not shuffled again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "packet_id")
+
+
+def _items(rows: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """Citations, rows and sources as rows of one table, by packet."""
+    columns = {"row_id": "string", "evidence_id": "string", "field": "string", "pos": "int", "cost": "long", "required": "boolean"}
+    for df in (rows, citations, sources):
+        columns |= {c: t for c, t in df.dtypes if c in columns}
+    own = lambda df, what: df.select("packet_id", F.lit(what).alias("what"), *[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns.items()])
+    return by_packet(own(citations, "citation").union(own(rows.drop("evidence_id"), "row")).union(own(sources.drop("row_id"), "source")))
+
+
+def packed(rows: DataFrame, citations: DataFrame, sources: DataFrame, budget: int, *, staged: bool = False) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """`fit` of `whole`: rows that stay, citations before the budget, sources that stay, and for each packet its state. staged: what they are read from is written once, for callers that need several."""
+    if "parent" in sources.columns:
+        rows, citations, sources = whole(rows, citations, sources)
+        kept, held, state = fit(rows, citations, sources, budget)
+        return kept, citations, held, state
+    what, at = F.col("what"), F.array_position(F.array(*[F.lit(f) for f in GIVES_WAY]), F.col("field"))
+    packet, by_row, by_source = Window.partitionBy("packet_id"), Window.partitionBy("packet_id", "row_id"), Window.partitionBy("packet_id", "evidence_id")
+    order = Window.partitionBy("packet_id", "what").orderBy("required", at, F.col("pos").desc(), F.col("row_id").desc())
+    cites, goes = what == "citation", F.when(what == "row", F.col("goes"))
+    items = _items(rows, citations, sources).withColumn("there", F.col("evidence_id").isNotNull() & (F.count_if(what == "source").over(by_source) > 0))
+    items = items.withColumn("goes", F.row_number().over(order).cast("long"))
+    # Rows with a citation, and all of their sources; their citations; sources that these cite, or that are required.
+    items = items.withColumns({"cited": F.count_if(cites).over(by_row), "lost": F.count_if(cites & ~F.col("there")).over(by_row), "goes": F.when(what != "source", F.coalesce(goes, F.max(goes).over(by_row)))})
+    items = items.where((what == "source") | (F.col("row_id").isNotNull() & (F.col("cited") > 0) & (F.col("lost") == 0) & F.col("goes").isNotNull()))
+    last = F.max(F.when(cites, F.col("goes"))).over(by_source)
+    items = items.withColumn("goes", F.when(what != "source", F.col("goes")).when(F.col("required"), F.lit(LAST)).when(F.col("evidence_id").isNotNull(), last)).where("goes is not null")
+    # What is left after k removals costs as much as all that goes later than k.
+    items = items.withColumn("with", F.sum(F.when(~cites, F.col("cost")).otherwise(0)).over(packet.orderBy(F.col("goes").desc())))
+    items = items.withColumn("stays", F.col("goes") >= F.coalesce(F.min(F.when(F.col("with") <= budget, F.col("goes"))).over(packet), F.lit(LAST))).drop("there", "cited", "lost", "with", "goes")
+    items = stage(items, "packed") if staged else items
+    row, source, stays = what == "row", what == "source", F.col("stays")
+    critical = F.count_if(row & ~stays & (F.col("field").isin(*CRITICAL) | F.col("required"))) > 0
+    state = items.groupBy("packet_id").agg(
+        critical.alias("critical"), F.count_if(row & stays).alias("rows"), F.count_if(source & stays).alias("sources"), F.sum(F.when(stays & ~cites, F.col("cost")).otherwise(0)).alias("cost"), F.count_if(row).alias("of"),
+        *[F.count_if(row & ~stays & (F.col("field") == f)).alias(f) for f in GIVES_WAY],
+    ).where("of > 0")
+    omitted = F.array_sort(F.filter(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in GIVES_WAY]), lambda x: x["n"] > 0))
+    status = F.when(F.col("critical") | (F.col("sources") == 0) | (F.col("rows") == 0), "insufficient_evidence").when(F.col("rows") < F.col("of"), "truncated").otherwise("ok")
+    state = state.select("packet_id", status.alias("status"), "rows", "sources", "cost", omitted.alias("omitted"))
+    return items.where(row & stays).select("packet_id", "row_id", "field", "pos", "cost", "required"), items.where(cites).select("packet_id", "row_id", "evidence_id"), items.where(source & stays).select("packet_id", "evidence_id", "cost", "required"), state
+
+
 def errors(rows: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
     """packet_id, error, id: rows without a citation, citations without a source, sources without a citation, evidence and rows named twice."""
-    key = lambda df, c, p, n: df.select(F.col("packet_id").alias(p), F.col(c).alias(n)).distinct()
-    same = lambda c, p, n: (F.col("packet_id") == F.col(p)) & (F.col(c) == F.col(n))
-    found = lambda df, name, c: df.select("packet_id", F.lit(name).alias("error"), F.col(c).cast("string").alias("id"))
-    twice = lambda df, c: df.groupBy("packet_id", c).count().where("count > 1")
-    live = citations.join(key(rows, "row_id", "rp", "rr"), same("row_id", "rp", "rr"), "left_semi")
-    return (
-        found(rows.join(key(citations, "row_id", "cp", "cr"), same("row_id", "cp", "cr"), "left_anti"), "row_without_citation", "row_id")
-        .union(found(live.join(key(sources, "evidence_id", "sp", "se"), same("evidence_id", "sp", "se"), "left_anti"), "citation_without_source", "evidence_id").distinct())
-        .union(found(sources.where("not required").join(key(live, "evidence_id", "lp", "le"), same("evidence_id", "lp", "le"), "left_anti"), "source_without_citation", "evidence_id"))
-        .union(found(twice(sources, "evidence_id"), "repeated_evidence", "evidence_id"))
-        .union(found(twice(rows, "row_id"), "repeated_row", "row_id"))
-    )
+    what, by_row = F.col("what"), Window.partitionBy("packet_id", "row_id")
+    items = _items(rows, citations, sources).select("packet_id", "what", "row_id", "evidence_id", "required")
+    items = items.withColumns({"cited": (F.count_if(what == "citation").over(by_row) > 0) & F.col("row_id").isNotNull(), "rows": F.count_if(what == "row").over(by_row), "first": F.row_number().over(by_row.orderBy(what != "row")) == 1})
+    live = F.count_if((what == "citation") & (F.col("rows") > 0) & F.col("row_id").isNotNull())
+    error = lambda when, name, c, n=F.lit(1): F.when(when, F.array_repeat(F.struct(F.lit(name).alias("error"), F.col(c).cast("string").alias("id")), n.cast("int")))
+    none = F.expr("cast(array() as array<struct<error:string,id:string>>)")
+    of_rows = F.concat(*[F.coalesce(e, none) for e in (error((what == "row") & ~F.col("cited"), "row_without_citation", "row_id"), error((what == "row") & F.col("first") & (F.col("rows") > 1), "repeated_row", "row_id"))])
+    found = items.withColumn("of_row", F.when(F.size(of_rows) > 0, of_rows)).groupBy("packet_id", "evidence_id").agg(F.flatten(F.collect_list("of_row")).alias("of_rows"), live.alias("live"), F.count_if(what == "source").alias("sources"), F.count_if((what == "source") & ~F.col("required")).alias("free"))
+    known, cited = F.col("evidence_id").isNotNull() & (F.col("sources") > 0), F.col("evidence_id").isNotNull() & (F.col("live") > 0)
+    of_sources = (error((F.col("live") > 0) & ~known, "citation_without_source", "evidence_id"), error(~cited, "source_without_citation", "evidence_id", F.col("free")), error(F.col("sources") > 1, "repeated_evidence", "evidence_id"))
+    every = F.concat("of_rows", *[F.coalesce(e, none) for e in of_sources])
+    return found.select("packet_id", F.explode(every).alias("e")).select("packet_id", "e.error", "e.id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import gates as G
 from ..operators import packets as P
-from ..runtime import stage, table
+from ..runtime import table
 
 QUERIES, SQL = {}, {}
 BUDGET = 100
@@ -24,7 +24,7 @@ def query(sql: str | None = None):
 
 def order_packets(spark, sf):
     """Positions by flag: R is guidance, A symbols, N invariants. A position costs its quantity, a supplier 20; suppliers of even keys are known, the first of each order is required."""
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("packet_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("row_id"), F.col("l_suppkey").cast("string").alias("evidence_id"), "l_returnflag", "l_linenumber", F.col("l_quantity").cast("long").alias("cost")).distinct()
+    lines = P.by_packet(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("packet_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("row_id"), F.col("l_suppkey").cast("string").alias("evidence_id"), "l_returnflag", "l_linenumber", F.col("l_quantity").cast("long").alias("cost")))
     lines = lines.groupBy("packet_id", "row_id", "evidence_id").agg(F.min("l_returnflag").alias("flag"), F.min("l_linenumber").cast("int").alias("pos"), F.min("cost").alias("cost"))
     field = F.when(F.col("flag") == "R", "implementation_guidance").when(F.col("flag") == "A", "symbols").otherwise("required_invariants")
     rows = lines.select("packet_id", "row_id", field.alias("field"), "pos", "cost", F.lit(False).alias("required"))
@@ -42,7 +42,7 @@ f as (select p, min(goes) filter (total <= {BUDGET}) first from c group by p)"""
 @query(f"with {_PACKETS} select p packet_id, r row_id, case flag when 'R' then 'implementation_guidance' when 'A' then 'symbols' else 'required_invariants' end field from o join f using (p) where goes >= first")
 def packet_rows(spark, sf):
     """EVS-14, EVS-16: what stays of each packet: rows with all of their sources, within the budget."""
-    return P.fit(*P.whole(*order_packets(spark, sf)), BUDGET)[0].select("packet_id", "row_id", "field")
+    return P.packed(*order_packets(spark, sf), BUDGET)[0].select("packet_id", "row_id", "field")
 
 
 @query(
@@ -52,7 +52,7 @@ def packet_rows(spark, sf):
 )
 def packet_states(spark, sf):
     """EVS-14, EVS-16: each packet's status, and what it holds after its budget."""
-    return P.fit(*P.whole(*order_packets(spark, sf)), BUDGET)[2].select("packet_id", "status", "rows", "sources", "cost")
+    return P.packed(*order_packets(spark, sf), BUDGET)[3].select("packet_id", "status", "rows", "sources", "cost")
 
 
 @query("select l_orderkey packet_id, 'citation_without_source' error, l_suppkey::varchar id from lineitem where l_suppkey % 4 = 3 group by all")
@@ -64,8 +64,7 @@ def packet_errors(spark, sf):
 @query("select 0::bigint errors, count(distinct l_orderkey) packets from lineitem where l_suppkey % 4 < 3")
 def packet_integrity(spark, sf):
     """EVS-15: after the budget no packet has an error of reference."""
-    rows, citations, sources = (stage(x, "packets") for x in P.whole(*order_packets(spark, sf)))
-    kept, held, state = P.fit(rows, citations, sources, BUDGET)
+    kept, citations, held, state = P.packed(*order_packets(spark, sf), BUDGET, staged=True)
     found = P.errors(kept, citations, held).agg(F.count("*").alias("errors")).withColumn("k", F.lit(0))
     return found.join(state.agg(F.count("*").alias("packets")).withColumn("k", F.lit(0)), "k").select("errors", "packets")
 
