@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 
+from verdigris.plans import code_queries
 from verdigris.sources import archives as A
 
 GOOD = """<case-file><serial-number>7</serial-number><case-file-header><filing-date>20200131</filing-date><registration-date>bad</registration-date><status-code>700</status-code><mark-identification> MARK é </mark-identification></case-file-header>
@@ -79,3 +80,25 @@ def test_records_over_chunk_edges(monkeypatch):
     monkeypatch.setattr(A, "CHUNK", 16)
     long = b"<case-file>" + b"x" * 1000 + b"</case-file><case-file>y</case-file>"
     assert [w for _, w in A.cut(io.BytesIO(long), most=100)] == ["too long", None]
+
+
+def test_no_archive_grows_with_the_table(spark, monkeypatch):
+    monkeypatch.setattr(code_queries, "ARCHIVE_RECORDS", 100, raising=False)
+    path = code_queries.order_archives(spark, "/root/testdata/sf0.001")
+    _, counts = A.read_case_archives(spark, path)
+    rows = counts.collect()
+    assert max(r.parsed for r in rows) <= 100
+    assert sum(r.parsed for r in rows) == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+@pytest.mark.parametrize(("text", "date"), [("20200229", "2020-02-29"), ("20210229", None), (" 20200131", "2020-01-31"), ("2020131", "2020-01-31"), ("00000101", None), ("", None), (None, None), ("\u0662\u0660200131", None), ("202001311", None)])
+def test_dates_read_as_by_their_form(text, date):
+    from datetime import datetime
+
+    got = A._date(text)
+    try:
+        assert got == datetime.strptime((text or "").strip(), "%Y%m%d").date()
+    except ValueError:
+        assert got is None
+    if date:
+        assert str(got) == date

@@ -13,6 +13,7 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from datetime import date, datetime
+from itertools import islice
 from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..runtime import ship, stage
 
-TAG, MOST_BYTES, CHUNK = "case-file", 1 << 26, 1 << 16
+TAG, MOST_BYTES, CHUNK, BATCH = "case-file", 1 << 26, 1 << 16, 1000
 SCHEMA = (
     "source string, entry string, n long, malformed string, serial string, mark string, registration string, filed date, registered date, status int, status_date date, drawing string, "
     "classes array<struct<code:string,us:array<string>,description:string,first_use:date,first_commerce:date>>, owners array<struct<name:string,type:string,address:string,nationality:string>>, "
@@ -35,34 +36,38 @@ GOODS = "GS"
 def cut(stream, tag: str = TAG, most: int = MOST_BYTES) -> Iterator[tuple[bytes, str | None]]:
     """(record, what is wrong) of a stream of bytes."""
     begins, end = re.compile(rb"<" + tag.encode() + rb"(?=[\s>/])"), f"</{tag}>".encode()
-    held, over = b"", False
+    held, at = b"", 0
     while True:
         chunk = stream.read(CHUNK)
-        held += chunk
+        held, at = held[at:] + chunk, 0
         while True:
-            start = begins.search(held)
+            start = begins.search(held, at)
             if not start:
-                held = held[-len(end) :] if chunk else b""
+                at = max(at, len(held) - len(end)) if chunk else len(held)
                 break
             stop, again = held.find(end, start.end()), begins.search(held, start.end())
             if again and (stop < 0 or again.start() < stop):
                 yield held[start.start() : again.start()], "no end tag"
-                held = held[again.start() :]
+                at = again.start()
             elif stop >= 0:
-                yield held[start.start() : stop + len(end)], None
-                held = held[stop + len(end) :]
+                at = stop + len(end)
+                yield held[start.start() : at], None
             elif len(held) - start.start() > most or not chunk:
-                yield held[start.start() :][:200], "too long" if chunk else "no end tag"
-                held = b""
+                yield held[start.start() : start.start() + 200], "too long" if chunk else "no end tag"
+                at = len(held)
             else:
-                held = held[start.start() :]
+                at = start.start()
                 break
         if not chunk:
             return
 
 
 def _date(text: str | None) -> date | None:
+    if not text:
+        return None
     try:
+        if len(text) == 8 and text.isascii() and text.isdigit():
+            return date(int(text[:4]), int(text[4:6]), int(text[6:]))
         return datetime.strptime((text or "").strip(), "%Y%m%d").date()
     except ValueError:
         return None
@@ -77,12 +82,14 @@ def case_file(record: bytes) -> tuple:
     for node in root.iter():
         node.tag = node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""
     text = lambda node, path: ((found.text or "").strip() or None) if node is not None and (found := node.find(path)) is not None else None
-    texts = lambda node, path: [v for x in node.findall(path) if (v := (x.text or "").strip())]
+    texts = lambda found: [v for x in found if (v := (x.text or "").strip())]
+    there = {child.tag for child in root}
+    every = lambda path: root.findall(path) if path.partition("/")[0] in there else []  # noqa: E731  most records lack most parts
     serial, head = text(root, "serial-number"), root.find("case-file-header")
     if not serial:
         raise ValueError("no serial number")
-    classes = [[text(c, "international-code") or "", texts(c, "us-code-list/us-code"), "", _date(text(c, "first-use-anywhere-date")), _date(text(c, "first-use-in-commerce-date"))] for c in root.findall("classifications/classification")]
-    for statement in root.findall("case-file-statements/case-file-statement"):
+    classes = [[text(c, "international-code") or "", texts(c.findall("us-code-list/us-code")), "", _date(text(c, "first-use-anywhere-date")), _date(text(c, "first-use-in-commerce-date"))] for c in every("classifications/classification")]
+    for statement in every("case-file-statements/case-file-statement"):
         code, said = text(statement, "type-code") or "", text(statement, "text")
         if said and code.startswith(GOODS):
             of = code[2:] if re.fullmatch(r"\d{3}", code[2:]) else ""
@@ -90,12 +97,12 @@ def case_file(record: bytes) -> tuple:
             if own is None:
                 classes.append(own := [of, [], "", None, None])
             own[2] = f"{own[2]}\n{said}" if own[2] else said
-    owners = [(name, text(o, "party-type") or "", text(o, "address-1"), text(o, "nationality/country")) for o in root.findall("case-file-owners/case-file-owner") if (name := text(o, "party-name"))]
+    owners = [(name, text(o, "party-type") or "", text(o, "address-1"), text(o, "nationality/country")) for o in every("case-file-owners/case-file-owner") if (name := text(o, "party-name"))]
     status = text(head, "status-code")
     return (
         serial, text(head, "mark-identification") or "", text(head, "registration-number"), _date(text(head, "filing-date")), _date(text(head, "registration-date")), int(status) if status and status.isascii() and status.isdigit() and len(status) < 10 else None,
-        _date(text(head, "status-date")), text(head, "mark-drawing-code"), [tuple(c) for c in classes], owners, texts(root, "design-searches/design-search/design-search-code"),
-        texts(root, "pseudo-marks/pseudo-mark/pseudo-mark-identification"), texts(root, "prior-registration-applications/prior-registration-application/other-related-registration-number"),
+        _date(text(head, "status-date")), text(head, "mark-drawing-code"), [tuple(c) for c in classes], owners, texts(every("design-searches/design-search/design-search-code")),
+        texts(every("pseudo-marks/pseudo-mark/pseudo-mark-identification")), texts(every("prior-registration-applications/prior-registration-application/other-related-registration-number")),
     )
 
 
@@ -112,8 +119,8 @@ class Entry(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, schema):
+        self.path, self.schema = path, schema
 
     def partitions(self) -> list[Entry]:
         from pyarrow import fs
@@ -139,7 +146,20 @@ class _Reader(DataSourceReader):
         except (zipfile.BadZipFile, OSError, ValueError):
             return [None]  # read() will say so
 
-    def read(self, partition: Entry) -> Iterator[tuple]:
+    def read(self, partition: Entry) -> Iterator:
+        """The rows in Arrow batches: a column at a time, not a value at a time."""
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, rows = to_arrow_schema(self.schema), self._read(partition)
+        nested = {k: [f.name for f in t.value_type] for k, t in enumerate(schema.types) if pa.types.is_list(t) and pa.types.is_struct(t.value_type)}
+        while own := list(islice(rows, BATCH)):
+            columns = list(zip(*own))
+            for k, names in nested.items():
+                columns[k] = [[dict(zip(names, x)) for x in v] if v else v for v in columns[k]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types)], schema=schema)
+
+    def _read(self, partition: Entry) -> Iterator[tuple]:
         head = (partition.path, partition.entry or "")
         none, n = (None,) * FIELDS, 0
         files, _ = open_files(self.path)
@@ -178,7 +198,7 @@ class CaseFiles(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], schema)
 
 
 def read_case_archives(spark: SparkSession, path: str, live_only: bool = True) -> tuple[DataFrame, DataFrame]:
