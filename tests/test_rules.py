@@ -358,3 +358,8 @@ def test_clean_sections_against_a_loop(spark):
         t = re.sub("[\U0001f300-\U0001faff\U00002700-\U000027bf]", "", re.sub(r"\s*\[¶\]", "", r.text or ""))
         kept = [x.rstrip() for x in t.splitlines() if x.strip().lower().strip(":") not in Q.UI_LINES and not x.strip().lower().startswith(("translated by ", "translation missing"))]
         assert got[r.doc_id] == hashlib.sha256("\n".join(kept).strip().encode()).hexdigest()
+
+
+def test_prefixes_make_a_page_s_text_once(spark):
+    plan = rule_queries.context_prefixes(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("script|style|head") == 2  # in one pattern

@@ -123,10 +123,10 @@ def clause_qualifiers(spark, sf):
 @query()
 def context_prefixes(spark, sf):
     """CHK-16, STR-17, STR-18: a page's bounded prefix of title, place and symbols; tested against a plain loop."""
-    p = table(spark, sf, "pages")
-    text = T.main_content(F.coalesce("html", F.lit("")))
+    p = table(spark, sf, "pages").withColumn("text", T.main_content(F.coalesce("html", F.lit(""))))  # a column: each pattern of symbols would make the text anew
+    p = p.withColumn("aliases", F.array_join(C.symbol_aliases(F.col("text")), ", "))
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    fields = {"document_title": title, "canonical_location": C.canonical_url(F.coalesce("url", F.lit(""))), "library": T.url_host(F.coalesce("url", F.lit(""))), "source_class": F.lit("page"), "symbol_aliases": F.array_join(C.symbol_aliases(text), ", ")}
+    fields = {"document_title": title, "canonical_location": C.canonical_url(F.coalesce("url", F.lit(""))), "library": T.url_host(F.coalesce("url", F.lit(""))), "source_class": F.lit("page"), "symbol_aliases": F.col("aliases")}
     x = C.context_prefix(fields)
     return p.select("page_id", x.alias("x")).select("page_id", F.col("x.text").alias("prefix"), F.array_join("x.fields", ",").alias("fields"), F.col("x.truncated"))
 
