@@ -71,6 +71,38 @@ def test_leftmost_longest_spans(spark, monkeypatch, part):
         assert sorted(got.get(n, [])) == sorted(want), text
 
 
+def test_many_terms_read_each_text_once(spark, monkeypatch):
+    """As many parts of terms once read every text as often, and gave a span twice whose raws were of two parts."""
+    monkeypatch.setattr(T, "PART_TERMS", 10)
+    monkeypatch.setattr(T, "CHARS", 100, raising=False)
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    listed = [*TERMS, *(("code_symbol", f"make-{k}", raw) for k in range(40) for raw in (f"make_{k}", f"MAKE_{k}", f"Make_{k}", f"mAKE_{k}"))]
+    rows = [(n, f"{text} make_{n % 50} xmake_{n} --dry-run") for n, text in enumerate(texts(300, 3))]
+    docs = spark.createDataFrame(rows, "id long, text string").mapInPandas(counted, "id long, text string")
+    terms = spark.createDataFrame(listed, "kind string, canonical string, raw string")
+    for shaped in (True, False):
+        read.value, want = 0, T.Terms(listed)
+        got = sorted(tuple(r) for r in T.term_spans(docs, terms, longest=False, shaped=shaped).collect())
+        assert got == sorted((n, *s) for n, text in rows for s in want.spans(text, shaped))
+        assert read.value == len(rows)
+
+
+def test_runs_are_the_surfaces_that_nothing_touches():
+    rows = ["make_1", "", "xmake_1", "--make_1", "make_1", "---make_1", "a--make_1", "\u00e9 --make_1", "\u00e9make_1\u00e9", "make_1_", "make__ 1.", "--", "make_1", "\u212amake_1 \u0130 make-1\u017f", "\u03a3make_1\u03c2", "make 1 make\x1f1", " --make-1", "\u0130", "make"]
+    found = [(n, a - 2 * dashed, b) for n, a, b, dashed, key in T.runs(rows, [1, 3], lambda h: h == h) if key == "make\x1f1"]
+    known = T.Terms([("cli_flag", "make-1", "--make-1")])
+    assert sorted(found) == [(n, *s[:2]) for n, text in enumerate(rows) for s in known.spans(text, False)]
+    hashed = T.keys_of(["make\x1f1", "", "a"])
+    assert list(hashed[1]) == [3, 0, 1] and [r[0] for r in T.runs(rows, [1, 3], lambda h: h == hashed[0][0])] == [f[0] for f in found]
+    assert list(T.runs([], [1], lambda h: h == h)) == list(T.runs(["a"], [], lambda h: h == h)) == list(T.runs(["a"], [5], lambda h: h == h)) == []
+
+
 def test_time_follows_text_and_not_terms():
     text = " ".join(f"word{k % 977} make_{k}" for k in range(30_000))
     few, many = T.Terms([("code_symbol", "make-1", "make_1")]), T.Terms([("code_symbol", f"make-{k}", f"make_{k}") for k in range(100_000)])
