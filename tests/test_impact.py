@@ -1,6 +1,8 @@
 """Section metadata, diffs, and the impact rules on small cases written out."""
 
 import hashlib
+import random
+import re
 
 import pytest
 
@@ -146,3 +148,65 @@ def test_projects_without_authority_or_documents(spark):
     cut = [("README.md", 1, ["T"], ["src/m.py"], [], True)]
     rows, _ = impact(spark, modified("src/m.py"), [("src/m.py", "read", None)], DOCS, cut)
     assert rows == [("README.md", "must_update", "section_reference_changed_path", 100, "T"), ("README.md", "review", "section_metadata_truncated", 35, "")]
+
+
+def test_sections_stay_in_their_rows(spark):
+    """A text's sections equal a loop over its lines, and no line is shuffled."""
+    rng, pieces = random.Random(5), ["# A", "## B ", "### C ##", "## D", "```", "````", "~~~", "x", "", "   ```py", "#no", "####### seven", "  # in", "`s`"]
+    texts = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(300)]
+    rows = I.section_metadata(spark.createDataFrame([(str(n), t) for n, t in enumerate(texts)], "path string, text string"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for n, text in enumerate(texts):
+        lines, fence, stack, own = text.removesuffix("\n").split("\n"), "", [], [([], [])]
+        for line in lines if text.strip() else []:
+            mark = (re.match("[ \\t]{0,3}(`{3,}|~{3,})", line) or ["", ""])[1]
+            head = re.match(r"(#{1,6})\s+(.+?)\s*#*\s*$", line)
+            if mark and (not fence or fence[0] == mark[0] and len(mark) >= len(fence)):
+                fence = "" if fence else mark
+            elif head and not fence:
+                stack = [*stack[: len(head[1]) - 1], head[2].strip()]
+                own.append((stack, []))
+            own[-1][1].append(line)
+        want += [(str(n), k, path, "sha256:" + hashlib.sha256("\n".join(held).encode()).hexdigest()) for k, (path, held) in enumerate(own) if held]
+    assert sorted((r.path, r.section, r.heading_path, r.content_hash) for r in rows.collect()) == sorted(want)
+
+
+def test_no_table_of_changes_times_authorities(spark, monkeypatch):
+    """What all authority documents have alike is made once a change; pairs of which more is known are as by the rules."""
+    staged, stage = {}, I.stage
+
+    def counted(df, name):
+        out = stage(df, name)
+        staged[name] = out.count()
+        return out
+
+    monkeypatch.setattr(I, "stage", counted)
+    ids, docs = range(60), [(f"a{k}.md", "packages/a" if k == 5 else None, True) for k in range(30)]
+    changed = [(n, "modified", p, p) for n in ids for p in [f"src/f{n}.py", *([f"a{n % 30}.md"] if n % 7 == 0 else []), *(["packages/a/x.py"] if n == 8 else [])]]
+    found = [(n, f"src/f{n}.py", w, s, None, None) for n in ids for w, s in [("unread", None) if n % 3 == 0 else ("read", None), *([("symbol", f"s{n}")] if n % 3 == 1 else [])]]
+    mentions = [(f"a{k}.md", j, [f"H{k}.{j}"], [], [f"s{k}"] if j == 1 else [], k % 10 == 0) for k in range(30) for j in (1, 2) if k != 29]
+    rows, missing = I.docs_impact(
+        spark.createDataFrame(changed, "change_id long, kind string, old_path string, new_path string"), spark.createDataFrame(found, "change_id long, path string, what string, symbol string, line_start int, line_end int"),
+        spark.createDataFrame(docs, "path string, module string, authority boolean"), spark.createDataFrame(mentions, "path string, section int, heading_path array<string>, paths array<string>, symbols array<string>, truncated boolean"),
+    )
+    want = []
+    for n in ids:
+        for k in range(30):
+            doc, code, hinted, module = f"a{k}.md", [f"src/f{n}.py"], n % 3 == 1 and n == k and k != 29, n == 8 and k == 5
+            if hinted:
+                want.append((n, doc, [f"H{k}.1"], "must_update", "section_reference_changed_symbol", 105, [f"s{n}"]))
+            if n % 7 == 0 and k == n % 30:
+                want.append((n, doc, [], "updated", "documentation_changed", 0, [doc]))
+            elif n % 3 == 0:
+                want.append((n, doc, [], "review", "diff_symbol_parser_fallback", 35, code))
+            elif k % 10 == 0:
+                want.append((n, doc, [], "review", "section_metadata_truncated", 35, code))
+            elif module:
+                want.append((n, doc, [], "review", "module_code_changed", 65, ["packages/a/x.py", *code]))
+            elif n % 3 == 2:
+                want.append((n, doc, [], "review", "project_code_changed", 45, code))
+            elif not hinted:
+                want += [(n, doc, h, "unlikely", "no_explicit_reference_match", 10, [f"s{n}"]) for h in ([[f"H{k}.1"], [f"H{k}.2"]] if k != 29 else [[]])]
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(want) and missing.isEmpty()
+    assert max(staged.values()) < 60 * 30 / 4, staged  # pairs apart: 60 changes with 3 truncated documents, and a few

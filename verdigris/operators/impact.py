@@ -42,6 +42,8 @@ SCORES = {"section_reference_changed_symbol": 100, "section_reference_changed_pa
 AUTHORITY = 5
 #: Lines of a block in which ranges and spans meet; documents that an unread file falls back on.
 LINE_BLOCK, FALLBACK_DOCS = 64, 5
+#: Rows of an authority's documents or sections up to which they are broadcast.
+BROADCAST_ROWS = 100_000
 CHANGES = "change_id {id}, kind string, old_path string, new_path string"
 EVIDENCE = "change_id {id}, path string, what string, symbol string, line_start int, line_end int"
 
@@ -49,33 +51,30 @@ EVIDENCE = "change_id {id}, path string, what string, symbol string, line_start
 def section_metadata(docs: DataFrame, *, path_col: str = "path", text_col: str = "text") -> DataFrame:
     """path, section, heading_path, paths, symbols, truncated, content_hash: what each section of each Markdown text names, in order. Lines in fences open no section."""
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), rf"(?:{LINE_ENDS})\z", "")
-    lines = docs.where(F.col(text_col).rlike(r"(?U)\S")).select(F.col(path_col).alias("path"), F.posexplode(F.split(text, LINE_ENDS, -1)).alias("n", "line"))
-    mark = F.regexp_extract("line", FENCE, 1)
-    lines = lines.withColumn("mark", mark)
-    # A fence ends at one of its own sign, as long or longer: folded over a text's fence lines alone.
-    fences = lines.where("mark <> ''").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("n", F.left("mark", F.lit(1)).alias("sign"), F.length("mark").alias("size")))).alias("marks"))
-    state = F.struct(F.lit("").alias("sign"), F.lit(0).alias("size"), F.array().cast("array<int>").alias("turns"))
-    turned = lambda s, m, sign, size: F.struct(sign.alias("sign"), size.alias("size"), F.concat(s["turns"], F.array(m["n"])).alias("turns"))
-    step = lambda s, m: F.when(s["sign"] == "", turned(s, m, m["sign"], m["size"])).when((s["sign"] == m["sign"]) & (m["size"] >= s["size"]), turned(s, m, F.lit(""), F.lit(0))).otherwise(s)
-    turns = fences.select("path", F.explode(F.aggregate("marks", state, step, lambda s: s["turns"])).alias("n")).withColumn("turn", F.lit(1))
-    rows = lines.join(turns, ["path", "n"], "left")
-    upto = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    fenced = (F.sum(F.coalesce("turn", F.lit(0))).over(upto) % 2 == 1) | (F.col("mark") != "")
-    level = F.length(F.regexp_extract("line", HEADING, 1))
-    rows = rows.select("path", "n", "line", F.when(~fenced & F.col("line").rlike(HEADING), level).alias("level"), F.regexp_extract("line", HEADING, 2).alias("title"))
-    rows = rows.withColumn("section", F.count("level").over(upto))
-    heads = rows.where("level is not null").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("section", "level", "title"))).alias("heads"))
-    first = F.struct(F.array().cast("array<string>").alias("stack"), F.array().cast("array<struct<section:bigint,heading_path:array<string>>>").alias("out"))
-    under = lambda s, h: F.concat(F.slice(s["stack"], F.lit(1), h["level"] - 1), F.array(F.trim(h["title"])))
-    climb = lambda s, h: F.struct(under(s, h).alias("stack"), F.concat(s["out"], F.array(F.struct(h["section"].alias("section"), under(s, h).alias("heading_path")))).alias("out"))
-    named = heads.select("path", F.explode(F.aggregate("heads", first, climb, lambda s: s["out"])).alias("h")).select("path", "h.section", "h.heading_path")
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
-    rows = rows.groupBy("path", "section").agg(content.alias("content")).join(named, ["path", "section"], "left")
+    rows = docs.where(F.col(text_col).rlike(r"(?U)\S")).select(F.col(path_col).alias("path"), F.split(text, LINE_ENDS, -1).alias("lines"))
+    # A text's fences and headings alone are folded, in its row: a fence ends at one of its own sign, as long or longer; a heading outside of them opens a section under those of lower levels.
+    numbered = F.filter(F.transform("lines", lambda line, n: F.struct(n.alias("n"), line.alias("line"))), lambda x: x["line"].rlike(FENCE) | x["line"].rlike(HEADING))
+    mark, level = (lambda x: F.regexp_extract(x["line"], FENCE, 1)), (lambda x: F.length(F.regexp_extract(x["line"], HEADING, 1)))
+    events = F.transform(numbered, lambda x: F.struct(x["n"].alias("n"), F.left(mark(x), F.lit(1)).alias("sign"), F.length(mark(x)).alias("size"), level(x).alias("level"), F.trim(F.regexp_extract(x["line"], HEADING, 2)).alias("title")))
+    names = F.array().cast("array<string>")
+    first = F.struct(F.lit("").alias("sign"), F.lit(0).alias("size"), names.alias("stack"), F.array().cast("array<struct<n:int,heading_path:array<string>>>").alias("out"))
+    state = lambda s, sign, size: F.struct(sign.alias("sign"), size.alias("size"), s["stack"].alias("stack"), s["out"].alias("out"))
+    under = lambda s, x: F.concat(F.slice(s["stack"], F.lit(1), x["level"] - 1), F.array(x["title"]))
+    opened = lambda s, x: F.struct(s["sign"].alias("sign"), s["size"].alias("size"), under(s, x).alias("stack"), F.concat(s["out"], F.array(F.struct(x["n"].alias("n"), under(s, x).alias("heading_path")))).alias("out"))
+    step = lambda s, x: F.when((s["sign"] == "") & (x["size"] > 0), state(s, x["sign"], x["size"])).when(s["sign"] == "", opened(s, x)).when((s["sign"] == x["sign"]) & (x["size"] >= s["size"]), state(s, F.lit(""), F.lit(0))).otherwise(s)
+    rows = rows.select("path", "lines", events.alias("events")).select("path", "lines", F.aggregate("events", first, step, lambda s: s["out"]).alias("heads"))
+    # Section k reaches from its heading to the next; 0 is what stands before the first, if anything does.
+    opens = F.concat(F.array(F.struct(F.lit(0).alias("n"), names.alias("heading_path"))), F.col("heads"))
+    ends = F.concat(F.transform("heads", lambda h: h["n"]), F.array(F.size("lines")))
+    rows = rows.select("path", "lines", opens.alias("opens"), ends.alias("ends"))
+    content = lambda x, k: F.array_join(F.slice("lines", x["n"] + 1, F.get("ends", k) - x["n"]), "\n")
+    own = F.transform("opens", lambda x, k: F.struct(k.alias("section"), x["heading_path"].alias("heading_path"), F.when((k > 0) | (F.get("ends", k) > 0), content(x, k)).alias("content")))
+    rows = rows.select("path", F.explode(own).alias("x")).select("path", "x.section", "x.heading_path", "x.content").where("content is not null")
     found = F.transform(F.filter(F.regexp_extract_all("content", F.lit(PATHS), F.lit(1)), lambda p: p != ""), lambda p: F.replace(p, F.lit("\\"), F.lit("/")))
     paths = F.array_distinct(F.filter(F.transform(found, lambda p: F.ltrim(F.regexp_replace(p, r"^\./", ""), F.lit("/"))), lambda p: p != ""))
     tokens = F.transform(F.filter(F.regexp_extract_all("content", F.lit(CODE), F.lit(1)), lambda t: ~t.contains("/")), lambda t: F.trim(t))
     symbols = F.array_distinct(F.filter(tokens, lambda t: t.rlike(SYMBOL)))
-    rows = rows.select("path", "section", F.coalesce("heading_path", F.array().cast("array<string>")).alias("own"), paths.alias("p"), symbols.alias("s"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash"))
+    rows = rows.select("path", "section", F.col("heading_path").alias("own"), paths.alias("p"), symbols.alias("s"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("content_hash"))
     short = lambda c, most: F.filter(c, lambda v: F.length(v) <= most)
     cut = (F.size(short("p", PATH_CHARS)) > MOST_MENTIONS) | (F.size(short("s", SYMBOL_CHARS)) > MOST_MENTIONS) | (F.size(short("p", PATH_CHARS)) < F.size("p")) | (F.size(short("s", SYMBOL_CHARS)) < F.size("s")) | F.exists("own", lambda h: F.length(h) > HEADING_CHARS)
     return rows.select(
@@ -222,6 +221,7 @@ def docs_impact(changed: DataFrame, found: DataFrame, docs: DataFrame, sections:
     renamed = F.col("kind") == "renamed"
     kind = F.when(F.col("kind") == "deleted", "deleted").when(renamed & F.col("both") & (F.col("path") == F.col("n")), "renamed").when(renamed & F.col("both"), None).when(renamed & (F.col("path") == F.col("o")), "deleted").otherwise("updated")
     itself = paths.withColumn("both", both).where("is_doc is not null").where(kind.isNotNull()).groupBy("change_id", F.col("path").alias("doc_path")).agg(F.min(kind).alias("action"))
+    itself = stage(itself, "impact_itself")
     unread = found.where("what = 'unread'").select(F.col("change_id").alias("u_id"), F.col("path").alias("u_path")).distinct()
     code = paths.where(F.col("is_doc").isNull() & ~is_test(F.col("path"))).select("change_id", "path", module_of(F.col("path")).alias("of"), F.substring_index("path", "/", -1).isin(*DEPENDENCY_FILES).alias("dependency")).distinct()
     code = stage(code.join(unread, (F.col("change_id") == F.col("u_id")) & (F.col("path") == F.col("u_path")), "left").select("change_id", "path", "of", "dependency", F.col("u_path").isNotNull().alias("unread")), "impact_code")
@@ -229,14 +229,12 @@ def docs_impact(changed: DataFrame, found: DataFrame, docs: DataFrame, sections:
     in_module = in_module.select("change_id", "path", "of", "doc_path", F.when(F.col("unread"), "diff_symbol_parser_fallback").when(F.col("dependency"), "module_dependency_metadata_changed").otherwise("module_code_changed").alias("reason"))
     rest = code.where("of is null")
     whole = own.where("authority").select("doc_path")
-    # By rule each change of a project meets all of its authority documents: they are joined by the project, here one.
     named = F.when(F.col("dependency"), "dependency_metadata_changed").when(F.col("unread"), "diff_symbol_parser_fallback").otherwise("project_code_changed")
-    rest = rest.select("change_id", "path", named.alias("reason"), F.lit("").alias("project"))
+    rest = rest.select("change_id", "path", named.alias("reason"))
     any_authority = not whole.isEmpty()
     if not any_authority:
         whole = own.orderBy("doc_path").limit(FALLBACK_DOCS).select("doc_path")
-    in_project = rest.where(F.lit(any_authority) | (F.col("reason") == "diff_symbol_parser_fallback")).join(whole.withColumn("of_project", F.lit("")), F.col("project") == F.col("of_project")).select("change_id", "path", "doc_path", "reason")
-    by_code = in_module.where("doc_path is not null").select("change_id", "path", "doc_path", "reason").union(in_project)
+    rest_of = rest.where(F.lit(any_authority) | (F.col("reason") == "diff_symbol_parser_fallback"))
     missing = in_module.where("doc_path is null").select("change_id", F.col("of").alias("module"), F.lit("module_code_changed_without_module_docs").alias("reason")).distinct()
     if not any_authority:
         none = F.when(F.col("reason") == "dependency_metadata_changed", "dependency_metadata_changed_without_root_readme").when((F.col("reason") == "diff_symbol_parser_fallback") & F.lit(own.isEmpty()), "unmapped_parser_fallback_without_project_docs")
@@ -252,23 +250,35 @@ def docs_impact(changed: DataFrame, found: DataFrame, docs: DataFrame, sections:
         hints = met if hints is None else hints.union(met)
     hints = stage(hints.select("change_id", "doc_path", "heading_path", F.lit("must_update").alias("action"), "reason", (F.when(F.col("reason") == "section_reference_changed_symbol", SCORES["section_reference_changed_symbol"]).otherwise(SCORES["section_reference_changed_path"]) + F.when(F.col("authority"), AUTHORITY).otherwise(0)).alias("score"), "evidence"), "impact_hints")
 
-    cut = sections.groupBy(F.col("path").alias("c_path")).agg(F.max("truncated").alias("cut"))
     order = {"diff_symbol_parser_fallback": 0, "section_metadata_truncated": 1, "module_dependency_metadata_changed": 2, "module_code_changed": 3, "dependency_metadata_changed": 4, "project_code_changed": 5}
     ranked = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    touched = paths.select("change_id", F.lit("").alias("project")).distinct()
-    by_cut = own.join(cut.where("cut"), F.col("doc_path") == F.col("c_path")).select("doc_path", F.lit("").alias("of_project"))
-    truncated = touched.join(by_cut, F.col("project") == F.col("of_project")).select("change_id", F.lit(None).cast("string").alias("path"), "doc_path", F.lit("section_metadata_truncated").alias("reason"))
-    by_code = by_code.union(truncated)
-    by_code = by_code.groupBy("change_id", "doc_path").agg(F.min(F.struct(F.element_at(ranked, F.col("reason")), "reason")).alias("r"), F.array_sort(F.collect_set("path")).alias("evidence")).select("change_id", "doc_path", "r.reason", "evidence")
-    by_code = by_code.join(itself.select("change_id", "doc_path"), ["change_id", "doc_path"], "left_anti").join(hints.select("change_id", "doc_path", F.lit(True).alias("hinted")).distinct(), ["change_id", "doc_path"], "left")
-    known = names.groupBy("change_id").agg(F.array_sort(F.collect_set("value")).alias("known"))
-    by_code = stage(by_code.join(known, "change_id", "left"), "impact_by_code")
+    best = [F.min(F.struct(F.element_at(ranked, F.col("reason")), "reason")).alias("r"), F.array_sort(F.collect_set("path")).alias("evidence")]
+    pair, few = ["change_id", "doc_path"], lambda x: F.broadcast(x) if x.count() <= BROADCAST_ROWS else x
+    touched = paths.select("change_id").distinct()
+    by_cut = own.join(sections.where("truncated").select(F.col("path").alias("doc_path")).distinct(), "doc_path").select("doc_path")
+    truncated = touched.crossJoin(by_cut).select("change_id", F.lit(None).cast("string").alias("path"), "doc_path", F.lit("section_metadata_truncated").alias("reason"))
+    by_code = in_module.where("doc_path is not null").select("change_id", "path", "doc_path", "reason").union(truncated)
+    # By rule each change of a project, here one, meets all of its authority documents. What a change says of them it says of all alike, so it is made once a change; only
+    # pairs of which something else is known too (they changed, are named, or are met by another rule) are made and merged one by one.
+    whole = stage(whole.distinct(), "impact_whole")
+    apart = itself.select(*pair).union(hints.select(*pair)).union(by_code.select(*pair)).join(few(whole), "doc_path", "left_semi").select(*pair).distinct()
+    apart = stage(apart, "impact_apart")
+    by_code = by_code.union(apart.join(rest_of, "change_id").select("change_id", "path", "doc_path", "reason"))
+    by_code = by_code.groupBy(*pair).agg(*best).select(*pair, "r.reason", "evidence")
+    by_code = by_code.join(itself.select(*pair), pair, "left_anti").join(hints.select(*pair, F.lit(True).alias("hinted")).distinct(), pair, "left")
     low = F.col("reason").isin("diff_symbol_parser_fallback", "section_metadata_truncated")
-    silent = (F.col("reason") == "project_code_changed") & F.col("known").isNotNull()
     none = F.array().cast("array<string>")
-    review = by_code.where((F.col("hinted").isNull() | low) & ~silent).select("change_id", "doc_path", none.alias("heading_path"), F.lit("review").alias("action"), "reason", F.when(F.col("reason").contains("module"), SCORES["module"]).when(low, SCORES["fallback"]).otherwise(SCORES["project"]).alias("score"), "evidence")
-    every = sections.select(F.col("path").alias("s_path"), "heading_path")
-    unlikely = by_code.where(silent & F.col("hinted").isNull()).join(every, F.col("doc_path") == F.col("s_path"), "left")
-    unlikely = unlikely.select("change_id", "doc_path", F.coalesce("heading_path", none).alias("heading_path"), F.lit("unlikely"), F.lit("no_explicit_reference_match"), F.lit(SCORES["unlikely"]), "known")
+    score = F.when(F.col("reason").contains("module"), SCORES["module"]).when(low, SCORES["fallback"]).otherwise(SCORES["project"]).alias("score")
+    review = by_code.where(F.col("hinted").isNull() | low).select(*pair, none.alias("heading_path"), F.lit("review").alias("action"), "reason", score, "evidence")
+    known = names.groupBy("change_id").agg(F.array_sort(F.collect_set("value")).alias("known"))
+    by_change = rest_of.groupBy("change_id").agg(*best).select("change_id", "r.reason", "evidence").join(apart.groupBy("change_id").agg(F.collect_set("doc_path").alias("apart")), "change_id", "left")
+    by_change = stage(by_change.join(known, "change_id", "left"), "impact_by_change")
+    silent = (F.col("reason") == "project_code_changed") & F.col("known").isNotNull()
+    alike = F.col("apart").isNull() | ~F.array_contains("apart", F.col("doc_path"))
+    review = review.union(by_change.where(~silent).crossJoin(few(whole)).where(alike).select(*pair, none, F.lit("review"), "reason", score, "evidence"))
+    every = sections.select(F.col("path").alias("doc_path"), "heading_path").join(few(whole), "doc_path", "left_semi")
+    every = stage(whole.join(every, "doc_path", "left").select("doc_path", F.coalesce("heading_path", none).alias("heading_path")), "impact_whole_sections")
+    unlikely = by_change.where(silent).crossJoin(few(every)).where(alike)
+    unlikely = unlikely.select(*pair, "heading_path", F.lit("unlikely"), F.lit("no_explicit_reference_match"), F.lit(SCORES["unlikely"]), "known")
     changed_docs = itself.select("change_id", "doc_path", none.alias("heading_path"), "action", F.concat(F.lit("documentation_"), F.when(F.col("action") == "updated", "changed").otherwise(F.col("action"))).alias("reason"), F.lit(0).alias("score"), F.array("doc_path"))
     return hints.union(review).union(unlikely).union(changed_docs), missing
